@@ -84,6 +84,13 @@ def _latin1_step(x: str) -> str:
     return let(x, body)
 
 
+def latin1_of_blob(b: str) -> str:
+    """Latin-1 reading of a BLOB: one character per byte."""
+    return let(f"hex({b})", lambda h: (
+        f"array_to_string(list_transform(range(0, length({h}) // 2), "
+        f"lambda i: chr(CAST('0x' || substr({h}, 2 * i + 1, 2) AS INTEGER))), '')"))
+
+
 def utf8_as_latin1(x: str) -> str:
     """Read the UTF-8 bytes of a string as Latin-1: one character per byte."""
     return let(f"hex(encode({x}))", lambda h: (

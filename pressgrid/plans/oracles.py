@@ -502,3 +502,55 @@ ROWS_ONLY = {
     "llm_validate": "built on llm_json_repair",
     "llm_yield": "built on llm_json_repair",
 }
+
+
+# --- sources ----------------------------------------------------------------------
+
+PAGE_BYTES = ("page_bytes AS (SELECT page_id, encode(html) || CASE WHEN page_id % 3 = 0 THEN unhex('E9') "
+              "ELSE unhex('') END AS content FROM pages)")
+UPLOADS = ("uploads AS (SELECT blob_id, 'upload-' || CAST(blob_id AS VARCHAR) || '.txt' AS path, "
+           "CAST(octet_length(encode(blob)) AS BIGINT) AS length, blob FROM blobs)")
+LEDGER = "ledger AS (SELECT DISTINCT md5(blob) AS md5 FROM uploads WHERE blob_id % 5 = 0)"
+_UPLOAD_URLS = f"""upload_urls AS (
+  SELECT DISTINCT path, u AS url FROM (
+    SELECT path, {S.strip('part')} AS u
+    FROM uploads, unnest(regexp_split_to_array(blob, '[\\n,]')) AS t(part)
+    WHERE length <= {10 * 1024 * 1024} AND md5(blob) NOT IN (SELECT md5 FROM ledger))
+  WHERE {S.valid_url('u')})"""
+_OUTCOME = f"""outcome AS (
+  SELECT f.path, CAST(coalesce(c.n, 0) AS BIGINT) AS n_urls,
+    CASE WHEN f.length > {10 * 1024 * 1024} THEN 'File too large. Maximum size: 10MB'
+         WHEN md5(f.blob) IN (SELECT md5 FROM ledger) THEN
+           'File already processed. Upload a different file or modify the content.'
+         WHEN coalesce(c.n, 0) = 0 THEN 'No valid URLs found in file' END AS error
+  FROM uploads f LEFT JOIN (SELECT path, count(*) AS n FROM upload_urls GROUP BY path) c ON f.path = c.path)"""
+
+
+def _corpus_cte() -> str:
+    from .queries import CORPUS_DIRS, CORPUS_NAMES
+    name = _pick("doc_id % 6", CORPUS_NAMES)
+    return (f"corpus AS (SELECT doc_id, {_pick('doc_id % 5', CORPUS_DIRS)} || '/d' || CAST(doc_id AS VARCHAR)"
+            f" || '/' || {name} AS path, {name} AS name, text FROM documents)")
+
+
+ORACLES.update({
+    "decode_text_fallback": with_(PAGE_BYTES) + f"""SELECT page_id, latin1, CAST(length(t) AS BIGINT) AS n_chars,
+        md5(t) AS text_md5 FROM (
+        SELECT page_id, TRY(decode(content)) IS NULL AS latin1,
+          coalesce(TRY(decode(content)), {S.latin1_of_blob('content')}) AS t FROM page_bytes)""",
+    "size_gate": with_(LINES, BLOBS, UPLOADS) + f"""SELECT path, length, length > {10 * 1024 * 1024} AS refused,
+        CASE WHEN length > {10 * 1024 * 1024} THEN 'File too large. Maximum size: 10MB' END AS error FROM uploads""",
+    "intake_outcome": with_(LINES, BLOBS, UPLOADS, LEDGER, _UPLOAD_URLS, _OUTCOME) +
+        "SELECT path, n_urls, error FROM outcome",
+    "intake_urls": with_(LINES, BLOBS, UPLOADS, LEDGER, _UPLOAD_URLS, _OUTCOME) +
+        "SELECT path, url FROM upload_urls WHERE path IN (SELECT path FROM outcome WHERE error IS NULL)",
+    "content_hash_dedupe": """SELECT md5(text) AS md5, min(doc_id) AS doc_id, count(*) AS copies
+      FROM documents GROUP BY md5(text)""",
+    "content_ledger_anti": """SELECT doc_id FROM documents
+      WHERE md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id % 4 = 0)""",
+    "head_lines": with_(_corpus_cte()) + f"""SELECT doc_id, path, CASE WHEN name IN ({", ".join(lit(n) for n in ('Links.csv', 'temp.txt', 'Enriched_Links_Updated.csv', 'proxies_list.txt'))})
+        THEN {S.extract("replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))", '^((?:[^' + chr(92) + 'n]*' + chr(92) + 'n){0,2}[^' + chr(92) + 'n]*' + chr(92) + 'n?)')}
+        ELSE replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) END AS content FROM corpus""",
+    "path_filter": with_(_corpus_cte()) + """SELECT doc_id, path, NOT list_bool_or(list_transform(string_split(path, '/'),
+        lambda p: starts_with(p, '.') OR p IN ('__pycache__', '.vscode', '.git', 'node_modules'))) AS kept FROM corpus""",
+})

@@ -17,6 +17,7 @@ from ..functions.urls import base_url, has_scheme, is_afp_source, is_valid_url,
 from ..operators import ordering, stats
 from ..operators import text as text_ops
 from ..operators import urls as url_ops
+from ..sources import files
 from . import inputs, pipeline
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -464,3 +465,127 @@ def llm_validate(spark, sf):
 def llm_yield(spark, sf):
     v = llm_validate(spark, sf).withColumn("valid", F.coalesce("valid", F.lit(False)))
     return stats.response_yield(v)
+
+
+# --- Sources ----------------------------------------------------------------------
+
+def _page_bytes(spark, sf):
+    """Page HTML as bytes: UTF-8, with one stray 0xE9 byte after every third page."""
+    p = _pages(spark, sf)
+    tail = F.when(F.col("page_id") % 3 == 0, F.unhex(F.lit("E9"))).otherwise(F.unhex(F.lit("")))
+    return p.select("page_id", F.concat(F.encode("html", "UTF-8"), tail).alias("content"))
+
+
+@query
+def decode_text_fallback(spark, sf):
+    b = _page_bytes(spark, sf)
+    t = files.decode_text("content")
+    return b.select("page_id", (~F.is_valid_utf8(F.col("content").cast("string"))).alias("latin1"),
+                    F.char_length(t).cast("bigint").alias("n_chars"), F.md5(t).alias("text_md5"))
+
+
+def _upload_files(spark, sf):
+    """Each URL blob as an uploaded text file (path, length, content)."""
+    b = inputs.url_blobs(_pages(spark, sf))
+    content = F.encode("blob", "UTF-8")
+    return b.select(F.concat(F.lit("upload-"), F.col("blob_id").cast("string"), F.lit(".txt")).alias("path"),
+                    F.octet_length(content).cast("bigint").alias("length"), content.alias("content"),
+                    "blob_id")
+
+
+@query
+def size_gate(spark, sf):
+    f = files.size_gate(_upload_files(spark, sf))
+    return f.select("path", "length", "refused", "error")
+
+
+def _ledger(f: DataFrame) -> DataFrame:
+    """Hashes recorded by an earlier run: every fifth upload."""
+    return f.where(F.col("blob_id") % 5 == 0).select(F.md5("content").alias("md5"))
+
+
+@query
+def intake_outcome(spark, sf):
+    f = _upload_files(spark, sf)
+    _, outcome = files.intake(f.drop("blob_id"), ledger=_ledger(f))
+    return outcome.select("path", "n_urls", "error")
+
+
+@query
+def intake_urls(spark, sf):
+    f = _upload_files(spark, sf)
+    urls, _ = files.intake(f.drop("blob_id"), ledger=_ledger(f))
+    return urls.select("path", "url")
+
+
+@query
+def content_hash_dedupe(spark, sf):
+    d = _docs(spark, sf).withColumn("md5", F.md5("text"))
+    return d.groupBy("md5").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+
+
+@query
+def content_ledger_anti(spark, sf):
+    d = _docs(spark, sf).withColumn("md5", F.md5("text"))
+    ledger = d.where(F.col("doc_id") % 4 == 0).select("md5")
+    return url_ops.drop_seen(d, ledger).select("doc_id")
+
+
+CORPUS_DIRS = ["src", ".git", "docs/__pycache__", "data", "node_modules/pkg"]
+CORPUS_NAMES = ["Links.csv", "temp.txt", "notes.md", "proxies_list.txt", "main.py", ".env"]
+
+
+def _corpus(spark, sf):
+    d = _docs(spark, sf)
+    did = F.col("doc_id")
+    name = inputs._pick(did % 6, CORPUS_NAMES)
+    path = F.concat(inputs._pick(did % 5, CORPUS_DIRS), F.lit("/d"), did.cast("string"), F.lit("/"), name)
+    return d.select("doc_id", path.alias("path"), name.alias("name"), "text")
+
+
+@query
+def head_lines(spark, sf):
+    c = _corpus(spark, sf)
+    return c.select("doc_id", "path", files.corpus_content("name", files.universal_newlines("text"))
+                    .alias("content"))
+
+
+@query
+def path_filter(spark, sf):
+    c = _corpus(spark, sf)
+    return c.select("doc_id", "path", (~files.path_is_ignored("path")).alias("kept"))
+
+
+@query
+def corpus_scan(spark, sf):
+    """SRC12 over the table folder itself (rows-only check)."""
+    c = files.scan_corpus(spark, sf)
+    return c.select("path", F.char_length("content").cast("bigint").alias("n_chars"))
+
+
+@query
+def page_decode(spark, sf):
+    """SRC11 (rows-only check): pages stored as Latin-1 with a declared charset
+    (page_id%4=0, when the page fits Latin-1), with a byte-order mark (%4=1),
+    or as plain UTF-8."""
+    p = _pages(spark, sf)
+    k = F.col("page_id") % 4
+    fits = F.col("html").rlike(text.LATIN1_ONLY)
+    declared = F.replace(F.col("html"), F.lit('<meta charset="utf-8">'), F.lit('<meta charset="iso-8859-1">'))
+    content = (F.when((k == 0) & fits, F.encode(declared, "ISO-8859-1"))
+               .when(k == 1, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("html", "UTF-8")))
+               .otherwise(F.encode("html", "UTF-8")))
+    t = files.page_text(content)
+    return p.select("page_id", F.md5(t).alias("text_md5"))
+
+
+@query
+def result_csv_roundtrip(spark, sf):
+    """SNK1 -> SRC8 (rows-only check): result rows written as CSV with a BOM in
+    the shared checkpoint folder and read back."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    r = pipeline.result_rows(pipeline.process_urls(_url_list(spark, sf), _rich(spark, sf), _blocked(spark, sf)))
+    out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/result-csv-{uuid.uuid4().hex}"
+    files.write_result_csv(r, out)
+    return files.read_result_csv(spark, out)
