@@ -22,24 +22,17 @@ DATE_KEYS = ("datePublished", "dateModified", "dateCreated", "publishedDate", "m
 ARTICLE_TYPES = r"(?i)article|posting|report|videoobject|webpage"
 
 
-def strict_json_sql(x: str) -> str:
-    """SQL text: is ``x`` one complete JSON value (nothing after it)?"""
-    return (f"(try_parse_json({x}) IS NOT NULL AND "
-            f"try_variant_get(try_parse_json(concat('[', {x}, ']')), '$[1]', 'variant') IS NULL AND "
-            f"try_parse_json(concat('[', {x}, ']')) IS NOT NULL)")
-
-
 def strict_json(c) -> Column:
     """True when the text is exactly one JSON value, as Python's ``json.loads`` reads it.
 
-    ``try_parse_json`` alone accepts trailing text (``{"a":1} x``); wrapping
-    in ``[...]`` and requiring exactly one element rejects it.  Known
-    difference: ``NaN`` and duplicate keys are rejected here, accepted there.
+    ``try_parse_json`` alone accepts trailing text (``{"a":1} x``); the text is
+    parsed once wrapped in ``[...]`` and must give an array of exactly one
+    element.  Known difference: ``NaN`` and duplicate keys are rejected here,
+    accepted there.
     """
-    s = _col(c)
-    wrapped = F.try_parse_json(F.concat(F.lit("["), s, F.lit("]")))
-    return (F.try_parse_json(s).isNotNull() & wrapped.isNotNull()
-            & F.try_variant_get(wrapped, "$[1]", "variant").isNull())
+    wrapped = F.try_parse_json(F.concat(F.lit("["), _col(c), F.lit("]")))
+    n = F.size(F.try_variant_get(wrapped, "$", "array<variant>"))
+    return F.coalesce(n == 1, F.lit(False))
 
 
 def jsonld_blocks(c) -> Column:
@@ -128,14 +121,21 @@ def _names_of(v: str) -> str:
             f"x -> x IS NOT NULL AND trim(x) <> '')")
 
 
-def jsonld_fields(blocks_col: str) -> Column:
+def jsonld_candidates(blocks_col: str) -> Column:
+    """ARRAY<VARIANT> of the objects X3 searches (see ``candidates_sql``)."""
+    return F.expr(candidates_sql(f"`{blocks_col}`"))
+
+
+def jsonld_fields(blocks_col: str, candidates_col: str | None = None) -> Column:
     """Title, authors, source and the two dates from a page's JSON-LD blocks.
 
     ``blocks_col`` names an ARRAY<STRING> column (bind H4's result with
-    ``withColumn`` first).  Each field is the first non-empty hit over the
-    candidate objects; authors are joined with ', '; all null without blocks.
+    ``withColumn`` first); pass ``candidates_col`` when ``jsonld_candidates``
+    is already bound, so the blocks are parsed once.  Each field is the first
+    non-empty hit over the candidate objects; authors are joined with ', ';
+    all null without blocks.
     """
-    objs = candidates_sql(f"`{blocks_col}`")
+    objs = f"`{candidates_col}`" if candidates_col else candidates_sql(f"`{blocks_col}`")
     title = _first("try_variant_get(o, '$.headline', 'string')", objs)
     name_title = _first("try_variant_get(o, '$.name', 'string')", objs,
                         cond=f"coalesce(regexp_like(try_variant_get(o, '$[\"@type\"]', 'string'), "

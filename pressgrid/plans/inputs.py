@@ -12,9 +12,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.partitioning import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table; per-row work here is CPU-bound (regular expressions,
+    JSON), so a scan with fewer splits than cores is spread (no-op at scale)."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _s(c) -> F.Column:
@@ -131,7 +135,7 @@ HOSTS = ["www.cnn.com", "edition.cnn.com", "www.reuters.com", "apnews.com", "www
 
 
 def dated_urls(events: DataFrame) -> DataFrame:
-    """(event_id, ts, url): news-like URLs whose path carries the event's date
+    """(event_id, ts, url, ...): news-like URLs whose path carries the event's date
     in one of five shapes; some impossible months; AFP stamps on every fourth."""
     eid = F.col("event_id")
     ts = F.col("ts")
@@ -154,7 +158,7 @@ def dated_urls(events: DataFrame) -> DataFrame:
     frag = F.when(eid % 4 == 0, F.concat(F.lit("#doc."), yyyy, stamp_month, dd, F.lit("T"),
                                          F.date_format(ts, "HHmmss"), F.lit("Z"))).otherwise(F.lit(""))
     url = F.concat(F.lit("https://"), _pick(eid % 6, HOSTS), path, frag)
-    return events.select("event_id", "ts", url.alias("url"))
+    return events.select("event_id", "ts", url.alias("url"), "event_type", "user_id", "props")
 
 
 # How an event type stands in for a processing outcome.
@@ -164,7 +168,7 @@ STATUS_OF_EVENT = {"view": "success", "purchase": "success", "click": "success_u
 
 def result_log(events: DataFrame) -> DataFrame:
     """The ten result columns plus (event_id, ts, run_id), one row per event."""
-    e = dated_urls(events).join(events.select("event_id", "event_type", "user_id", "props"), "event_id")
+    e = dated_urls(events)
     eid = F.col("event_id")
     status = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in STATUS_OF_EVENT.items()],
                         F.lit("error_future"))

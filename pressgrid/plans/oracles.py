@@ -554,3 +554,10 @@ ORACLES.update({
     "path_filter": with_(_corpus_cte()) + """SELECT doc_id, path, NOT list_bool_or(list_transform(string_split(path, '/'),
         lambda p: starts_with(p, '.') OR p IN ('__pycache__', '.vscode', '.git', 'node_modules'))) AS kept FROM corpus""",
 })
+
+ORACLES.update({
+    "stream_progress": with_(DATED, LOG) + "SELECT status, count(*) AS n FROM log GROUP BY status",
+    "stream_intake": with_(LINES, BLOBS) + f"""SELECT DISTINCT md5(blob || chr(10)) AS md5,
+        CAST(octet_length(encode(blob || chr(10))) AS BIGINT) AS length,
+        octet_length(encode(blob || chr(10))) > {10 * 1024 * 1024} AS refused FROM blobs""",
+})

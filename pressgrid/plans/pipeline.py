@@ -55,7 +55,9 @@ def page_metadata(pages: DataFrame, date_style: str = "date", html_col: str = "h
     Dates follow ``date_style`` (D3); the modified date falls back to the
     published one (D4).
     """
-    p = page_parts(pages, html_col).withColumn("_ld", jsonld.jsonld_fields("ld_blocks"))
+    p = (page_parts(pages, html_col)
+         .withColumn("_cands", jsonld.jsonld_candidates("ld_blocks"))
+         .withColumn("_ld", jsonld.jsonld_fields("ld_blocks", "_cands")))
     h = F.col(html_col)
     title = F.coalesce(F.col("_ld.title"), extract.meta_content(h, "og:title"),
                        extract.first_inner_text("_h1", extract.H1_INNER),
@@ -72,7 +74,7 @@ def page_metadata(pages: DataFrame, date_style: str = "date", html_col: str = "h
          .withColumn("modified_date", dates.modified_or_published(
              dates.to_date_style(modified, date_style), "published_date"))
          .withColumn("article_text", F.col("content")))
-    return p.drop("_ld", "_h1")
+    return p.drop("_ld", "_h1", "_cands")
 
 
 def build_payload(pages: DataFrame, html_col: str = "html", url_col: str = "url",

@@ -441,24 +441,20 @@ def llm_json_span(spark, sf):
 
 
 def _validated(spark, sf):
-    r = _responses(spark, sf).withColumn("s", llm_output.json_span("response"))
-    r = r.withColumn("j", llm_output.repair_json("s.span"))
-    r = r.withColumn("rec", F.when(F.col("s.error").isNull(), llm_output.record_fields("j.json", "response")))
-    return r
+    return llm_output.validate_responses(_responses(spark, sf), "response")
 
 
 @query
 def llm_json_repair(spark, sf):
     r = _validated(spark, sf)
-    return r.select("id", F.col("j.parse_rung").cast("bigint").alias("parse_rung"), F.col("j.json").alias("json"))
+    return r.select("id", F.col("parse_rung").cast("bigint").alias("parse_rung"), "json")
 
 
 @query
 def llm_validate(spark, sf):
     r = _validated(spark, sf)
-    return r.select("id", F.col("s.error").alias("error"), F.col("j.parse_rung").cast("bigint").alias("parse_rung"),
-                    *[F.col(f"rec.{c}").alias(c) for c in llm_output.RECORD_FIELDS],
-                    F.col("rec.valid").alias("valid"))
+    return r.select("id", "error", F.col("parse_rung").cast("bigint").alias("parse_rung"),
+                    *llm_output.RECORD_FIELDS, "valid")
 
 
 @query
@@ -589,3 +585,29 @@ def result_csv_roundtrip(spark, sf):
     out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/result-csv-{uuid.uuid4().hex}"
     files.write_result_csv(r, out)
     return files.read_result_csv(spark, out)
+
+
+# --- Streaming ----------------------------------------------------------------------
+
+@query
+def stream_progress(spark, sf):
+    """ST2: the result log read as a stream of event files; totals per status."""
+    from ..streaming import jobs
+    schema = _t(spark, sf, "events").schema
+    events = (spark.readStream.format("parquet").schema(schema)
+              .option("pathGlobFilter", "events.parquet").load(sf))
+    out = jobs.run_to_table(jobs.stream_progress(inputs.result_log(events)), "stream-progress", "complete")
+    return spark.read.parquet(out)
+
+
+@query
+def stream_intake(spark, sf):
+    """ST1: every URL blob dropped as an upload file (every fifth one twice);
+    the stream keeps one row per distinct content."""
+    from ..streaming import jobs
+    b = inputs.url_blobs(_pages(spark, sf))
+    copies = b.where(F.col("blob_id") % 5 == 0).withColumn("blob_id", F.col("blob_id") + 1_000_000)
+    drop = jobs.checkpoint_path(spark, f"uploads-{__import__('uuid').uuid4().hex}")
+    b.unionByName(copies).write.partitionBy("blob_id").text(drop)
+    out = jobs.run_to_table(jobs.stream_intake(spark, drop), "stream-intake")
+    return spark.read.parquet(out).select("md5", "length", "refused")
