@@ -23,7 +23,7 @@ CP1252_BYTES = "".join(chr(b) for b in (
     0x80, 0x82, 0x83, 0x84, 0x85, 0x86, 0x87, 0x88, 0x89, 0x8A, 0x8B, 0x8C, 0x8E,
     0x91, 0x92, 0x93, 0x94, 0x95, 0x96, 0x97, 0x98, 0x99, 0x9A, 0x9B, 0x9C, 0x9E, 0x9F))
 
-LATIN1_ONLY = r"^[\x{0}-\x{ff}]*$"
+LATIN1_ONLY = r"^[\x{0}-\x{ff}]*\z"
 C1_CONTROLS = r"[\x{80}-\x{9f}]"
 
 

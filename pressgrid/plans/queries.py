@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, extract, html, jsonld, llm_output, text
-from ..functions.urls import base_url, has_scheme, is_afp_source, is_valid_url, py_strip
-from ..operators import ordering, stats
+from ..functions.urls import base_url, has_scheme, is_valid_url, py_strip
+from ..operators import enrich, ordering, stats
 from ..operators import text as text_ops
 from ..operators import urls as url_ops
 from ..sources import files
@@ -148,11 +148,7 @@ def afp_datetime(spark, sf):
 @query
 def afp_enrich(spark, sf):
     log = inputs.result_log(_t(spark, sf, "events"))
-    stamp = dates.afp_datetime("url")
-    hit = is_afp_source("source") & stamp.isNotNull()
-    return log.select("event_id", "source",
-                      F.when(hit, stamp).otherwise(F.col("published_date")).alias("published_date"),
-                      F.when(hit, stamp).otherwise(F.col("modified_date")).alias("modified_date"))
+    return enrich.enrich_afp(log).select("event_id", "source", "published_date", "modified_date")
 
 
 def _stamp_strings(events: DataFrame) -> DataFrame:

@@ -92,6 +92,8 @@ def intake(files: DataFrame, csv_rows: DataFrame | None = None, ledger: DataFram
     ``outcome(path, md5, length, n_urls, error)`` has one row per file with
     ``error`` null when accepted.  Order of the checks: size gate (SRC5),
     hash already in ``ledger(md5)`` (J5), empty CSV, no valid URL (SRC7).
+    A zero-byte file gives no row at all: Spark's file scans make no split
+    for it (the form reported "CSV file is empty").
     Text files (``.txt``) are decoded UTF-8 first, Latin-1 when that fails
     (SRC4), then split on newlines and commas with values stripped (SRC2);
     CSV files (``.csv``, rows in ``csv_rows(path, _c0, ...)``) keep the

@@ -53,19 +53,24 @@ def stream_progress(results: DataFrame) -> DataFrame:
     return results.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def stream_pages(urls: DataFrame, pages: DataFrame, blocked: DataFrame) -> DataFrame:
-    """ST3: a stream of ``(pos, url)`` through the URL pipeline.
+def stream_pages(pages: DataFrame, blocked: DataFrame):
+    """ST3: the URL pipeline as a per-micro-batch function for ``foreachBatch``.
 
-    The page and blocked tables are static sides of stream-static joins; the
-    metadata steps are stateless, so each micro-batch is processed on its own.
+    Each micro-batch of ``(pos, url)`` is a static DataFrame, so the whole
+    batch plan applies (distinct URLs, page semi-join, join-back); the page
+    and blocked tables are the static sides.  Use with ``run_to_table(...,
+    batch_fn=stream_pages(pages, blocked))``.
     """
-    return pipeline.result_rows(pipeline.process_urls(urls, pages, blocked), keep=("pos",))
+    def run(batch: DataFrame) -> DataFrame:
+        return pipeline.result_rows(pipeline.process_urls(batch, pages, blocked), keep=("pos",))
+    return run
 
 
 def run_to_table(df: DataFrame, name: str, output_mode: str = "append",
-                 checkpoint: str | None = None) -> str:
+                 checkpoint: str | None = None, batch_fn=None) -> str:
     """Run a streaming DataFrame over everything available now and keep the
     result as parquet in the checkpoint folder; returns the table path.
+    ``batch_fn`` transforms each micro-batch (a static DataFrame) first.
 
     Each micro-batch is written by ``foreachBatch``: appended in append mode,
     written over in complete mode.  Restarting with the same checkpoint goes
@@ -78,7 +83,7 @@ def run_to_table(df: DataFrame, name: str, output_mode: str = "append",
 
     def write(batch: DataFrame, _epoch: int) -> None:
         mode = "overwrite" if output_mode == "complete" else "append"
-        batch.write.mode(mode).parquet(out)
+        (batch_fn(batch) if batch_fn else batch).write.mode(mode).parquet(out)
 
     q: StreamingQuery = (df.writeStream.outputMode(output_mode).foreachBatch(write)
                          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
