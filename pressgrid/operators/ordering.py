@@ -14,7 +14,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import broadcast_if_small
 
 
 def _partitions(df: DataFrame, n: int | None) -> int:
@@ -39,11 +38,13 @@ def running_totals(df: DataFrame, order_cols: list[str], sums: dict[str, Column]
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = r.select("*", *[F.sum(f"_v_{n}").over(w_local).alias(f"_l_{n}") for n in sums])
     parts = r.groupBy("_pid", "_run").agg(*[F.sum(f"_v_{n}").alias(f"_p_{n}") for n in sums])
-    # Bounded: at most (partitions + runs) rows, one per partition per run.
+    # One row per (partition, run): at most `partitions` rows without runs,
+    # which is a proven bound, so it is broadcast; with runs the bound is
+    # partitions + runs and the choice is left to AQE's runtime statistics.
     w_prev = Window.partitionBy("_run").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("_pid", "_run", *[
         F.coalesce(F.sum(f"_p_{n}").over(w_prev), F.lit(0)).alias(f"_o_{n}") for n in sums])
-    out = local.join(broadcast_if_small(offsets), ["_pid", "_run"])
+    out = local.join(offsets if run_col else F.broadcast(offsets), ["_pid", "_run"])
     out = out.select("*", *[(F.col(f"_o_{n}") + F.col(f"_l_{n}")).alias(n) for n in sums])
     drop = ["_pid", "_run"] + [f"_{p}_{n}" for n in sums for p in ("v", "l", "o")]
     return out.drop(*drop)

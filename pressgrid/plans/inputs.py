@@ -130,6 +130,7 @@ def rich_pages(pages: DataFrame) -> DataFrame:
 
 # --- Dated URLs and result logs (events) ------------------------------------
 
+MONTH_ABBR = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 HOSTS = ["www.cnn.com", "edition.cnn.com", "www.reuters.com", "apnews.com", "www.bbc.co.uk",
          "news.example-daily.org"]
 
@@ -139,11 +140,17 @@ def dated_urls(events: DataFrame) -> DataFrame:
     in one of five shapes; some impossible months; AFP stamps on every fourth."""
     eid = F.col("event_id")
     ts = F.col("ts")
-    yyyy = F.date_format(ts, "yyyy")
-    mm = F.when(eid % 17 == 0, F.lit("13")).otherwise(F.date_format(ts, "MM"))
-    dd = F.date_format(ts, "dd")
-    d = F.date_format(ts, "d")
-    mon = F.lower(F.date_format(ts, "MMM"))
+
+    def two(c):
+        return F.lpad(c.cast("string"), 2, "0")
+
+    # Date parts from field functions (cheaper than a formatter per part).
+    yyyy = F.year(ts).cast("string")
+    month = two(F.month(ts))
+    mm = F.when(eid % 17 == 0, F.lit("13")).otherwise(month)
+    dd = two(F.dayofmonth(ts))
+    d = F.dayofmonth(ts).cast("string")
+    mon = _pick(F.month(ts) - 1, list(MONTH_ABBR))
     slug = F.when(eid % 9 == 0, F.concat(F.lit("a"), _s(eid))).otherwise(
         F.concat(F.col("event_type"), F.lit("-market-"), _s(F.col("user_id")), F.lit("-update")))
     shape = eid % 5
@@ -154,9 +161,10 @@ def dated_urls(events: DataFrame) -> DataFrame:
                                        F.lit(".html")))
             .otherwise(F.concat(F.lit("/video/"), yyyy, mm, dd, F.lit("-"), slug, F.lit("/index.html"))))
     path = F.when(eid % 8 == 3, F.concat(F.lit("/by/jane-roe"), path)).otherwise(path)
-    stamp_month = F.when(eid % 23 == 0, F.lit("13")).otherwise(F.date_format(ts, "MM"))
+    stamp_month = F.when(eid % 23 == 0, F.lit("13")).otherwise(month)
+    hhmmss = F.concat(two(F.hour(ts)), two(F.minute(ts)), two(F.second(ts)))
     frag = F.when(eid % 4 == 0, F.concat(F.lit("#doc."), yyyy, stamp_month, dd, F.lit("T"),
-                                         F.date_format(ts, "HHmmss"), F.lit("Z"))).otherwise(F.lit(""))
+                                         hhmmss, F.lit("Z"))).otherwise(F.lit(""))
     url = F.concat(F.lit("https://"), _pick(eid % 6, HOSTS), path, frag)
     return events.select("event_id", "ts", url.alias("url"), "event_type", "user_id", "props")
 
@@ -175,14 +183,14 @@ def result_log(events: DataFrame) -> DataFrame:
     ok = status.startswith("success")
     blank = F.lit("")
     return e.select(
-        "event_id", "ts", F.date_format("ts", "yyyy-MM-dd").alias("run_id"), "url",
+        "event_id", "ts", F.to_date("ts").cast("string").alias("run_id"), "url",
         F.when(ok, F.concat(F.lit("Title "), _s(eid))).otherwise(blank).alias("title"),
         F.when(ok, F.when(eid % 3 == 0, F.lit("Ann Lee, Bo Chen")).otherwise(F.lit("N/A"))).otherwise(blank)
         .alias("authors"),
         F.when(ok, F.when(eid % 3 == 0, F.lit(" afp ")).otherwise(F.lit("Reuters"))).otherwise(blank)
         .alias("source"),
-        F.when(ok, F.date_format("ts", "yyyy-MM-dd")).otherwise(blank).alias("published_date"),
-        F.when(ok, F.when(eid % 2 == 0, F.date_format("ts", "yyyy-MM-dd")).otherwise(F.lit("N/A")))
+        F.when(ok, F.to_date("ts").cast("string")).otherwise(blank).alias("published_date"),
+        F.when(ok, F.when(eid % 2 == 0, F.to_date("ts").cast("string")).otherwise(F.lit("N/A")))
         .otherwise(blank).alias("modified_date"),
         F.when(status == "success", F.lit("page-rules"))
         .when(status == "success_url_parser", F.lit("url-rules")).otherwise(F.lit("N/A")).alias("llm_used"),

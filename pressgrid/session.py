@@ -48,7 +48,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster ``spark.checkpoint.dir`` points at shared storage and is used
     as is.  Only when it is unset (local tests) do we pick a scratch folder.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    current = (spark.conf.get("spark.checkpoint.dir", None)
+               or sc.getConf().get("spark.checkpoint.dir", None)
+               or sc.getCheckpointDir())
     if current:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(current)
