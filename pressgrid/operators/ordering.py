@@ -23,10 +23,13 @@ def _partitions(df: DataFrame, n: int | None) -> int:
 
 
 def running_totals(df: DataFrame, order_cols: list[str], sums: dict[str, Column],
-                   run_col: str | None = None, num_partitions: int | None = None) -> DataFrame:
+                   run_col: str | None = None, num_partitions: int | None = None,
+                   totals: bool = False) -> DataFrame:
     """Add one column per ``sums`` entry: the running sum of that expression over
     ``order_cols`` (rows up to and including the current one), restarting per
-    ``run_col`` when given."""
+    ``run_col`` when given.  With ``totals=True`` also ``<name>_total``, the
+    run's whole sum, taken from the same small per-partition table (no extra
+    aggregate over the rows)."""
     run = F.col(run_col) if run_col else F.lit(0)
     keys = ([run_col] if run_col else []) + list(order_cols)
     r = df.withColumn("_run", run)
@@ -42,8 +45,10 @@ def running_totals(df: DataFrame, order_cols: list[str], sums: dict[str, Column]
     # which is a proven bound, so it is broadcast; with runs the bound is
     # partitions + runs and the choice is left to AQE's runtime statistics.
     w_prev = Window.partitionBy("_run").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    w_run = Window.partitionBy("_run")
     offsets = parts.select("_pid", "_run", *[
-        F.coalesce(F.sum(f"_p_{n}").over(w_prev), F.lit(0)).alias(f"_o_{n}") for n in sums])
+        F.coalesce(F.sum(f"_p_{n}").over(w_prev), F.lit(0)).alias(f"_o_{n}") for n in sums], *[
+        F.sum(f"_p_{n}").over(w_run).alias(f"{n}_total") for n in (sums if totals else [])])
     out = local.join(offsets if run_col else F.broadcast(offsets), ["_pid", "_run"])
     out = out.select("*", *[(F.col(f"_o_{n}") + F.col(f"_l_{n}")).alias(n) for n in sums])
     drop = ["_pid", "_run"] + [f"_{p}_{n}" for n in sums for p in ("v", "l", "o")]
@@ -53,15 +58,9 @@ def running_totals(df: DataFrame, order_cols: list[str], sums: dict[str, Column]
 def number_rows(df: DataFrame, order_cols: list[str], run_col: str | None = None,
                 out_col: str = "row_no", total_col: str | None = "total") -> DataFrame:
     """1-based row number over ``order_cols`` (per run), plus the run's size."""
-    out = running_totals(df, order_cols, {out_col: F.lit(1)}, run_col)
+    out = running_totals(df, order_cols, {out_col: F.lit(1)}, run_col, totals=bool(total_col))
     if total_col:
-        keys = [run_col] if run_col else []
-        if keys:
-            totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(total_col))
-            out = out.join(totals, keys)
-        else:
-            total = df.agg(F.count(F.lit(1)).alias(total_col)).withColumn("_k", F.lit(0))
-            out = out.withColumn("_k", F.lit(0)).join(F.broadcast(total), "_k").drop("_k")
+        out = out.withColumnRenamed(f"{out_col}_total", total_col)
     return out
 
 

@@ -16,8 +16,11 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     The round-robin repartition is sorted first by Spark, so a retried task
     sees the same rows.
     """
-    spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. a Spark Connect session): leave the plan as is
+        return df
+    if current >= target:
         return df
     return df.repartition(target)

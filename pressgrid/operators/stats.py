@@ -30,13 +30,8 @@ def running_progress(results: DataFrame, ts_col: str = "ts", id_col: str = "even
     run's total, in completion order (ts, then id)."""
     out = running_totals(results, [ts_col, id_col],
                          {"completed": F.lit(1), "successful_so_far": (F.col("status") == "success")},
-                         run_col)
-    keys = [run_col] if run_col else []
-    if keys:
-        totals = results.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
-        return out.join(totals, keys)
-    total = results.agg(F.count(F.lit(1)).alias("total")).withColumn("_k", F.lit(0))
-    return out.withColumn("_k", F.lit(0)).join(F.broadcast(total), "_k").drop("_k")
+                         run_col, totals=True)
+    return out.withColumnRenamed("completed_total", "total").drop("successful_so_far_total")
 
 
 def response_yield(validated: DataFrame, by: list[str] | None = None) -> DataFrame:

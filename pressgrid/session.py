@@ -48,15 +48,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster ``spark.checkpoint.dir`` points at shared storage and is used
     as is.  Only when it is unset (local tests) do we pick a scratch folder.
     """
-    sc = spark.sparkContext
-    current = (spark.conf.get("spark.checkpoint.dir", None)
-               or sc.getConf().get("spark.checkpoint.dir", None)
-               or sc.getCheckpointDir())
+    current = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: only the session conf is visible
+        sc = None
+    if sc is not None:
+        current = current or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if current:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(current)
+        if sc is not None and not sc.getCheckpointDir():
+            sc.setCheckpointDir(current)
         return current
     path = tempfile.mkdtemp(prefix="pressgrid-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    if sc is not None:
+        sc.setCheckpointDir(path)
     return path
