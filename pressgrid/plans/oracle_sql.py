@@ -397,3 +397,57 @@ def json_span(x: str) -> dict[str, str]:
         "span": f"(CASE WHEN NOT {empty} THEN {sp} END)",
         "error": f"(CASE WHEN {empty} THEN {lit(L.ERR_EMPTY)} WHEN {sp} IS NULL THEN {lit(L.ERR_NO_JSON)} END)",
     }
+
+
+# --- model-output repair ladder ---------------------------------------------------
+
+def _last_char_pos(s: str, ch: str) -> str:
+    """1-based position of the last ``ch`` in ``s`` (0 when absent)."""
+    return (f"(CASE WHEN strpos({s}, {lit(ch)}) > 0 THEN "
+            f"length({s}) - length(regexp_extract({s}, {lit('[' + ch + ']([^' + ch + ']*)$')}, 1)) ELSE 0 END)")
+
+
+QUOTE_NOT_ESCAPED = r'(^|[^\\])"'
+QUOTE_ESCAPED = r'\1\\"'
+
+
+def _escape_quotes_before_key(line: str) -> str:
+    """Repair A, first step, on one line without look-around: every quote not
+    preceded by a backslash and standing before the last quote that precedes
+    the line's last colon is escaped (two passes cover runs of quotes)."""
+    def body(ln):
+        colon = _last_char_pos(ln, ":")
+
+        def with_q(q):
+            head = rx(rx(f"left({ln}, {q} - 1)", QUOTE_NOT_ESCAPED, QUOTE_ESCAPED), QUOTE_NOT_ESCAPED, QUOTE_ESCAPED)
+            return f"(CASE WHEN {q} > 1 THEN {head} || substr({ln}, {q}) ELSE {ln} END)"
+        return let(f"left({ln}, {colon} - 1)", lambda prefix: let(_last_char_pos(prefix, '"'), with_q))
+    return let(line, body)
+
+
+def _escape_value_controls(line: str) -> str:
+    """Repair A, second step, on one line: CR and TAB escaped inside
+    ``: "value"`` spans (matched without look-around)."""
+    span = r': "(.*?)("[,}])'
+
+    def body(ln):
+        vals = f"regexp_extract_all({ln}, {lit(span)}, 1)"
+        terms = f"regexp_extract_all({ln}, {lit(span)}, 2)"
+        pieces = f"regexp_split_to_array({ln}, {lit(span)})"
+        fix = "replace(replace(vals[i - 1], chr(13), '\\r'), chr(9), '\\t')"
+        return (f"(CASE WHEN NOT (contains({ln}, chr(9)) OR contains({ln}, chr(13))) THEN {ln} ELSE "
+                f"(list_transform([{{'vals': {vals}, 'terms': {terms}, 'pieces': {pieces}}}], lambda z: "
+                f"array_to_string(list_transform(range(1, len(z.pieces) + 1), lambda i: CASE WHEN i = 1 "
+                f"THEN z.pieces[1] ELSE ': \"' || {fix.replace('vals', 'z.vals')} || z.terms[i - 1] || z.pieces[i] END),"
+                f" '')))[1] END)")
+    return let(line, body)
+
+
+def repair_a(x: str) -> str:
+    return (f"array_to_string(list_transform(string_split({x}, chr(10)), lambda ln0: "
+            f"{_escape_value_controls(_escape_quotes_before_key('ln0'))}), chr(10))")
+
+
+def repair_b(x: str) -> str:
+    esc = f"replace(replace(replace({x}, chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t')"
+    return rx(esc, L.OPEN_STRING, r'\1"\2')

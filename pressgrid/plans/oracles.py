@@ -561,3 +561,37 @@ ORACLES.update({
         CAST(octet_length(encode(blob || chr(10))) AS BIGINT) AS length,
         octet_length(encode(blob || chr(10))) > {10 * 1024 * 1024} AS refused FROM blobs""",
 })
+
+
+def _ladder_cte() -> str:
+    sp = S.json_span("response")
+    return f"""spans AS (SELECT id, response, {sp['span']} AS span, {sp['error']} AS error FROM responses),
+rungs AS (
+  SELECT *, CASE WHEN span IS NULL THEN NULL WHEN json_valid(span) THEN 1
+                 WHEN json_valid(ra) THEN 2 WHEN json_valid(rb) THEN 3 ELSE 4 END AS parse_rung
+  FROM (SELECT *, {S.repair_a('span')} AS ra, {S.repair_b('span')} AS rb FROM spans)),
+ladder AS (
+  SELECT id, response, error, parse_rung,
+    CASE parse_rung WHEN 1 THEN span WHEN 2 THEN ra WHEN 3 THEN rb WHEN 4 THEN {lit(L.FALLBACK_JSON)} END AS json
+  FROM rungs),
+checked AS (
+  SELECT *, CASE WHEN error IS NULL THEN coalesce(json_type(json) = 'OBJECT' AND """ + " AND ".join(
+        f"coalesce(json_type(json, '$.{k}') = 'VARCHAR', false)" for k in L.RECORD_FIELDS) + """, false) END AS valid
+  FROM ladder)"""
+
+
+LADDER = _ladder_cte()
+_FIELDS_SQL = ", ".join(
+    f"CASE WHEN valid THEN json_extract_string(json, '$.{k}') WHEN NOT valid THEN "
+    + ("left(response, 1000) || '... [partial]'" if k == "article_text" else "'N/A'") + f" END AS {k}"
+    for k in L.RECORD_FIELDS)
+
+ORACLES.update({
+    "llm_json_repair": with_(RESPONSES, LADDER) + "SELECT id, CAST(coalesce(parse_rung, 0) AS BIGINT) AS parse_rung, json FROM checked",
+    "llm_validate": with_(RESPONSES, LADDER) + f"""SELECT id, error, CAST(coalesce(parse_rung, 0) AS BIGINT) AS parse_rung,
+        {_FIELDS_SQL}, coalesce(valid, false) AS valid FROM checked""",
+    "llm_yield": with_(RESPONSES, LADDER) + """SELECT count(*) AS total, count(*) FILTER (WHERE valid) AS valid,
+        count(*) FILTER (WHERE valid) / count(*) AS yield FROM checked""",
+})
+for _k in ("llm_json_repair", "llm_validate", "llm_yield"):
+    ROWS_ONLY.pop(_k, None)

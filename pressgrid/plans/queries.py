@@ -443,14 +443,15 @@ def _validated(spark, sf):
 @query
 def llm_json_repair(spark, sf):
     r = _validated(spark, sf)
-    return r.select("id", F.col("parse_rung").cast("bigint").alias("parse_rung"), "json")
+    # parse_rung 0: no JSON span to parse (the row carries an error instead).
+    return r.select("id", F.coalesce("parse_rung", F.lit(0)).cast("bigint").alias("parse_rung"), "json")
 
 
 @query
 def llm_validate(spark, sf):
     r = _validated(spark, sf)
-    return r.select("id", "error", F.col("parse_rung").cast("bigint").alias("parse_rung"),
-                    *llm_output.RECORD_FIELDS, "valid")
+    return r.select("id", "error", F.coalesce("parse_rung", F.lit(0)).cast("bigint").alias("parse_rung"),
+                    *llm_output.RECORD_FIELDS, F.coalesce("valid", F.lit(False)).alias("valid"))
 
 
 @query
