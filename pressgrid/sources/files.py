@@ -234,3 +234,16 @@ def page_text(content) -> F.Column:
             .when(latin, F.decode(c, "ISO-8859-1"))
             .when(F.is_valid_utf8(as_utf8), as_utf8)
             .otherwise(F.decode(c, "ISO-8859-1")))
+
+
+def write_page_store(pages: DataFrame, table: str, buckets: int, url_col: str = "url",
+                     mode: str = "overwrite") -> None:
+    """Keep a page table bucketed (and sorted) by URL.
+
+    The URL pipeline semi-joins the page store with the wanted URLs and joins
+    results back on the URL; with the store bucketed on ``url`` those joins
+    shuffle only the URL side, never the page HTML.  Choose ``buckets`` so a
+    bucket file is a few hundred MB.
+    """
+    (pages.write.mode(mode).format("parquet").bucketBy(buckets, url_col).sortBy(url_col)
+     .saveAsTable(table))

@@ -88,3 +88,21 @@ def test_decode_and_page_text(spark):
     assert [r[0] for r in df.select(files.decode_text("b")).collect()][:2] == ["café", "café"]
     assert [r[0] for r in df.select(files.page_text("b")).collect()] == \
         ["café", "café", "é", '<meta charset="iso-8859-1">é']
+
+
+def test_bucketed_page_store_avoids_page_shuffle(spark, tmp_path):
+    from pressgrid.plans import pipeline
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pages = spark.createDataFrame([(i, f"https://p.com/{i}", f"<p>page {i}</p>") for i in range(40)],
+                                      "page_id long, url string, html string")
+        files.write_page_store(pages, "page_store_test", 4)
+        store = spark.table("page_store_test")
+        wanted = spark.createDataFrame([(f"https://p.com/{i}",) for i in range(0, 40, 3)], "url string")
+        plan = store.join(wanted, "url", "left_semi")._jdf.queryExecution().executedPlan().toString()
+        # Only the URL list is shuffled to the store's buckets.
+        assert plan.count("Exchange hashpartitioning") == 1, plan
+        assert store.join(wanted, "url", "left_semi").count() == 14
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS page_store_test")
