@@ -92,37 +92,43 @@ def intake(files: DataFrame, csv_rows: DataFrame | None = None, ledger: DataFram
     ``outcome(path, md5, length, n_urls, error)`` has one row per file with
     ``error`` null when accepted.  Order of the checks: size gate (SRC5),
     hash already in ``ledger(md5)`` (J5), empty CSV, no valid URL (SRC7).
-    A zero-byte file gives no row at all: Spark's file scans make no split
-    for it (the form reported "CSV file is empty").
     Text files (``.txt``) are decoded UTF-8 first, Latin-1 when that fails
     (SRC4), then split on newlines and commas with values stripped (SRC2);
     CSV files (``.csv``, rows in ``csv_rows(path, _c0, ...)``) keep the
-    leftmost column holding a valid URL, values as they are (SRC3).  A file
-    past the gate is at most ``max_bytes``, so one file per row is bounded.
+    leftmost column holding a valid URL, values as they are (SRC3).
+
+    File contents never cross a shuffle: hashing, decoding and splitting are
+    map-side on the file rows, and every join or group-by after that works on
+    narrow rows (path, hash, URL), so many copies of one file (a hot hash) or
+    one file with very many URLs cost no more than their narrow rows.  A file
+    past the gate is at most ``max_bytes``.  A zero-byte file gives no row at
+    all: Spark's file scans make no split for it (the form reported "CSV file
+    is empty").
     """
-    files = size_gate(files.select("path", "length", "content").withColumn("md5", F.md5("content")),
-                      max_bytes)
-    if ledger is not None:
-        seen = ledger.select("md5").distinct().withColumn("_seen", F.lit(True))
-        files = files.join(broadcast_if_small(seen), "md5", "left")
-    else:
-        files = files.withColumn("_seen", F.lit(None).cast("boolean"))
-    ok = files.where(~F.col("refused") & F.col("_seen").isNull())
-
-    txt = ok.where(F.col("path").endswith(".txt")).select("path", decode_text("content").alias("text"))
+    gated = size_gate(files.select("path", "length", "content"), max_bytes)
+    meta = gated.select("path", "length", F.md5("content").alias("md5"), "refused", "error")
+    txt = gated.where(~F.col("refused") & F.col("path").endswith(".txt")) \
+        .select("path", decode_text("content").alias("text"))
     urls = split_urls(txt, "text", ["path"])
     empty_csv = F.lit(False)
     if csv_rows is not None:
-        csv = csv_rows.join(ok.where(F.col("path").endswith(".csv")).select("path"), "path", "left_semi")
+        csv = csv_rows.join(meta.where(~F.col("refused") & F.col("path").endswith(".csv")).select("path"),
+                            "path", "left_semi")
         cols = [c for c in csv.columns if c != "path"]
         if cols:
             urls = urls.unionByName(discover_url_column(csv, "path", cols))
         rows = csv.groupBy("path").agg(F.count(F.lit(1)).alias("_rows"))
-        files = files.join(rows, "path", "left")
+        meta = meta.join(rows, "path", "left")
         empty_csv = F.col("path").endswith(".csv") & F.col("_rows").isNull()
+    if ledger is not None:
+        seen = ledger.select("md5").distinct().withColumn("_seen", F.lit(True))
+        meta = meta.join(broadcast_if_small(seen), "md5", "left")
+    else:
+        meta = meta.withColumn("_seen", F.lit(None).cast("boolean"))
     counts = urls.groupBy("path").agg(F.count(F.lit(1)).alias("n_urls"))
-    out = files.join(counts, "path", "left")
-    n = F.coalesce(F.col("n_urls"), F.lit(0))
+    out = meta.join(counts, "path", "left")
+    # A file refused as already processed reports no URLs (they were not taken).
+    n = F.when(F.coalesce(F.col("_seen"), F.lit(False)), F.lit(0)).otherwise(F.coalesce(F.col("n_urls"), F.lit(0)))
     error = (F.when(F.col("refused"), F.col("error"))
              .when(F.col("_seen"), F.lit(ERR_SEEN))
              .when(empty_csv, F.lit(ERR_EMPTY_CSV))

@@ -40,7 +40,10 @@ def stream_intake(spark: SparkSession, path: str, max_bytes: int = MAX_UPLOAD_BY
     files = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
              .option("pathGlobFilter", "*.{csv,txt}")
              .option("recursiveFileLookup", "true").load(path))
-    files = size_gate(files.withColumn("md5", F.md5("content")), max_bytes)
+    # Hash map-side and drop the bytes, so the de-duplication shuffle (and its
+    # state) holds narrow rows even when one content has very many copies.
+    files = size_gate(files.select("path", "modificationTime", "length", F.md5("content").alias("md5")),
+                      max_bytes)
     if dedupe_window:
         files = files.withWatermark("modificationTime", dedupe_window).dropDuplicatesWithinWatermark(["md5"])
     else:
