@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .text import WS_CLASS, _col, collapse_ws
 
-# Elements removed before the text is taken, in removal order.
-REMOVED_IN_FIRST_PASS = ("script", "style")
+# Elements removed before the text is taken (script and style go
+# in the first pass with comments), in removal order.
 REMOVED_ELEMENTS = ("nav", "footer", "aside", "form", "header")
 # Where the main content is looked for, first hit wins.
 CONTENT_CONTAINERS = ("article", "main", "body")
@@ -70,12 +70,14 @@ NUMERIC_ENTITIES = (
     ("#8211", "–"), ("#8212", "—"), ("#8216", "‘"), ("#8217", "’"),
     ("#8220", "“"), ("#8221", "”"), ("#8230", "…"),
 )
-NAME_CONTINUES = r"[-.a-zA-Z0-9]"
+# A reference without ';' ends at a character that cannot continue its name.
+NAME_STOP = r"[^-.a-zA-Z0-9]"
+NUMBER_STOP = r"[^0-9a-fA-F]"
 
 
 def _unescape_one(s: Column, ref: str, char: str) -> Column:
     s = F.replace(s, F.lit(f"&{ref};"), F.lit(char))
-    stop = "[^-.a-zA-Z0-9]" if not ref.startswith("#") else "[^0-9a-fA-F]"
+    stop = NUMBER_STOP if ref.startswith("#") else NAME_STOP
     repl = char.replace("\\", "\\\\").replace("$", "\\$")
     return F.regexp_replace(s, f"&{ref}({stop}|$)", repl + "$1")
 

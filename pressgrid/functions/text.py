@@ -71,6 +71,7 @@ def truncate(c, n: int, suffix: str) -> Column:
     return F.when(F.char_length(s) > n, F.concat(F.left(s, F.lit(n)), F.lit(suffix))).otherwise(s)
 
 
+# Cut limits and the suffixes that mark a cut.
 CONTENT_LIMIT = 50000
 CONTENT_SUFFIX = "... [truncated for processing speed]"
 PAYLOAD_LIMIT = 50000

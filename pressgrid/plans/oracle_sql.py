@@ -117,7 +117,7 @@ def html_escape(x: str) -> str:
 
 def _unescape_one(s: str, ref: str, char: str) -> str:
     s = f"replace({s}, {lit('&' + ref + ';')}, {lit(char)})"
-    stop = "[^-.a-zA-Z0-9]" if not ref.startswith("#") else "[^0-9a-fA-F]"
+    stop = H.NUMBER_STOP if ref.startswith("#") else H.NAME_STOP
     return f"regexp_replace({s}, {lit('&' + ref + '(' + stop + '|$)')}, {lit(char.replace(chr(92), chr(92) * 2) + chr(92) + '1')}, 'g')"
 
 

@@ -19,6 +19,7 @@ from ..functions import dates, extract, html, jsonld, text
 from ..functions.urls import has_scheme, py_strip
 from ..operators.urls import route
 
+# The status domain, the failure messages, the sink columns.
 STATUS_SUCCESS = "success"
 STATUS_URL_PARSER = "success_url_parser"
 STATUS_INVALID = "error_invalid_url"

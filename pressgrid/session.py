@@ -45,6 +45,15 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+def configure(spark: SparkSession) -> SparkSession:
+    """Apply the session-level settings the operators rely on to an existing
+    session (a cluster's own), leaving cluster-sized settings alone."""
+    for k in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled"):
+        spark.conf.set(k, BASE_CONF[k])
+    ensure_checkpoint_dir(spark)
+    return spark
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
