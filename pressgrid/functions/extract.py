@@ -118,11 +118,16 @@ def date_from_path(path: Column) -> Column:
     return F.coalesce(*cands)
 
 
-def url_metadata(c, names: dict | None = None) -> Column:
-    """Article record from the URL alone; every missing field is 'unknown'."""
+def url_metadata(c, names: dict | None = None, path=None, date=None) -> Column:
+    """Article record from the URL alone; every missing field is 'unknown'.
+
+    ``path`` / ``date`` may name columns already holding ``url_path`` and
+    ``date_from_path`` (see ``with_url_metadata``), so that the path is cut
+    once per row rather than once per rule.
+    """
     u = _col(c)
-    path = url_path(u)
-    date = date_from_path(path)
+    path = url_path(u) if path is None else _col(path)
+    date = date_from_path(path) if date is None else _col(date)
     unk = F.lit(UNKNOWN)
     return F.struct(
         F.coalesce(title_from_path(path), unk).alias("title"),
@@ -134,6 +139,13 @@ def url_metadata(c, names: dict | None = None) -> Column:
     )
 
 
+def with_url_metadata(df, url_col: str = "url", out: str = "url_meta", names: dict | None = None):
+    """X1 as a DataFrame step: binds the path and the date first, then adds the
+    record struct ``out``."""
+    r = df.withColumn("_path", url_path(url_col)).withColumn("_date", date_from_path(F.col("_path")))
+    return r.withColumn(out, url_metadata(url_col, names, "_path", "_date")).drop("_path", "_date")
+
+
 # --- X2 page fallbacks ------------------------------------------------------
 
 def meta_content(html, key: str) -> Column:

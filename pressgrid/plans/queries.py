@@ -118,7 +118,7 @@ def page_metadata(spark, sf):
 @query
 def url_metadata(spark, sf):
     u = inputs.dated_urls(_t(spark, sf, "events"))
-    r = u.select("event_id", "url", extract.url_metadata("url").alias("m"))
+    r = extract.with_url_metadata(u.select("event_id", "url"), "url", "m")
     return r.select("event_id", "url", *[F.col(f"m.{c}").alias(c) for c in pipeline.RECORD_FIELDS])
 
 
