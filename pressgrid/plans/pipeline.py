@@ -98,11 +98,12 @@ def build_payload(pages: DataFrame, html_col: str = "html", url_col: str = "url"
         F.col(url_col).alias("url"),
         F.when(F.col("content") != "", text.fix_mojibake(content)).otherwise(F.lit("")).alias("website_content"),
         wrapper.alias("json_ld"),
-        F.when(~good, F.left(F.col("_h1"), F.lit(20000))).alias("raw_html_for_dates"))
-    # H7 uses the page with the removed elements gone (not replaced by a space).
-    p = p.withColumn("_h1", html.strip_boilerplate(html_col, ""))
+        F.when(~good, F.left(F.col("_raw"), F.lit(20000))).alias("raw_html_for_dates"))
+    # H7 (``_raw``) is the page with the removed elements gone, not replaced by
+    # a space as for the text.
+    p = p.withColumn("_raw", html.strip_boilerplate(html_col, ""))
     p = p.withColumn("payload", payload)
-    return p.withColumn("payload_text", text.truncate_payload(F.to_json("payload"))).drop("_h1")
+    return p.withColumn("payload_text", text.truncate_payload(F.to_json("payload"))).drop("_h1", "_raw")
 
 
 def process_urls(urls: DataFrame, pages: DataFrame, blocked: DataFrame,

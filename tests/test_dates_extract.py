@@ -67,3 +67,15 @@ def test_jsonld_fields_nested_shapes(spark):
     r = df.select(jsonld.jsonld_fields("b").alias("f")).first().f
     assert (r.title, r.authors, r.source, r.published, r.modified) == \
         ("Main", "A, B, C, D", "CNN", "2025-06-13T16:08:46Z", "2025-06-13T16:17:23Z")
+
+
+def test_enrich_afp_keeps_rows_and_reads_upper_case_url(spark):
+    from pressgrid.operators.enrich import enrich_afp
+    rows = [("https://x.afp.com/doc.20250416T170321Z", " afp ", "2025-04-16", "2025-04-16", "t"),
+            ("https://x.afp.com/doc.20250416T170321Z", "Reuters", "2025-04-16", "N/A", "t"),
+            ("https://x.afp.com/no-stamp", "AFP", "2025-04-16", "2025-04-17", "t")]
+    df = spark.createDataFrame(rows, "URL string, source string, published_date string, modified_date string, x string")
+    out = enrich_afp(df, url_col="url")
+    assert out.columns == df.columns
+    got = [(r.published_date, r.modified_date) for r in out.collect()]
+    assert got == [("4/16/2025T13:03:21", "4/16/2025T13:03:21"), ("2025-04-16", "N/A"), ("2025-04-16", "2025-04-17")]
