@@ -106,3 +106,20 @@ def test_bucketed_page_store_avoids_page_shuffle(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE IF EXISTS page_store_test")
+
+
+def test_append_lines(spark, tmp_path):
+    out = str(tmp_path / "endpoints")
+    df = spark.createDataFrame([("1.2.3.4:80",), ("5.6.7.8:3128",)], "e string")
+    files.append_lines(df, "e", out)
+    files.append_lines(df.limit(1), "e", out)
+    assert sorted(r.value for r in spark.read.text(out).collect()) == ["1.2.3.4:80", "1.2.3.4:80", "5.6.7.8:3128"]
+
+
+def test_progress_metrics(spark):
+    from pressgrid.operators.enrich import with_progress
+    df = spark.createDataFrame([("success",), ("success_url_parser",), ("error_scraping",), ("success",)],
+                               "status string")
+    observed, obs = with_progress(df)
+    observed.write.format("noop").mode("overwrite").save()
+    assert obs.get == {"completed": 4, "successful": 2, "failed": 1}
