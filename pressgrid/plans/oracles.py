@@ -4,8 +4,8 @@ The driver runs each statement against views named after the parquet tables
 (``pages``, ``events``, ``documents``, ``conversations`` ...).  The derived
 inputs of ``inputs.py`` are restated here as CTEs, rule for rule; the
 operators are restated with the building blocks of ``oracle_sql.py``.
-Queries left out of ``ORACLES`` get the driver's rows-only check plus a
-pytest differential test (reason noted in ``ROWS_ONLY``).
+Queries left out of ``ORACLES`` (``corpus_scan``, ``page_decode``: files and
+charsets DuckDB cannot produce) get the driver's rows-only check plus a pytest.
 """
 
 from __future__ import annotations
@@ -351,6 +351,30 @@ def _h1_text(src: str) -> str:
 
 H1_SQL = f"({S.strip_boilerplate('html')})"
 
+PAYLOAD = f"""payload AS (
+  SELECT page_id, url, ld_blocks,
+    CASE WHEN content <> '' THEN {S.fix_mojibake(S.truncate('content', T.CONTENT_LIMIT, T.CONTENT_SUFFIX))}
+         ELSE '' END AS website_content,
+    len(ld_blocks) > 0 AS has_json_ld,
+    CASE WHEN len(ld_blocks) > 0 THEN coalesce({S.collapse(S.paragraph_text('html'))}, '') END AS ld_article_text,
+    CASE WHEN NOT coalesce(list_bool_or(list_transform(ld_blocks, lambda b: {S.has_dates('b')})), false)
+         THEN left({S.strip_boilerplate('html', '')}, 20000) END AS raw_html_for_dates
+  FROM (SELECT *, {S.html_text(S.main_content('h1s'))} AS content FROM (
+    SELECT page_id, url, html, {S.strip_boilerplate('html')} AS h1s, {S.ld_blocks('html')} AS ld_blocks FROM rich)))"""
+
+
+def _js(x: str) -> str:
+    return f"CAST(to_json({x}) AS VARCHAR)"
+
+
+PAYLOAD_TEXT = S.truncate(
+    "'{\"url\":' || coalesce(" + _js("url") + ", 'null') || ',\"website_content\":' || " + _js("website_content")
+    + " || CASE WHEN has_json_ld THEN ',\"json_ld\":{\"ld_json_list\":[' || array_to_string(ld_blocks, ',') || "
+    + "'],\"article_text\":' || " + _js("ld_article_text") + " || '}' ELSE '' END"
+    + " || CASE WHEN raw_html_for_dates IS NOT NULL THEN ',\"raw_html_for_dates\":' || "
+    + _js("raw_html_for_dates") + " ELSE '' END || '}'",
+    T.PAYLOAD_LIMIT, T.PAYLOAD_SUFFIX)
+
 ORACLES: dict[str, str] = {
     "clean_content": f"SELECT page_id, {_h1_text('pages')} AS content FROM pages",
     "strip_boilerplate": f"SELECT page_id, {S.strip_boilerplate('html')} AS stripped FROM pages",
@@ -379,15 +403,9 @@ ORACLES: dict[str, str] = {
     "page_metadata": with_(RICH, _page_meta_cte()) + "SELECT page_id, " + ", ".join(RECORD_FIELDS) + " FROM page_meta",
     "url_metadata": with_(DATED) + "SELECT event_id, url, " + ", ".join(
         f"{v} AS {k}" for k, v in S.url_metadata("url").items()) + " FROM dated",
-    "build_payload": with_(RICH) + f"""SELECT page_id,
-        CASE WHEN content <> '' THEN {S.fix_mojibake(S.truncate('content', T.CONTENT_LIMIT, T.CONTENT_SUFFIX))}
-             ELSE '' END AS website_content,
-        len(ld_blocks) > 0 AS has_json_ld,
-        CASE WHEN len(ld_blocks) > 0 THEN coalesce({S.collapse(S.paragraph_text('html'))}, '') END AS ld_article_text,
-        CASE WHEN NOT coalesce(list_bool_or(list_transform(ld_blocks, lambda b: {S.has_dates('b')})), false)
-             THEN left({S.strip_boilerplate('html', '')}, 20000) END AS raw_html_for_dates
-      FROM (SELECT *, {S.html_text(S.main_content('h1s'))} AS content FROM (
-        SELECT page_id, html, {S.strip_boilerplate('html')} AS h1s, {S.ld_blocks('html')} AS ld_blocks FROM rich))""",
+    "build_payload": with_(RICH, PAYLOAD) + """SELECT page_id, website_content, has_json_ld, ld_article_text,
+        raw_html_for_dates FROM payload""",
+    "payload_text": with_(RICH, PAYLOAD) + f"SELECT page_id, {PAYLOAD_TEXT} AS payload_text FROM payload",
     "afp_datetime": with_(DATED) + f"SELECT event_id, {S.afp_datetime('url')} AS afp_datetime FROM dated",
     "afp_enrich": with_(DATED, LOG) + f"""SELECT event_id, source,
         CASE WHEN hit THEN stamp ELSE published_date END AS published_date,
@@ -489,21 +507,16 @@ ORACLES["process_urls"] = (with_(LINES, DATED, _process_ctes(URL_LIST)) +
                            "SELECT pos, url, status, llm_used, error_message, " + ", ".join(RECORD_FIELDS) +
                            " FROM processed")
 ORACLES["result_rows"] = with_(LINES, DATED, _process_ctes(URL_LIST)) + _result_rows_select("processed", "pos")
+# The CSV round trip: the same rows, with empty cells read back as null.
+ORACLES["result_csv_roundtrip"] = (
+    "SELECT " + ", ".join(f"nullif({c}, '') AS {c}" for c in RESULT_COLUMNS) + " FROM ("
+    + with_(LINES, DATED, _process_ctes(URL_LIST)) + _result_rows_select("processed", "pos") + ")")
 ORACLES["reprocess_lonely"] = (
     with_(OLD_RESULTS, _process_ctes(f"urls AS (SELECT row_no AS pos, {S.strip('url')} AS url FROM old "
                                      f"WHERE {_lonely(list(RESULT_COLUMNS))})"))
     + "SELECT row_no, " + ", ".join(RESULT_COLUMNS) + f" FROM old WHERE NOT {_lonely(list(RESULT_COLUMNS))}"
     + " UNION ALL " + _result_rows_select("processed", "pos AS row_no"))
 
-# Queries checked on row counts by the driver and against Python in tests/.
-ROWS_ONLY = {
-    "payload_text": "JSON-LD is re-serialised from VARIANT (sorted keys), DuckDB keeps source order",
-    "llm_json_repair": "repair A needs look-around regular expressions, which RE2 lacks",
-    "llm_validate": "built on llm_json_repair",
-    "llm_yield": "built on llm_json_repair",
-}
-
-
 # --- sources ----------------------------------------------------------------------
 
 PAGE_BYTES = ("page_bytes AS (SELECT page_id, encode(html) || CASE WHEN page_id % 3 = 0 THEN unhex('E9') "
@@ -593,5 +606,3 @@ ORACLES.update({
     "llm_yield": with_(RESPONSES, LADDER) + """SELECT count(*) AS total, count(*) FILTER (WHERE valid) AS valid,
         count(*) FILTER (WHERE valid) / count(*) AS yield FROM checked""",
 })
-for _k in ("llm_json_repair", "llm_validate", "llm_yield"):
-    ROWS_ONLY.pop(_k, None)

@@ -103,7 +103,28 @@ def build_payload(pages: DataFrame, html_col: str = "html", url_col: str = "url"
     # a space as for the text.
     p = p.withColumn("_raw", html.strip_boilerplate(html_col, ""))
     p = p.withColumn("payload", payload)
-    return p.withColumn("payload_text", text.truncate_payload(F.to_json("payload"))).drop("_h1", "_raw")
+    return p.withColumn("payload_text", text.truncate_payload(payload_json("payload", "ld_blocks"))) \
+        .drop("_h1", "_raw")
+
+
+def _json_string(c: F.Column) -> F.Column:
+    """A string as a JSON string literal (quoted and escaped by ``to_json``)."""
+    wrapped = F.to_json(F.struct(c.alias("v")))  # {"v":<literal>}
+    return F.when(c.isNotNull(), F.substring(wrapped, 6, F.length(wrapped) - 6))
+
+
+def payload_json(payload_col: str, blocks_col: str) -> F.Column:
+    """The payload as JSON text, fields in payload order, absent fields left
+    out; the JSON-LD blocks are embedded as the page wrote them."""
+    p = F.col(payload_col)
+    ld = F.concat(F.lit(',"json_ld":{"ld_json_list":['), F.array_join(blocks_col, ","),
+                  F.lit('],"article_text":'), _json_string(p["json_ld"]["article_text"]), F.lit("}"))
+    raw = F.concat(F.lit(',"raw_html_for_dates":'), _json_string(p["raw_html_for_dates"]))
+    return F.concat(F.lit('{"url":'), F.coalesce(_json_string(p["url"]), F.lit("null")),
+                    F.lit(',"website_content":'), _json_string(p["website_content"]),
+                    F.when(p["json_ld"].isNotNull(), ld).otherwise(F.lit("")),
+                    F.when(p["raw_html_for_dates"].isNotNull(), raw).otherwise(F.lit("")),
+                    F.lit("}"))
 
 
 def process_urls(urls: DataFrame, pages: DataFrame, blocked: DataFrame,

@@ -574,8 +574,8 @@ def page_decode(spark, sf):
 
 @query
 def result_csv_roundtrip(spark, sf):
-    """SNK1 -> SRC8 (rows-only check): result rows written as CSV with a BOM in
-    the shared checkpoint folder and read back."""
+    """SNK1 -> SRC8: result rows written as CSV with a BOM in the shared
+    checkpoint folder and read back (empty cells come back as null)."""
     import uuid
     from ..session import ensure_checkpoint_dir
     r = pipeline.result_rows(pipeline.process_urls(_url_list(spark, sf), _rich(spark, sf), _blocked(spark, sf)))
