@@ -558,7 +558,7 @@ def corpus_scan(spark, sf):
 
 @query
 def page_decode(spark, sf):
-    """SRC11 (rows-only check): pages stored as Latin-1 with a declared charset
+    """SRC11: pages stored as Latin-1 with a declared charset
     (page_id%4=0, when the page fits Latin-1), with a byte-order mark (%4=1),
     or as plain UTF-8."""
     p = _pages(spark, sf)
