@@ -57,20 +57,32 @@ def jsonld_wrapper(html, blocks=None) -> Column:
         scrub_default(paragraph_text(html)).alias("article_text")))
 
 
+def _truthy(field: Column) -> Column:
+    """Python truthiness of one JSON value held as VARIANT (null or absent: false)."""
+    kind = F.schema_of_variant(field)
+    txt = F.try_variant_get(field, "$", "string")
+    num = F.try_variant_get(field, "$", "double")
+    falsy = (kind.isNull() | (kind == "VOID")
+             | ((kind == "STRING") & (txt == ""))
+             | ((kind == "BOOLEAN") & (txt == "false"))
+             | (kind.startswith("ARRAY") & (txt == "[]"))
+             | (kind.startswith("OBJECT") & (txt == "{}"))
+             | (~kind.isin("STRING", "BOOLEAN") & ~kind.startswith("ARRAY") & ~kind.startswith("OBJECT")
+                & (num == 0)))
+    return ~F.coalesce(falsy, F.lit(False))
+
+
 def has_dates(c) -> Column:
-    """P6 on one JSON object text: any date key at its top level is truthy.
+    """P6 on one JSON text: any date key at the top level of an object is truthy.
 
-    Truthy follows Python: non-empty string, non-zero number, true, non-empty
-    list/object.  A missing or null object gives false.
+    Truthy follows Python: non-empty string (``"0"`` included), non-zero
+    number, true, non-empty list or object.  A missing or null value, or a
+    text that is not an object, gives false.
     """
     v = F.try_parse_json(_col(c))
-    tests = []
+    out = F.lit(False)
     for k in DATE_KEYS:
-        txt = F.try_variant_get(v, f"$.{k}", "string")
-        tests.append(txt.isNotNull() & ~txt.isin("", "0", "0.0", "false", "[]", "{}"))
-    out = tests[0]
-    for t in tests[1:]:
-        out = out | t
+        out = out | _truthy(F.try_variant_get(v, f"$.{k}", "variant"))
     return F.coalesce(out, F.lit(False))
 
 

@@ -229,8 +229,14 @@ def ld_fields(blocks: str) -> dict[str, str]:
 def has_dates(x: str) -> str:
     tests = []
     for k in J.DATE_KEYS:
+        t = f"json_type({x}, '$.{k}')"
         v = f"json_extract_string({x}, '$.{k}')"
-        tests.append(f"({v} IS NOT NULL AND {v} NOT IN ('', '0', '0.0', 'false', '[]', '{{}}'))")
+        falsy = (f"({t} IS NULL OR {t} = 'NULL' OR ({t} = 'VARCHAR' AND {v} = '') "
+                 f"OR ({t} = 'BOOLEAN' AND {v} = 'false') "
+                 f"OR ({t} = 'ARRAY' AND json_array_length({x}, '$.{k}') = 0) "
+                 f"OR ({t} = 'OBJECT' AND len(json_keys({x}, '$.{k}')) = 0) "
+                 f"OR ({t} IN ('BIGINT', 'UBIGINT', 'DOUBLE', 'HUGEINT') AND TRY_CAST({v} AS DOUBLE) = 0))")
+        tests.append(f"NOT coalesce({falsy}, false)")
     return "coalesce(" + " OR ".join(tests) + ", false)"
 
 
