@@ -75,10 +75,18 @@ def base_url(x: str) -> str:
 
 # --- text ---------------------------------------------------------------------
 
+# Runs of ASCII stay whole; every other character is its own token, so the
+# per-character lists below are only as long as the non-ASCII part of a text.
+TOKENS = r"[\x{0}-\x{7f}]+|[^\x{0}-\x{7f}]"
+
+
 def _latin1_step(x: str) -> str:
+    """Encode a string of code points <= U+00FF as Latin-1 and decode the bytes
+    as UTF-8; null when that is not valid UTF-8 or a code point is larger."""
     def body(u):
-        hexed = (f"array_to_string(list_transform(string_split({u}, ''), "
-                 f"lambda ch: lpad(hex(unicode(ch)), 2, '0')), '')")
+        hexed = (f"array_to_string(list_transform(regexp_extract_all({u}, {lit(TOKENS)}), "
+                 f"lambda tk: CASE WHEN unicode(tk) < 128 THEN hex(encode(tk)) "
+                 f"ELSE lpad(hex(unicode(tk)), 2, '0') END), '')")
         return (f"(CASE WHEN {u} = '' THEN '' WHEN {matches(u, T.LATIN1_ONLY)} "
                 f"THEN TRY(decode(unhex({hexed}))) END)")
     return let(x, body)
@@ -92,10 +100,12 @@ def latin1_of_blob(b: str) -> str:
 
 
 def utf8_as_latin1(x: str) -> str:
-    """Read the UTF-8 bytes of a string as Latin-1: one character per byte."""
-    return let(f"hex(encode({x}))", lambda h: (
-        f"array_to_string(list_transform(range(0, length({h}) // 2), "
-        f"lambda i: chr(CAST('0x' || substr({h}, 2 * i + 1, 2) AS INTEGER))), '')"))
+    """Read the UTF-8 bytes of a string as Latin-1: one character per byte
+    (ASCII runs are kept whole, other characters are expanded one by one)."""
+    per_char = (f"array_to_string(list_transform(range(0, length(hex(encode(tk))) // 2), "
+                f"lambda i: chr(CAST('0x' || substr(hex(encode(tk)), 2 * i + 1, 2) AS INTEGER))), '')")
+    return (f"array_to_string(list_transform(regexp_extract_all({x}, {lit(TOKENS)}), "
+            f"lambda tk: CASE WHEN unicode(tk) < 128 THEN tk ELSE {per_char} END), '')")
 
 
 def fix_mojibake(x: str) -> str:
