@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A side is broadcast only when it has at most this many rows; above it the
-# join stays a shuffle join (sort-merge, AQE may still switch at run time).
-DEFAULT_BROADCAST_ROWS = 1_000_000
+# A side is broadcast only when it has at most this many rows (base URLs or
+# hashes of ~100 bytes: about 25 MB); above it the join stays a shuffle join
+# (sort-merge; AQE may still switch at run time from measured sizes).
+DEFAULT_BROADCAST_ROWS = 250_000
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import base_url, is_valid_url, py_strip
-from .joins import broadcast_if_small
+from .joins import DEFAULT_BROADCAST_ROWS, broadcast_if_small
 
 # Fixed value: the largest batch the intake form accepts.
 MAX_URLS_LIMIT = 100
@@ -73,7 +73,7 @@ def _with_base(urls: DataFrame, url_col: str) -> DataFrame:
 
 
 def route(urls: DataFrame, blocked: DataFrame, url_col: str = "url",
-          max_broadcast_rows: int = 1_000_000) -> DataFrame:
+          max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Every URL with ``blocked`` = its base URL is in the blocked set.
 
     The set is broadcast only when it is provably small; otherwise the planner
