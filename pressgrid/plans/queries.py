@@ -133,7 +133,7 @@ def build_payload(spark, sf):
 
 @query
 def payload_text(spark, sf):
-    """T6 (rows-only check: the JSON-LD is re-serialised with sorted keys)."""
+    """The payload as JSON text, cut at 50,000 characters."""
     return pipeline.build_payload(_rich(spark, sf)).select("page_id", "payload_text")
 
 
@@ -392,7 +392,7 @@ def scrub_text(spark, sf):
 
 @query
 def scrub_text_legacy(spark, sf):
-    """T4 (rows-only check: DuckDB cannot read UTF-8 bytes as Latin-1)."""
+    """T4: the original decoder's behaviour (UTF-8 bytes read as Latin-1)."""
     return text_ops.scrub_text(_docs(spark, sf), "text", legacy=True).select("doc_id", "scrubbed")
 
 
@@ -406,7 +406,8 @@ def _mojibake_inputs(docs: DataFrame) -> DataFrame:
 
 @query
 def fix_mojibake(spark, sf):
-    """T2 (rows-only check; Python differential test in tests/)."""
+    """T2 on plain, once- and twice-mis-decoded text (also checked against
+    Python's codecs in tests/test_text.py)."""
     m = _mojibake_inputs(_docs(spark, sf))
     return m.select("doc_id", F.md5(text.fix_mojibake("input")).alias("fixed_md5"))
 
