@@ -34,6 +34,8 @@ BOM = "\ufeff"
 IGNORED_DIRS = ("__pycache__", ".vscode", ".git", "node_modules")
 HEAD_FILES = ("Links.csv", "temp.txt", "Enriched_Links_Updated.csv", "proxies_list.txt")
 HEAD_LINES = 3
+# Columns read from an uploaded CSV (cells beyond are not searched for URLs).
+MAX_CSV_COLUMNS = 64
 
 
 def _empty(spark: SparkSession, schema: StructType) -> DataFrame:
@@ -78,8 +80,11 @@ def read_uploads(spark: SparkSession, path: str, max_bytes: int = MAX_UPLOAD_BYT
     """
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.{csv,txt}")
              .option("recursiveFileLookup", "true").load(path))
-    csv = (spark.read.option("header", "false").option("pathGlobFilter", "*.csv")
-           .option("recursiveFileLookup", "true").csv(path)
+    # A fixed, wide schema: files differ in width, and a width taken from the
+    # first file would cut wider rows of other files.
+    schema = StructType([StructField(f"_c{i}", StringType()) for i in range(MAX_CSV_COLUMNS)])
+    csv = (spark.read.schema(schema).option("header", "false").option("mode", "PERMISSIVE")
+           .option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true").csv(path)
            .withColumn("path", F.col("_metadata.file_path")))
     return intake(files, csv, ledger, max_bytes)
 

@@ -20,7 +20,9 @@ def test_uploads_intake(spark, tmp_path):
     d.mkdir()
     (d / "a.txt").write_text("https://a.com/1, https://a.com/2\nnot a url\n")
     (d / "b.txt").write_bytes("https://b.com/caf\xe9\n".encode("latin-1"))
+    (d / "a0.csv").write_text("only\n")
     (d / "c.csv").write_text("name,link\nx, https://c.com/1\ny,https://c.com/2\n")
+    (d / "w.csv").write_text("a,b,c,d,https://w.com/5\n")
     (d / "d.csv").write_text("")
     (d / "e.txt").write_text("nothing here")
     (d / "f.txt").write_text("https://a.com/1, https://a.com/2\nnot a url\n")  # same bytes as a.txt
@@ -31,13 +33,14 @@ def test_uploads_intake(spark, tmp_path):
     res = {r.path.rsplit("/", 1)[1]: (r.n_urls, r.error) for r in outcome.collect()}
     assert res["b.txt"] == (1, None)
     assert res["c.csv"] == (2, None)
+    assert res["w.csv"] == (1, None) and res["a0.csv"] == (0, files.ERR_NO_URLS)
     assert "d.csv" not in res  # zero-byte files yield no split, so no row (documented)
     assert res["e.txt"] == (0, files.ERR_NO_URLS)
     assert res["a.txt"][1] == files.ERR_SEEN and res["f.txt"][1] == files.ERR_SEEN
     assert res["big.txt"][1] == "File too large. Maximum size: 0MB"
     assert "skip.md" not in res
     got = sorted(r.url for r in urls.collect())
-    assert got == [" https://c.com/1", "https://b.com/café", "https://c.com/2"]
+    assert got == [" https://c.com/1", "https://b.com/café", "https://c.com/2", "https://w.com/5"]
 
 
 def test_result_csv_roundtrip_with_bom_and_newlines(spark, tmp_path):
