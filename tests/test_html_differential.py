@@ -87,3 +87,55 @@ def test_rich_pages_match_html_parser(spark):
     rows = rich.select("page_id", "html", html.html_text(html.main_content("_h1")).alias("t")).collect()
     bad = [r.page_id for r in rows if reference_text(r.html) != r.t]
     assert not bad, bad[:5]
+
+
+class _Paragraphs(HTMLParser):
+    """Paragraph text read from parser events with the engine's rule: a
+    paragraph ends at its closing tag, at the next paragraph, or where an
+    enclosing block closes; text nodes are stripped and glued with nothing."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.paras, self.cur, self.raw = [], None, None
+
+    def _close(self):
+        if self.cur is not None:
+            self.paras.append("".join(self.cur))
+            self.cur = None
+
+    def handle_starttag(self, tag, attrs):
+        if tag in RAW:
+            self.raw = tag
+        elif tag == "p":
+            self._close()
+            self.cur = []
+
+    def handle_endtag(self, tag):
+        if tag == self.raw:
+            self.raw = None
+        elif tag == "p" or tag in html.BLOCK_ENDS:
+            self._close()
+
+    def handle_data(self, data):
+        if self.cur is not None and self.raw is None:
+            piece = data.strip()
+            if piece:
+                self.cur.append(piece)
+
+
+def reference_paragraphs(page: str) -> str:
+    p = _Paragraphs()
+    p.feed(page)
+    p.close()
+    p._close()
+    return " ".join(p.paras)
+
+
+def test_paragraph_text_matches_parser_events(spark):
+    sf = "/root/testdata/sf0.1"
+    pages = pq.read_table(f"{sf}/pages.parquet", columns=["page_id", "html"]).to_pydict()
+    want = {pid: reference_paragraphs(h) for pid, h in zip(pages["page_id"], pages["html"])}
+    df = inputs.table(spark, sf, "pages")
+    got = {r.page_id: r.t for r in df.select("page_id", html.paragraph_text("html").alias("t")).collect()}
+    bad = [pid for pid in want if want[pid] != got[pid]]
+    assert not bad, (len(bad), bad[:3], want[bad[0]][:300], got[bad[0]][:300])
