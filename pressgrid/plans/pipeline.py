@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, extract, html, jsonld, text
 from ..functions.urls import has_scheme, py_strip
+from ..operators.joins import salted_lookup_join
 from ..operators.urls import route
 
 # The status domain, the failure messages, the sink columns.
@@ -129,11 +130,13 @@ def payload_json(payload_col: str, blocks_col: str) -> F.Column:
 
 def process_urls(urls: DataFrame, pages: DataFrame, blocked: DataFrame,
                  extractor: Callable[[DataFrame], DataFrame] = page_metadata,
-                 url_col: str = "url", pos_col: str = "pos") -> DataFrame:
+                 url_col: str = "url", pos_col: str = "pos",
+                 hot_url_rows: int = 1_000_000, salt_buckets: int = 32) -> DataFrame:
     """X4 + X5: one result row per input row.
 
     Columns: ``pos``, the ten result columns (record columns null when there is
-    no record) and ``has_record``.
+    no record) and ``has_record``.  A URL listed more than ``hot_url_rows``
+    times is joined back salted over ``salt_buckets`` tasks.
     """
     routed = route(urls.select(pos_col, url_col).withColumn("_valid", has_scheme(url_col)),
                    blocked, url_col)
@@ -141,7 +144,7 @@ def process_urls(urls: DataFrame, pages: DataFrame, blocked: DataFrame,
     found = pages.join(wanted, url_col, "left_semi")
     meta = extractor(found).select(url_col, *[F.col(c).alias(f"_m_{c}") for c in RECORD_FIELDS],
                                    F.lit(True).alias("_found"))
-    joined = routed.join(meta, url_col, "left")
+    joined = salted_lookup_join(routed, meta, url_col, "left", hot_url_rows, salt_buckets, pos_col)
     url_rec = extract.url_metadata(url_col)
     status = (F.when(~F.col("_valid"), F.lit(STATUS_INVALID))
               .when(F.col("blocked"), F.lit(STATUS_URL_PARSER))

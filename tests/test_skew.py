@@ -22,12 +22,18 @@ def test_hot_url_through_pipeline(spark):
         extracted.append(df)
         return pipeline.page_metadata(df)
 
-    out = pipeline.process_urls(urls, pages, blocked, extractor=counting_extractor)
+    out = pipeline.process_urls(urls, pages, blocked, extractor=counting_extractor, hot_url_rows=500,
+                                salt_buckets=8)
     got = out.groupBy("title").count().collect()
     counts = {r.title: r["count"] for r in got}
     assert sum(counts.values()) == 3000 and counts["Hot story"] == 1000
     # The extractor saw each distinct URL once, however often it was listed.
     assert extracted[0].count() == 41
+    # The hot URL was joined back salted: its rows spread over the buckets.
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "_salt" in plan
+    plain = pipeline.process_urls(urls, pages, blocked)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, plain.collect()))
 
 
 def test_hot_batch_and_file(spark):
