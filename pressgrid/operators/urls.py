@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import base_url, is_valid_url, py_strip
-from .joins import DEFAULT_BROADCAST_ROWS, broadcast_if_small
+from .joins import DEFAULT_BROADCAST_ROWS, broadcast_if_small, salted_lookup_join
 
 # Fixed value: the largest batch the intake form accepts.
 MAX_URLS_LIMIT = 100
@@ -31,7 +31,8 @@ def discover_url_column(df: DataFrame, file_col: str, cols: list[str], out: str
     its valid values (unstripped, nulls dropped) are returned, one per distinct value.
 
     One small row per file says which column won; it is joined back on the
-    file key, so no file's rows are ever gathered in one place.
+    file key (salted for a file with very many rows), so no file's rows are
+    ever gathered in one place.
     """
     flags = df.groupBy(file_col).agg(*[
         F.max(is_valid_url(c).cast("int")).alias(f"_has_{i}") for i, c in enumerate(cols)])
@@ -42,7 +43,7 @@ def discover_url_column(df: DataFrame, file_col: str, cols: list[str], out: str
     picked = F.lit(None).cast("string")
     for i in reversed(range(len(cols))):
         picked = F.when(F.col("_col_no") == i, F.col(cols[i]).cast("string")).otherwise(picked)
-    joined = df.join(flags, file_col)
+    joined = salted_lookup_join(df, flags, file_col, "inner")
     return (joined.select(file_col, picked.alias(out))
             .where(F.col(out).isNotNull() & is_valid_url(out)).distinct())
 
@@ -55,7 +56,7 @@ def cap_batch(df: DataFrame, batch_col: str, max_urls: int = DEFAULT_MAX_URLS) -
     if not 1 <= max_urls <= MAX_URLS_LIMIT:
         raise ValueError(f"max_urls must be within 1..{MAX_URLS_LIMIT}")
     sizes = df.groupBy(batch_col).agg(F.count(F.lit(1)).alias("batch_size"))
-    out = df.join(sizes, batch_col)
+    out = salted_lookup_join(df, sizes, batch_col, "inner")
     refused = F.col("batch_size") > max_urls
     msg = F.concat(F.lit("Too many URLs ("), F.col("batch_size").cast("string"),
                    F.lit(f"). Maximum allowed: {max_urls}"))
