@@ -24,7 +24,7 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
 
 def salted_lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left",
                        hot_rows: int = 1_000_000, buckets: int = 32,
-                       salt_from: str | None = None) -> DataFrame:
+                       salt_from: str | None = None, hot: DataFrame | None = None) -> DataFrame:
     """Join ``left`` to a lookup ``right`` (at most one row per ``key``) with hot
     keys spread over ``buckets`` tasks.
 
@@ -35,11 +35,15 @@ def salted_lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "
     retried task salts the same way); the lookup row of a hot key is copied
     once per salt.  Cold keys join as before with salt 0, so the result equals
     the plain join while no task receives more than about
-    ``rows_of_hot_key / buckets`` rows of one key.
+    ``rows_of_hot_key / buckets`` rows of one key.  ``hot`` may hold the hot
+    keys already (one column ``key``), e.g. from a count the caller makes
+    anyway; it is then joined as is and AQE broadcasts it from its measured
+    size.
     """
-    hot = (left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-           .where(F.col("_n") > hot_rows).select(key, F.lit(True).alias("_hot")))
-    hot = broadcast_if_small(hot)
+    if hot is None:
+        hot = broadcast_if_small(left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+                                 .where(F.col("_n") > hot_rows).select(key))
+    hot = hot.select(key, F.lit(True).alias("_hot"))
     src = F.col(salt_from) if salt_from else F.col(key)
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(src), F.lit(buckets))).otherwise(F.lit(0)).cast("int")
     l = left.join(hot, key, "left").withColumn("_salt", salt).drop("_hot")

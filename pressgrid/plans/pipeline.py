@@ -140,11 +140,16 @@ def process_urls(urls: DataFrame, pages: DataFrame, blocked: DataFrame,
     """
     routed = route(urls.select(pos_col, url_col).withColumn("_valid", has_scheme(url_col)),
                    blocked, url_col)
-    wanted = routed.where(F.col("_valid") & ~F.col("blocked")).select(url_col).distinct()
+    # One pre-aggregated count per URL gives both the distinct URLs to look up
+    # and the hot URLs to salt in the join-back.
+    counts = routed.groupBy(url_col).agg(
+        F.count(F.lit(1)).alias("_n"), F.max(F.col("_valid") & ~F.col("blocked")).alias("_want"))
+    wanted = counts.where(F.col("_want")).select(url_col)
+    hot = counts.where(F.col("_n") > hot_url_rows).select(url_col)
     found = pages.join(wanted, url_col, "left_semi")
     meta = extractor(found).select(url_col, *[F.col(c).alias(f"_m_{c}") for c in RECORD_FIELDS],
                                    F.lit(True).alias("_found"))
-    joined = salted_lookup_join(routed, meta, url_col, "left", hot_url_rows, salt_buckets, pos_col)
+    joined = salted_lookup_join(routed, meta, url_col, "left", hot_url_rows, salt_buckets, pos_col, hot=hot)
     url_rec = extract.url_metadata(url_col)
     status = (F.when(~F.col("_valid"), F.lit(STATUS_INVALID))
               .when(F.col("blocked"), F.lit(STATUS_URL_PARSER))
