@@ -2,25 +2,14 @@
 
 from __future__ import annotations
 
-import sys
 import uuid
 
-from pyspark.cloudpickle import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
 
-def ship(module: str) -> None:
-    """Send the functions of ``module`` to executors by value, so that tasks do
-    not need this package installed on their machines."""
-    cloudpickle.register_pickle_by_value(sys.modules[module])
-
-
-ship(__name__)
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name under the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
@@ -52,3 +41,25 @@ def free_name(df: DataFrame, base: str) -> str:
 
 def text_or_empty(text: Column | str) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+
+
+# Rows in one Arrow batch to a Python worker: texts are long, so fewer rows than
+# Spark's default keep a worker's memory small.
+ARROW_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
+def slices(texts: list, limit: int):
+    """Consecutive (start, end) ranges of ``texts`` with about ``limit`` characters
+    each (a longer text has a range of its own)."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > limit:
+            yield start, i
+            start, size = i, 0
+        size += len(t)
+    if start < len(texts):
+        yield start, len(texts)

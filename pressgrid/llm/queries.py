@@ -5,12 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, sharding
+from . import decontaminate, exact_dedup, sharding, token_codes
 from .common import load
 
 SHARDS = 40
 
 
+def vocabulary(name: str) -> str:
+    """The path of a public vocabulary file; every machine has the same package."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op4_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_codes.token_code_digest(load(spark, sf_dir, "documents", "doc_id", "text"),
+                                         vocabulary("byte_bpe_50k.json"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hits_by_document(load(spark, sf_dir, "documents", "doc_id", "text"),
                                           load(spark, sf_dir, "benchmark", "item_id", "text")).drop("spans")
@@ -25,7 +36,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {f.__name__: f for f in (
-    op7_benchmark_decontamination, op8_sharding, op9_exact_dedup)}
+    op4_token_codes,
+        op7_benchmark_decontamination, op8_sharding, op9_exact_dedup)}
 
 OP9_SQL = r"""
 WITH n AS (
