@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, secrets, sharding, token_codes
+from . import decontaminate, exact_dedup, language_id, pii, secrets, sharding, token_codes
 from .common import load
 
 SHARDS = 40
@@ -25,6 +25,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(load(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(load(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codes.token_code_digest(load(spark, sf_dir, "documents", "doc_id", "text"),
                                          vocabulary("byte_bpe_50k.json"))
@@ -46,6 +50,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES = {f.__name__: f for f in (
     op1_language_id,
     op2_secret_scan,
+    op3_personal_data,
     op4_token_codes,
         op7_benchmark_decontamination, op8_sharding, op9_exact_dedup)}
 
