@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, pii, secrets, sharding, token_codes
+from . import decontaminate, exact_dedup, language_id, pieces, pii, secrets, sharding, token_codes
 from .common import load
 
 SHARDS = 40
@@ -34,6 +34,11 @@ def op4_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
                                          vocabulary("byte_bpe_50k.json"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(load(spark, sf_dir, "documents", "doc_id", "text"),
+                             vocabulary("piece_bpe_32k.model"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hits_by_document(load(spark, sf_dir, "documents", "doc_id", "text"),
                                           load(spark, sf_dir, "benchmark", "item_id", "text")).drop("spans")
@@ -52,6 +57,7 @@ LLM_QUERIES = {f.__name__: f for f in (
     op2_secret_scan,
     op3_personal_data,
     op4_token_codes,
+    op5_sentencepiece,
         op7_benchmark_decontamination, op8_sharding, op9_exact_dedup)}
 
 OP9_SQL = r"""
