@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, pieces, pii, secrets, sharding, token_codes
+from . import decontaminate, exact_dedup, language_id, pieces, pii, secrets, sharding, suffix_dedup, token_codes
 from .common import load
 
 SHARDS = 40
@@ -39,6 +39,11 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                              vocabulary("piece_bpe_32k.model"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(load(spark, sf_dir, "documents", "doc_id", "text"),
+                                       with_bytes=False).drop("spans")
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hits_by_document(load(spark, sf_dir, "documents", "doc_id", "text"),
                                           load(spark, sf_dir, "benchmark", "item_id", "text")).drop("spans")
@@ -58,6 +63,7 @@ LLM_QUERIES = {f.__name__: f for f in (
     op3_personal_data,
     op4_token_codes,
     op5_sentencepiece,
+    op6_suffix_dedup,
         op7_benchmark_decontamination, op8_sharding, op9_exact_dedup)}
 
 OP9_SQL = r"""
