@@ -36,9 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, small_batches, stored
+from .common import free_name, slices, small_batches, stored
 
 CHUNK = 32_768
+AT_ONCE = 500_000  # characters whose ids are Python integers at one time
 SPACE = "▁"
 NEG = -np.inf
 
@@ -302,7 +303,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", chunk: int = CHUN
         v = model(path)
         for b in batches:
             texts = [t or "" for t in b.column(place).to_pylist()]
-            got = [_pack(i) for i in v.sp.encode(texts, num_threads=1)]
+            got = [_pack(i) for s, e in slices(texts, AT_ONCE) for i in v.sp.encode(texts[s:e], num_threads=1)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.binary())], [*columns, "pieces"])
 
     small = docs.where(~giant).mapInArrow(short, schema)
@@ -383,9 +384,10 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "pieces", out: str = "d
     def run(batches):
         v = model(path)
         for b in batches:
-            ids = [np.frombuffer(x or b"", "<u4").tolist() for x in b.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([v.sp.decode(i) if i else "" for i in ids], pa.string())],
-                                             [*columns, out])
+            # One document's integers at a time: they are far larger than its bytes.
+            text = [v.sp.decode(np.frombuffer(x.as_py(), "<u4").tolist()) if x.is_valid and len(x.as_py()) else ""
+                    for x in b.column(place)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], [*columns, out])
 
     return encoded.mapInArrow(run, schema)
 
