@@ -24,7 +24,6 @@ columns are read, so other columns cannot clash.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 
@@ -40,8 +39,8 @@ MAGIC = b"DAC1"
 RANK_BLOCK = 512
 BLOCK_IDS = 1_000_000
 END_ID = 0
-# Encoded words kept per worker (about 100 MB), and words encoded at a time.
-CACHE_WORDS = 500_000
+# Encoded words kept per worker (about 200 MB), and words encoded at a time.
+CACHE_WORDS = 900_000
 JOINED_WORDS = 2_000
 
 
@@ -129,7 +128,19 @@ class DacReader:
 
 # A space after a character that is not white space always starts a new
 # pre-token, so texts are cut there; the class is a superset of the library's.
-_SPACE_RUN = re.compile(r"\s ")
+_OTHER_SPACES = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + \
+    "\u2028\u2029\u202f\u205f\u3000"
+
+
+def _plain(text: str) -> bool:
+    """Only spaces and newlines as white space, none in front of a space, none
+    at either end."""
+    if not text or text[0] == " " or text[-1] in " \n" or "  " in text or "\n " in text:
+        return False
+    for c in _OTHER_SPACES:
+        if c in text:
+            return False
+    return True
 
 
 class WordEncoder:
@@ -174,78 +185,69 @@ class WordEncoder:
             known.clear()
             known.update(left)
 
-    def _add(self, known: dict, words: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
+    def _add(self, known: dict, words: list[str], ids: list[np.ndarray], lens: list[np.ndarray]) -> None:
         known.update(zip(words, range(len(self.lens), len(self.lens) + len(words))))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lens) - lens])
-        self.lens = np.concatenate([self.lens, lens])
-        self.uses = np.concatenate([self.uses, np.zeros(len(lens), np.int64)])
-        self.flat = np.concatenate([self.flat, ids])
-
-    def _learn_each(self, known: dict, words: list[str], lead: str) -> None:
-        got = [e.ids for e in self.tok.encode_batch_fast([lead + w for w in words], add_special_tokens=False)]
-        self._add(known, words, np.array([i for g in got for i in g], np.uint32),
-                  np.array([len(g) for g in got], np.int64))
-
-    def _learn(self, words: list[str]) -> None:
-        """Encode words that follow a space, many in one text; the tokens' byte
+        size = np.concatenate(lens)
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(size) - size])
+        self.lens = np.concatenate([self.lens, size])
+        self.uses = np.concatenate([self.uses, np.zeros(len(size), np.int64)])
+        self.flat = np.concatenate([self.flat, *ids])
+
+    def _each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
+        return np.array([i for g in got for i in g], np.uint32), np.array([len(g) for g in got], np.int64)
+
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words that follow a space, encoded as one text; the tokens' byte
         lengths show where each word ends."""
-        for at in range(0, len(words), JOINED_WORDS):
-            some = words[at:at + JOINED_WORDS]
-            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.cumsum([len(w.encode()) + 1 for w in some])
-            upto = np.cumsum(self.bytes_of[ids])
-            last = np.searchsorted(upto, ends)
-            if last[-1] < len(upto) and (upto[last] == ends).all():
-                self._add(self.after_space, some, ids, np.diff(last + 1, prepend=0))
-            else:
-                self._learn_each(self.after_space, some, " ")
+        ids = np.array(self.tok.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        upto = np.cumsum(self.bytes_of[ids])
+        last = np.searchsorted(upto, ends)
+        if last[-1] < len(upto) and (upto[last] == ends).all():
+            return ids, np.diff(last + 1, prepend=0)
+        return self._each([" " + w for w in words])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with the end id after each, ids per text)."""
         if len(self.lens) > CACHE_WORDS or len(self.flat) > 8 * CACHE_WORDS:
             self._shrink()
-        codes: list = []
-        firsts, odd, ends = [], [], []  # (place, piece) of pieces that are kept as they are
-        get = self.after_space.get
-        missing: set = set()
+        # A text is its first piece and the words after a space; one with runs of
+        # white space, or white space at an end, is one piece.
+        firsts, words, counts = [], [], []
         for t in texts:
-            parts = t.split(" ")
-            if t and not (_SPACE_RUN.search(t) or t[0] == " " or t[-1].isspace()):
-                firsts.append((len(codes), parts[0]))
-                codes.append(None)
+            if _plain(t):
+                parts = t.split(" ")
+                firsts.append(parts[0])
                 del parts[0]
-                got = list(map(get, parts))
-                if None in got:
-                    missing.update(w for w, c in zip(parts, got) if c is None)
-                    got = [w if c is None else c for w, c in zip(parts, got)]
-                codes += got
-            elif t:
-                pieces = [parts[0]]
-                for p in parts[1:]:
-                    if pieces[-1] and not pieces[-1][-1].isspace():
-                        pieces.append(" " + p)
-                    else:
-                        pieces[-1] += " " + p
-                odd += zip(range(len(codes), len(codes) + len(pieces)), pieces)
-                codes += [None] * len(pieces)
-            codes.append(0)
-            ends.append(len(codes))
-        if missing:
-            self._learn(sorted(missing))
-            codes = [get(c) if c.__class__ is str else c for c in codes]
-        kept = firsts + odd
-        new = sorted({p for _, p in kept if p not in self.as_is})
+                words += parts
+                counts.append(len(parts))
+            else:
+                firsts.append(t)
+                counts.append(0)
+        distinct = set(words)
+        new = sorted(distinct.difference(self.after_space))
+        if new:
+            got = [self._joined(new[i:i + JOINED_WORDS]) for i in range(0, len(new), JOINED_WORDS)]
+            self._add(self.after_space, new, [g[0] for g in got], [g[1] for g in got])
+        new = sorted(set(firsts).difference(self.as_is))
         if new:
-            self._learn_each(self.as_is, new, "")
-        for at, p in kept:
-            codes[at] = self.as_is[p]
-        code = np.array(codes, np.int64)
+            ids, lens = self._each(new)
+            self._add(self.as_is, new, [ids], [lens])
+        # Codes in text order: first piece, words, end id (entry 0).
+        count = np.array(counts, np.int64)
+        begin = np.cumsum(count + 2) - count - 2
+        code = np.zeros(len(words) + 2 * len(texts), np.int64)
+        code[begin] = np.fromiter(map(self.as_is.__getitem__, firsts), np.int64, len(firsts))
+        # A small table of the batch's own words is faster than the large one.
+        local = dict(zip(distinct, map(self.after_space.__getitem__, distinct)))
+        code[np.arange(len(words)) + np.repeat(2 * np.arange(len(texts)) + 1, count)] = np.fromiter(
+            map(local.__getitem__, words), np.int64, len(words))
         self.uses += np.bincount(code, minlength=len(self.uses))
         lens = self.lens[code]
         upto = np.cumsum(lens)
         ids = self.flat[np.arange(upto[-1] if len(upto) else 0) + np.repeat(self.starts[code] - upto + lens, lens)]
-        doc_ends = upto[np.array(ends, np.int64) - 1] if ends else np.zeros(0, np.int64)
-        return ids, np.diff(doc_ends, prepend=0)
+        return ids, np.diff(upto[begin + count + 1], prepend=0)
 
 
 _encoders: dict = {}  # one encoder per worker process, kept from task to task
