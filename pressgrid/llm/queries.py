@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, pieces, pii, secrets, sharding, suffix_dedup, token_codes
+from . import decontaminate, exact_dedup, jaccard_join, language_id, pieces, pii, secrets, sharding, suffix_dedup, token_codes
 from .common import load
 
 SHARDS = 40
@@ -57,6 +57,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_duplicates(load(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(load(spark, sf_dir, "documents", "doc_id", "text")).drop("x")
+
+
 LLM_QUERIES = {f.__name__: f for f in (
     op1_language_id,
     op2_secret_scan,
@@ -64,7 +68,8 @@ LLM_QUERIES = {f.__name__: f for f in (
     op4_token_codes,
     op5_sentencepiece,
     op6_suffix_dedup,
-        op7_benchmark_decontamination, op8_sharding, op9_exact_dedup)}
+        op7_benchmark_decontamination, op8_sharding, op9_exact_dedup,
+    op10_jaccard_join)}
 
 OP9_SQL = r"""
 WITH n AS (
