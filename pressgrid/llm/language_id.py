@@ -197,11 +197,11 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return fit(x, y, languages)
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` plus lang_pred, score and ambiguous (existing columns of these
-    names are replaced).  The text alone decides."""
+def predict(docs: DataFrame, model: Model, text_col: str = "text",
+            names: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
+    """``docs`` plus the language, its score and whether it is ambiguous (existing
+    columns of these names are replaced).  The text alone decides."""
     small_batches(docs.sparkSession)
-    names = ("lang_pred", "score", "ambiguous")
     docs = docs.drop(*names)
     schema = docs.withColumns({names[0]: F.lit(""), names[1]: F.lit(0.0), names[2]: F.lit(True)}).schema
     columns, place = docs.columns, docs.columns.index(text_col)
