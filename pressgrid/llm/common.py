@@ -39,6 +39,12 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """``df`` as one struct column ``in``: work columns beside it cannot clash with
+    its own, and ``select("in.*")`` gives them back."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("in"))
+
+
 def text_or_empty(text: Column | str) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 

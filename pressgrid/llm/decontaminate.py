@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, stored
+from .common import packed, stored
 
 N_WORDS = 10
 # A window is broadcast as hash, length and about 100 bytes of words: 250,000
@@ -155,10 +155,10 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS,
     is verified against the window's words."""
     win = stored(benchmark_windows(benchmark, n, text_col=text_col).select("h", "len", "win").distinct(),
                  "bench-windows")
-    key, text = free_name(docs, "_row"), free_name(docs, "_text")
-    numbered = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    bad = window_hits(numbered.select(key, F.col(text_col).alias(text)), win, key, text, n) \
-        .where("pos is not null").select(key).distinct()
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    bad = window_hits(docs.select(key.alias("x"), F.col(text_col).alias("t")), win, "x", "t", n) \
+        .where("pos is not null").select(F.col("x").alias("bad")).distinct()
     bad = stored(bad, "contaminated")
     small = bad.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    return numbered.join(F.broadcast(bad) if small else bad, key, "left_anti").select(*docs.columns)
+    rows = packed(docs).withColumn("x", F.xxhash64(F.coalesce(F.col(f"in.{text_col}"), F.lit(""))))
+    return rows.join(F.broadcast(bad) if small else bad, F.col("x") == F.col("bad"), "left_anti").select("in.*")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import broadcast_if_small
-from .common import free_name, stored, text_or_empty
+from .common import free_name, packed, stored, text_or_empty
 
 # Bits of the filter per row, and the largest filter (2^36 bits).  The size
 # follows the input; a filter too large to broadcast is joined by shuffle.
@@ -122,12 +122,12 @@ class Duplicates:
 
 
 def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, keep_id, group_size, kept, text_sha256) for every row of ``docs``.
+    """(doc_id, keep_id, group_size, kept, text_sha256) for every row of ``docs``.
 
     The text is read and hashed once; everything after works on stored
     (id, hash) rows."""
-    keys = stored(docs.select(id_col, text_key(text_col).alias("text_sha256")), "keys")
-    return Duplicates(keys, id_col).mark(keys)
+    keys = stored(docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("text_sha256")), "keys")
+    return Duplicates(keys).mark(keys)
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,10 +135,7 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     The text never shuffles unless the group lookup is too large to broadcast,
     and then only that of possibly repeated rows."""
-    key = free_name(docs, "_text_sha256")
-    keys = stored(docs.select(id_col, text_key(text_col).alias(key)), "keys")
-    out = Duplicates(keys, id_col, key).mark(docs.withColumns({key: text_key(text_col)})
-                                             .withColumnsRenamed({c: f"_in_{c}" for c in docs.columns
-                                                                  if c in ("keep_id", "group_size", "kept")}))
-    out = out.where("kept").drop("keep_id", "group_size", "kept", key)
-    return out.withColumnsRenamed({f"_in_{c}": c for c in docs.columns}).select(*docs.columns)
+    keys = stored(docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("text_sha256")), "keys")
+    rows = packed(docs).select("in", F.col(f"in.{id_col}").alias("doc_id"),
+                               text_key(F.col(f"in.{text_col}")).alias("text_sha256"))
+    return Duplicates(keys).mark(rows).where("kept").select("in.*")

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import broadcast_if_small
-from .common import small_batches, stored
+from .common import packed, small_batches, stored
 
 WORDS = 5
 PERCENT = 75
@@ -517,6 +517,7 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = similar_documents(docs, id_col, text_col)
     gone = stored(found.where(~F.col("component_id").eqNullSafe(F.col("doc_id")))
                   .select(F.col("doc_id").alias("_i"), F.col("x").alias("_x")).distinct(), "similar")
-    x = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
-    return docs.join(broadcast_if_small(gone, BROADCAST_ROWS),
-                     docs[id_col].cast("long").eqNullSafe(F.col("_i")) & (x == F.col("_x")), "left_anti")
+    rows = packed(docs).withColumns({"id": F.col(f"in.{id_col}").cast("long"),
+                                     "x": F.xxhash64(F.coalesce(F.col(f"in.{text_col}"), F.lit("")))})
+    return rows.join(broadcast_if_small(gone, BROADCAST_ROWS),
+                     F.col("id").eqNullSafe(F.col("_i")) & (F.col("x") == F.col("_x")), "left_anti").select("in.*")

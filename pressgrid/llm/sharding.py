@@ -26,7 +26,7 @@ import bisect
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, stored, text_or_empty
+from .common import packed, stored, text_or_empty
 
 ROW_OVERHEAD = 16   # bytes a row counts besides its text
 PROBE_BITS = 10     # probes a round: 2^10 in every open interval
@@ -121,7 +121,7 @@ def assign_shards(rows: DataFrame, splitters: list[tuple[int, int]], cells: int
     Slots are numbered per (shard, cell) behind the offsets of a table with at
     most ``shards * cells`` rows, so no task numbers a whole shard."""
     n = len(splitters) + 1
-    shard, cell, off = (free_name(rows, c) for c in ("shard", "_cell", "_offset"))
+    shard, cell, off = "shard", "_cell", "_offset"
     out = rows.withColumn(shard, _shard_of(splitters, 0, n - 1)) \
         .withColumn(cell, F.pmod(F.xxhash64("_k1", "_k2", "_size"), F.lit(cells)).cast("int"))
     counts = out.groupBy(shard, cell).agg(F.count(F.lit(1)).alias("_n"))
@@ -135,17 +135,17 @@ def assign_shards(rows: DataFrame, splitters: list[tuple[int, int]], cells: int
 
 def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text",
                     tolerance: float = 0.0025) -> DataFrame:
-    """Every row of ``docs`` with ``shard`` and ``slot`` (gapless from 0 in its shard).
+    """Every row of ``docs`` with ``shard`` and ``slot`` (gapless from 0 in its shard);
+    existing columns of these names are replaced.
 
     The boundaries are found on stored (key, size) rows; the documents
     themselves are read once more and exchanged once."""
-    keys = shard_keys(id_col, text_col)
-    narrow = stored(docs.select(*[c.alias(n) for n, c in keys.items()]), "shard-keys")
+    narrow = stored(docs.select(*[c.alias(n) for n, c in shard_keys(id_col, text_col).items()]), "shard-keys")
     splitters = find_splitters(narrow, shards, tolerance)
-    clash = {c: f"_in_{c}" for c in docs.columns if c in ("shard", "slot", *keys)}
-    wide = docs.withColumns(keys) if not clash else docs.withColumnsRenamed(clash).withColumns(
-        shard_keys(clash.get(id_col, id_col), clash.get(text_col, text_col)))
-    return assign_shards(wide, splitters, _cells(narrow.count(), shards)).drop(*keys)
+    wide = packed(docs).withColumns(shard_keys(f"in.{id_col}", f"in.{text_col}"))
+    out = assign_shards(wide, splitters, _cells(narrow.count(), shards))
+    keep = [F.col(f"in.`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot")]
+    return out.select(*keep, "shard", "slot")
 
 
 def _cells(n: int, shards: int) -> int:
