@@ -1,12 +1,14 @@
 """Ordered operators without a single-partition window.
 
 A window with ``ORDER BY`` and no ``PARTITION BY`` moves every row into one
-task.  Here the rows are range-partitioned on the ordering key instead; each
-partition computes its local running values, a table with one row per
-(partition, run) carries the partition totals, and a running sum over that
-small table gives each partition its starting offset.  Two shuffles of the
-narrow key columns, no single hot task, and the same result as the global
-window.  The ordering key must be unique (add a tie-breaker such as an id).
+task.  Here the ordering key is cut into ranges once: the cut points (at most
+one per shuffle partition) are collected, and the range number of a row is a
+pure expression of its key against those literals.  It is therefore the same
+in every branch of the plan and in every retried task, whatever other columns
+the rows carry.  Each range computes its local running values, a table with
+one row per (range, run) carries the totals, and a running sum over that small
+table gives each range its starting offset.  The ordering key must be unique
+(add a tie-breaker such as an id).
 """
 
 from __future__ import annotations
@@ -15,43 +17,68 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-
 def _partitions(df: DataFrame, n: int | None) -> int:
     if n:
         return n
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def cut_points(df: DataFrame, keys: list[str], n: int) -> list[tuple]:
+    """At most ``n - 1`` key values that cut ``df`` into ranges of similar size:
+    the largest key of every part of one range exchange of the keys alone."""
+    part = df.select(F.struct(*keys).alias("k")).repartitionByRange(n, "k")
+    top = part.groupBy(F.spark_partition_id().alias("p")).agg(F.max("k").alias("k"))
+    return [tuple(r["k"]) for r in top.select("k").orderBy("k").collect()[:-1]]
+
+
+def range_number(df: DataFrame, keys: list[str], cuts: list[tuple]) -> Column:
+    """The number of cut points below the row's key, by binary search (nulls are
+    the smallest keys, as in Spark's ordering)."""
+    types = [df.schema[k].dataType for k in keys]
+    key = F.struct(*keys)
+
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        cut = F.struct(*[F.lit(v).cast(t).alias(k) for v, t, k in zip(cuts[mid], types, keys)])
+        return F.when(key > cut, search(mid + 1, hi)).otherwise(search(lo, mid))
+
+    return search(0, len(cuts))
+
+
 def running_totals(df: DataFrame, order_cols: list[str], sums: dict[str, Column],
                    run_col: str | None = None, num_partitions: int | None = None,
                    totals: bool = False) -> DataFrame:
     """Add one column per ``sums`` entry: the running sum of that expression over
     ``order_cols`` (rows up to and including the current one), restarting per
     ``run_col`` when given.  With ``totals=True`` also ``<name>_total``, the
-    run's whole sum, taken from the same small per-partition table (no extra
+    run's whole sum, taken from the same small per-range table (no extra
     aggregate over the rows)."""
     run = F.col(run_col) if run_col else F.lit(0)
     keys = ([run_col] if run_col else []) + list(order_cols)
     r = df.withColumn("_run", run)
     for name, expr in sums.items():
         r = r.withColumn(f"_v_{name}", F.coalesce(expr.cast("long"), F.lit(0)))
-    r = (r.repartitionByRange(_partitions(df, num_partitions), *keys)
-         .withColumn("_pid", F.spark_partition_id()))
+    cuts = cut_points(df, keys, _partitions(df, num_partitions))
+    r = r.withColumn("_pid", range_number(df, keys, cuts))
     w_local = (Window.partitionBy("_pid", "_run").orderBy(*order_cols)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = r.select("*", *[F.sum(f"_v_{n}").over(w_local).alias(f"_l_{n}") for n in sums])
     parts = r.groupBy("_pid", "_run").agg(*[F.sum(f"_v_{n}").alias(f"_p_{n}") for n in sums])
-    # One row per (partition, run): at most `partitions` rows without runs,
+    # One row per (range, run): at most as many rows as ranges without runs,
     # which is a proven bound, so it is broadcast; with runs the bound is
-    # partitions + runs and the choice is left to AQE's runtime statistics.
+    # ranges + runs and the choice is left to AQE's runtime statistics.
     w_prev = Window.partitionBy("_run").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     w_run = Window.partitionBy("_run")
-    offsets = parts.select("_pid", "_run", *[
+    offsets = parts.select("_pid", F.col("_run").alias("_orun"), *[
         F.coalesce(F.sum(f"_p_{n}").over(w_prev), F.lit(0)).alias(f"_o_{n}") for n in sums], *[
         F.sum(f"_p_{n}").over(w_run).alias(f"{n}_total") for n in (sums if totals else [])])
-    out = local.join(offsets if run_col else F.broadcast(offsets), ["_pid", "_run"])
+    offsets = offsets.withColumnRenamed("_pid", "_opid")
+    same = (F.col("_pid") == F.col("_opid")) & F.col("_run").eqNullSafe(F.col("_orun"))
+    out = local.join(offsets if run_col else F.broadcast(offsets), same)
     out = out.select("*", *[(F.col(f"_o_{n}") + F.col(f"_l_{n}")).alias(n) for n in sums])
-    drop = ["_pid", "_run"] + [f"_{p}_{n}" for n in sums for p in ("v", "l", "o")]
+    drop = ["_pid", "_run", "_opid", "_orun"] + [f"_{p}_{n}" for n in sums for p in ("v", "l", "o")]
     return out.drop(*drop)
 
 
