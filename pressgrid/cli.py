@@ -66,8 +66,12 @@ def cmd_process(spark: SparkSession, args) -> dict:
 def cmd_intake(spark: SparkSession, args) -> dict:
     """Uploaded files -> per-file outcome -> batch cap -> pipeline."""
     urls, outcome = files.read_uploads(spark, args.uploads)
-    outcome.write.mode("overwrite").parquet(f"{args.out}/intake")
-    capped = cap_batch(urls.withColumn("batch", F.lit(0)), "batch", args.max_urls)
+    # Every file is a batch of its own; a refused one says so in its outcome.
+    capped = cap_batch(urls, "path", args.max_urls)
+    refused = capped.where("refused").groupBy("path").agg(F.first("error").alias("_refused"))
+    outcome.join(refused, "path", "left") \
+        .withColumn("error", F.coalesce("error", "_refused")).drop("_refused") \
+        .write.mode("overwrite").parquet(f"{args.out}/intake")
     todo = capped.where(~F.col("refused")).select(F.monotonically_increasing_id().alias("pos"), "url")
     results = pipeline.process_urls(todo, _pages(spark, args), _blocked(spark, args.blocked))
     return _write(results, args.out, args.csv)
@@ -89,7 +93,10 @@ def cmd_enrich_afp(spark: SparkSession, args) -> dict:
     """AFP rows get the stamp of their URL as published and modified date."""
     df = files.read_result_csv(spark, args.table)
     out = enrich_afp(df)
-    out.write.mode("overwrite").option("header", "true").option("escape", '"').csv(args.out)
+    # Cells as they were: padding and empty cells are kept.
+    (out.write.mode("overwrite").option("header", "true").option("escape", '"')
+     .option("emptyValue", "").option("nullValue", "")
+     .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(args.out))
     return {"rows": spark.read.option("header", "true").option("multiLine", "true")
             .option("escape", '"').csv(args.out).count()}
 

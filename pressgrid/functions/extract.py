@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _col, collapse_ws
-from .html import html_text
+from .text import _col, bind, collapse_ws
+from .html import html_text, unescape_entities
 
 UNKNOWN = "unknown"
 
@@ -149,20 +149,23 @@ def with_url_metadata(df, url_col: str = "url", out: str = "url_meta", names: di
 # --- X2 page fallbacks ------------------------------------------------------
 
 def meta_content(html, key: str) -> Column:
-    """``content`` of the first ``<meta name|property=key>``, either attribute order."""
+    """``content`` of the first ``<meta name|property=key>``, either attribute order;
+    the value ends at the quote that began it, and its references are decoded."""
     k = key.replace(".", r"\.")
-    a = (rf"(?is)<meta\s[^>]*?(?:name|property)\s*=\s*[\"']{k}[\"'][^>]*?"
-         r"\scontent\s*=\s*[\"']([^\"']*)[\"']")
-    b = (r"(?is)<meta\s[^>]*?content\s*=\s*[\"']([^\"']*)[\"'][^>]*?"
-         rf"\s(?:name|property)\s*=\s*[\"']{k}[\"']")
+    value = r"content\s*=\s*(?:\"([^\"]*)\"|'([^']*)')"
+    a = rf"(?is)<meta\s[^>]*?(?:name|property)\s*=\s*[\"']{k}[\"'][^>]*?\s{value}"
+    b = rf"(?is)<meta\s[^>]*?{value}[^>]*?\s(?:name|property)\s*=\s*[\"']{k}[\"']"
     s = _col(html)
-    return F.coalesce(F.nullif(F.regexp_extract(s, a, 1), F.lit("")),
-                      F.nullif(F.regexp_extract(s, b, 1), F.lit("")))
+    found = F.coalesce(*[F.nullif(F.regexp_extract(s, p, g), F.lit("")) for p in (a, b) for g in (1, 2)])
+    return unescape_entities(found)
 
 
 H1_INNER = r"(?is)<h1(?:\s[^>]*)?>(.*?)</h1\s*>"
 TITLE_INNER = r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>"
-BYLINE_INNER = r"(?is)<(?:p|div|span|a)\s[^>]*class\s*=\s*[\"'][^\"']*byline[^\"']*[\"'][^>]*>(.*?)</(?:p|div|span|a)\s*>"
+BYLINE_OPEN = (r"(?is)<(p|div|span|a|li|address)\s[^>]*?class\s*=\s*"
+               r"(?:\"[^\"]*byline[^\"]*\"|'[^']*byline[^']*'|[^\s>]*byline[^\s>]*)[^>]*>")
+# A name: letters and the marks of names, at most six words, no digit.
+PERSON = r"^\p{L}[\p{L}\p{M}.'’-]*(?: [\p{L}\p{M}.'’-]+){0,5}$"
 TIME_ATTR = r"(?is)<time\s[^>]*?datetime\s*=\s*[\"']([^\"']+)[\"']"
 
 
@@ -172,12 +175,20 @@ def first_inner_text(html, pattern: str) -> Column:
 
 
 def byline_authors(html) -> Column:
-    """Names in a visible by-line: 'By A, B and C' -> 'A, B, C'."""
-    t = first_inner_text(html, BYLINE_INNER)
-    t = F.regexp_replace(t, r"(?i)^by\s+", "")
-    names = F.filter(F.transform(F.split(t, r"\s*,\s*|\s+and\s+"), lambda x: F.trim(x)),
-                     lambda x: x != "")
-    return F.nullif(F.array_join(names, ", "), F.lit(""))
+    """Names in the visible by-lines, each once: 'By A, B and C' -> 'A, B, C'.
+
+    Every by-line element counts, its text up to its own closing tag or to a
+    by-line inside it; what does not read as a name (a date, a sentence) is left out."""
+    def body(s):
+        rest = F.split(s, BYLINE_OPEN, -1)
+        inner = F.zip_with(F.slice(rest, 2, F.greatest(F.size(rest) - 1, F.lit(0))),
+                           F.regexp_extract_all(s, F.lit(BYLINE_OPEN), 1),
+                           lambda p, t: F.get(F.split(p, F.concat(F.lit("(?i)</"), t, F.lit(r"\s*>")), -1), F.lit(0)))
+        line = F.transform(inner, lambda x: F.regexp_replace(html_text(x), r"(?i)^by:?\s+", ""))
+        names = F.flatten(F.transform(line, lambda x: F.split(x, r"\s*[,;|]\s*|\s+and\s+", -1)))
+        names = F.array_distinct(F.filter(F.transform(names, lambda x: F.trim(x)), lambda x: x.rlike(PERSON)))
+        return F.nullif(F.array_join(names, ", "), F.lit(""))
+    return bind(_col(html), body)
 
 
 def time_datetime(html) -> Column:

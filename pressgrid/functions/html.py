@@ -6,23 +6,27 @@ cases that matter here:
 
 * comments, ``script`` and ``style`` are removed in one alternation, so a tag
   inside a comment or a ``</p>`` inside a script is not read as markup;
-* removable elements end at their first closing tag, or at the end of the
+* removable elements end at their balancing closing tag, or at the end of the
   page when they are never closed;
 * a paragraph ends at ``</p>``, at the next ``<p>``, or at the end of an
   enclosing block.
 
-Limits: the same tag nested in itself (a ``form`` in a ``form``) is cut at
-the inner closing tag; a ``>`` inside a quoted attribute ends a tag early;
-unclosed nested paragraphs are not repeated (a tree parser would repeat the
-inner text inside the outer paragraph).
+A quoted attribute value may hold a ``>``; an element that contains its own kind
+ends at the closing tag that balances it.
+
+Limit: unclosed nested paragraphs are not repeated (a tree parser would repeat
+the inner text inside the outer paragraph).
 """
 
 from __future__ import annotations
 
+import json
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS_CLASS, _col, collapse_ws
+from .text import CP1252_BYTES, CP1252_SPECIALS, WS_CLASS, _col, bind, collapse_ws
 
 # Elements removed before the text is taken (script and style go
 # in the first pass with comments), in removal order.
@@ -39,56 +43,98 @@ FIRST_PASS = (r"(?is)<!--.*?(?:-->|\z)"
               r"|<style(?:\s[^>]*)?>.*?(?:</style\s*>|\z)")
 
 
-def element_pattern(tag: str) -> str:
-    return rf"(?is)<{tag}(?:\s[^>]*)?>.*?(?:</{tag}\s*>|\z)"
+# The rest of a tag: a quoted value after an equals sign may hold a ">".
+ATTRS = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+"
+
+
+def open_or_close(tag: str) -> str:
+    return rf"(?i)<{tag}(?:\s{ATTRS})?>|</{tag}\s*>"
 
 
 def has_element_pattern(tag: str) -> str:
     return rf"(?i)<{tag}(?:\s|/?>)"
 
 
-def inner_pattern(tag: str) -> str:
-    return rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)(?:</{tag}\s*>|\z)"
+TAG = rf"</?[a-zA-Z]{ATTRS}>|<![^>]*>|<\?[^>]*>"
+P_OPEN = rf"(?i)<p(?:\s{ATTRS})?>"
+P_BODY = r"(?is)^(.*?)(?:</p\s*>|</(?:" + "|".join(BLOCK_ENDS) + r")\s*>|\z)"
+
+# A character reference: decimal, hexadecimal, or a name that ends at ";" or at
+# a character that cannot continue it.
+REFERENCE = r"&(?:#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,8}|[a-zA-Z][a-zA-Z0-9]*)(?:;|(?![-.;a-zA-Z0-9]))"
 
 
-TAG = r"</?[a-zA-Z][^>]*>|<![^>]*>|<\?[^>]*>"
-P_OPEN = r"(?i)<p(?:\s[^>]*)?>"
-P_BODY = r"(?is)^(.*?)(?:</p\s*>|</(?:" + "|".join(BLOCK_ENDS) + r")\s*>|\z)"
+def _names() -> str:
+    """The named references of HTML as a JSON object, from the standard library's table."""
+    return json.dumps({n: chr(c) for n, c in name2codepoint.items()} | {"apos": "'"})
+
+
+def _code_point(n: Column) -> Column:
+    """The character of a number; what HTML does not allow becomes U+FFFD and the
+    windows-1252 range stands for its characters."""
+    ok = (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    return F.when(ok, F.translate(char, CP1252_BYTES, CP1252_SPECIALS)).otherwise(F.lit("\ufffd"))
+
 
-# Character references turned into text.  Named ones need a
-# terminating ';' or a character that cannot continue a name.
-NAMED_ENTITIES = (
-    ("nbsp", "\u00a0"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"),
-    ("copy", "©"), ("reg", "®"), ("trade", "™"), ("middot", "·"),
-    ("bull", "•"), ("hellip", "…"), ("ndash", "–"), ("mdash", "—"),
-    ("lsquo", "‘"), ("rsquo", "’"), ("ldquo", "“"), ("rdquo", "”"),
-    ("laquo", "«"), ("raquo", "»"), ("euro", "€"), ("pound", "£"),
-    ("deg", "°"), ("times", "×"),
-)
-NUMERIC_ENTITIES = (
-    ("#39", "'"), ("#x27", "'"), ("#34", '"'), ("#38", "&"), ("#160", "\u00a0"),
-    ("#8211", "–"), ("#8212", "—"), ("#8216", "‘"), ("#8217", "’"),
-    ("#8220", "“"), ("#8221", "”"), ("#8230", "…"),
-)
-# A reference without ';' ends at a character that cannot continue its name.
-NAME_STOP = r"[^-.a-zA-Z0-9]"
-NUMBER_STOP = r"[^0-9a-fA-F]"
-
-
-def _unescape_one(s: Column, ref: str, char: str) -> Column:
-    s = F.replace(s, F.lit(f"&{ref};"), F.lit(char))
-    stop = NUMBER_STOP if ref.startswith("#") else NAME_STOP
-    repl = char.replace("\\", "\\\\").replace("$", "\\$")
-    return F.regexp_replace(s, f"&{ref}({stop}|$)", repl + "$1")
+def _decoded(ref: Column, names: Column) -> Column:
+    body = F.regexp_replace(ref, "^&|;$", "")
+    number = F.when(body.rlike("^#[xX]"), F.conv(F.substring(body, 3, 8), 16, 10).cast("bigint")) \
+        .when(body.startswith("#"), F.try_to_number(F.substring(body, 2, 8), F.lit("99999999")).cast("bigint"))
+    return F.when(number.isNotNull(), _code_point(number)).otherwise(F.coalesce(F.try_element_at(names, body), ref))
 
 
 def unescape_entities(c) -> Column:
-    """Turn the known character references into characters; ``&amp;`` last."""
-    src = _col(c)
-    s = src
-    for ref, char in NAMED_ENTITIES + NUMERIC_ENTITIES:
-        s = _unescape_one(s, ref, char)
-    return F.when(src.contains("&"), _unescape_one(s, "amp", "&")).otherwise(src)
+    """Turn character references into characters, each once; unknown names stay."""
+    names = F.from_json(F.lit(_names()), "map<string,string>")
+
+    def body(src):
+        refs = F.transform(F.regexp_extract_all(src, F.lit(REFERENCE), 0), lambda r: _decoded(r, names))
+        joined = F.array_join(F.zip_with(F.split(src, REFERENCE, -1), F.concat(refs, F.array(F.lit(""))),
+                                         lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
+        return F.when(src.contains("&"), joined).otherwise(src)
+
+    return bind(_col(c), body)
+
+
+def _walk(s: Column, tag: str, step) -> Column:
+    """Fold over the open and close tags of ``tag``: ``step(state, piece, mark)`` gets
+    each piece of text and the tag after it ('' at the end)."""
+    pat = open_or_close(tag)
+    pieces = F.split(s, pat, -1)
+    marks = F.concat(F.regexp_extract_all(s, F.lit(pat), 0), F.array(F.lit("")))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("done"), F.array().cast("array<string>").alias("out"))
+    pairs = F.zip_with(pieces, marks, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
+    return F.array_join(F.aggregate(pairs, start, lambda a, x: step(a, x["p"], x["m"]))["out"], "")
+
+
+def _closes(mark: Column) -> Column:
+    return mark.startswith("</")
+
+
+def without_element(s: Column, tag: str, replacement: str = " ") -> Column:
+    """``s`` without the elements ``tag``, whatever they contain; a closing tag
+    without an opening one stays."""
+    def step(a, p, m):
+        depth = F.when(m == "", a["depth"]).when(_closes(m), F.greatest(a["depth"] - 1, F.lit(0))).otherwise(a["depth"] + 1)
+        outside = a["depth"] == 0
+        mark = F.when(outside & ~_closes(m) & (m != ""), F.lit(replacement)).when(outside, m).otherwise(F.lit(""))
+        text = F.when(outside, p).otherwise(F.lit(""))
+        return F.struct(depth.alias("depth"), a["done"].alias("done"), F.concat(a["out"], F.array(text, mark)).alias("out"))
+    return bind(s, lambda v: F.when(v.rlike(f"(?i)<{tag}[\\s>]"), _walk(v, tag, step)).otherwise(v))
+
+
+def first_inner(s: Column, tag: str) -> Column:
+    """The markup inside the first element ``tag``, to its balancing end tag."""
+    def step(a, p, m):
+        inside = (a["depth"] > 0) & ~a["done"]
+        depth = F.when(a["done"] | (m == ""), a["depth"]).when(_closes(m), F.greatest(a["depth"] - 1, F.lit(0))) \
+            .otherwise(a["depth"] + 1)
+        done = a["done"] | (inside & (depth == 0))
+        text = F.when(inside, p).otherwise(F.lit(""))
+        mark = F.when(inside & ~done, m).otherwise(F.lit(""))
+        return F.struct(depth.alias("depth"), done.alias("done"), F.concat(a["out"], F.array(text, mark)).alias("out"))
+    return _walk(s, tag, step)
 
 
 def drop_comments_scripts(c) -> Column:
@@ -100,18 +146,18 @@ def strip_boilerplate(c, replacement: str = " ") -> Column:
     """H1: remove script, style, nav, footer, aside, form and header anywhere."""
     s = F.regexp_replace(_col(c), FIRST_PASS, replacement)
     for tag in REMOVED_ELEMENTS:
-        s = F.regexp_replace(s, element_pattern(tag), replacement)
+        s = without_element(s, tag, replacement)
     return s
 
 
 def main_content(c) -> Column:
     """H2: inner markup of the first article, else main, else body, else all."""
-    s = _col(c)
-    out = s
-    for tag in reversed(CONTENT_CONTAINERS):
-        out = F.when(s.rlike(has_element_pattern(tag)),
-                     F.regexp_extract(s, inner_pattern(tag), 1)).otherwise(out)
-    return out
+    def body(s):
+        out = s
+        for tag in reversed(CONTENT_CONTAINERS):
+            out = F.when(s.rlike(has_element_pattern(tag)), first_inner(s, tag)).otherwise(out)
+        return out
+    return bind(_col(c), body)
 
 
 def html_text(c, sep: str = " ") -> Column:

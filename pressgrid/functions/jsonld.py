@@ -14,7 +14,8 @@ from .text import _col, collapse_ws
 from .html import paragraph_text
 
 LD_SCRIPT = (r"(?is)<script(?:\s[^>]*?)?\stype\s*=\s*"
-             r"(?:\"application/ld\+json\"|'application/ld\+json')[^>]*>(.*?)</script\s*>")
+             r"(?:\"(?-i:application/ld\+json)\"[^>]*|'(?-i:application/ld\+json)'[^>]*"
+             r"|(?-i:application/ld\+json)(?:\s[^>]*)?)>(.*?)</script\s*>")
 
 # The keys that count as "good dates" at the top of an object.
 DATE_KEYS = ("datePublished", "dateModified", "dateCreated", "publishedDate", "modifiedDate")
@@ -25,14 +26,17 @@ ARTICLE_TYPES = r"(?i)article|posting|report|videoobject|webpage"
 def strict_json(c) -> Column:
     """True when the text is exactly one JSON value, as Python's ``json.loads`` reads it.
 
-    ``try_parse_json`` alone accepts trailing text (``{"a":1} x``); the text is
-    parsed once wrapped in ``[...]`` and must give an array of exactly one
-    element.  Known difference: ``NaN`` and duplicate keys are rejected here,
-    accepted there.
+    ``try_parse_json`` alone accepts trailing text (``{"a":1} x``), so the text is
+    parsed inside ``[...]``, giving an array of exactly one element, and inside
+    ``{"v":...}``: text that closes one bracket early cannot close the other.
+    Known difference: ``NaN`` and duplicate keys are rejected here, accepted
+    there.
     """
-    wrapped = F.try_parse_json(F.concat(F.lit("["), _col(c), F.lit("]")))
+    s = _col(c)
+    wrapped = F.try_parse_json(F.concat(F.lit("["), s, F.lit("]")))
     n = F.size(F.try_variant_get(wrapped, "$", "array<variant>"))
-    return F.coalesce(n == 1, F.lit(False))
+    keyed = F.try_parse_json(F.concat(F.lit('{"v":'), s, F.lit("}")))
+    return F.coalesce((n == 1) & keyed.isNotNull(), F.lit(False))
 
 
 def jsonld_blocks(c) -> Column:

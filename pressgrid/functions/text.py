@@ -31,6 +31,12 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(c: Column, body) -> Column:
+    """``body(value)`` with ``c`` computed once: a lambda over a one-element array.
+    Without it, an expression that uses its input several times repeats it."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def collapse_ws(c) -> Column:
     """Every whitespace run (Python's definition) becomes one space, then strip."""
     return F.trim(F.regexp_replace(_col(c), WS_RUN, " "))

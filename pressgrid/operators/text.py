@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import codecs
+import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql.types import StringType
 from ..functions.html import table_cells
 from ..functions.text import collapse_ws, utf8_as_latin1
 
+# Fixed value: an address with a port.
 ENDPOINT = r"[0-9]+(?:\.[0-9]+){3}:[0-9]+"
 
 
@@ -33,27 +35,40 @@ def table_endpoints(df: DataFrame, col: str, keys: list[str], stride: int = 8) -
     return out.where(F.col("endpoint").isNotNull())
 
 
-def _decode_escapes(s: str, legacy: bool) -> str:
-    if not s:
-        return ""
+# The one-letter escapes.
+SIMPLE = {"\\": "\\", "'": "'", '"': '"', "a": "\a", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v", "\n": ""}
+ESCAPE = re.compile(r"""\\(?:(?P<oct>[0-7]{1,3})|x(?P<x>[0-9a-fA-F]{2})|u(?P<u>[0-9a-fA-F]{4})|U(?P<U>[0-9a-fA-F]{8})
+    |N\{(?P<name>[^}]+)\}|(?P<one>[\\'"abfnrtv\n])|(?P<bad>[xuUN]|$))""", re.X)
+
+
+def _unescape(text: str) -> str:
+    """Every escape sequence of ``text`` as its character.  A cut-off sequence or an
+    impossible character leaves the whole text as it was; a backslash before any
+    other character is kept."""
+    def char(m: re.Match) -> str:
+        if m["one"] is not None:
+            return SIMPLE[m["one"]]
+        if m["name"] is not None:
+            return unicodedata.lookup(m["name"])
+        if m["bad"] is not None:
+            raise ValueError(m[0])
+        return chr(int(m["oct"], 8)) if m["oct"] else chr(int(m["x"] or m["u"] or m["U"], 16))
     try:
-        if legacy:
-            text = codecs.decode(s, "unicode_escape")
-        else:
-            text = s.encode("latin-1", "backslashreplace").decode("unicode_escape")
-    except (TypeError, ValueError):
-        text = s
-    return text
+        out = ESCAPE.sub(char, text)
+    except (KeyError, ValueError, OverflowError):
+        return text
+    # Two escapes may be the halves of one character; a lone half is none.
+    return out.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
 
 
 @pandas_udf(StringType())
 def _unescape_udf(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else _decode_escapes(x, False))
+    return s.map(lambda x: None if x is None else _unescape(x))
 
 
 @pandas_udf(StringType())
 def _unescape_legacy_udf(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else _decode_escapes(x, True))
+    return s.map(lambda x: None if x is None else _unescape(x.encode().decode("latin-1")))
 
 
 def scrub_text(df: DataFrame, col: str, out: str = "scrubbed", legacy: bool = False) -> DataFrame:

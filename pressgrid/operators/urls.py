@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.urls import base_url, is_valid_url, py_strip
 from .joins import DEFAULT_BROADCAST_ROWS, broadcast_if_small, salted_lookup_join
 
-# Fixed value: the largest batch the intake form accepts.
-MAX_URLS_LIMIT = 100
+# Fixed value: the batch size the intake form starts with.
 DEFAULT_MAX_URLS = 20
 
 
@@ -53,8 +52,8 @@ def cap_batch(df: DataFrame, batch_col: str, max_urls: int = DEFAULT_MAX_URLS) -
 
     Adds ``batch_size`` and ``refused`` (with the form's message in ``error``).
     """
-    if not 1 <= max_urls <= MAX_URLS_LIMIT:
-        raise ValueError(f"max_urls must be within 1..{MAX_URLS_LIMIT}")
+    if max_urls < 1:
+        raise ValueError("max_urls must be at least 1")
     sizes = df.groupBy(batch_col).agg(F.count(F.lit(1)).alias("batch_size"))
     out = salted_lookup_join(df, sizes, batch_col, "inner")
     refused = F.col("batch_size") > max_urls

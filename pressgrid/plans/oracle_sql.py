@@ -7,18 +7,15 @@ functions).  The oracle queries in ``oracles.py`` are assembled from these.
 
 from __future__ import annotations
 
-from ..functions import extract as X
-from ..functions import html as H
-from ..functions import jsonld as J
-from ..functions import llm_output as L
-from ..functions import text as T
+from . import oracle_rules as R
+
 
 
 def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-WS = T.WS_CLASS
+WS = R.WS_CLASS
 _LET = [0]
 
 
@@ -87,7 +84,7 @@ def _latin1_step(x: str) -> str:
         hexed = (f"array_to_string(list_transform(regexp_extract_all({u}, {lit(TOKENS)}), "
                  f"lambda tk: CASE WHEN unicode(tk) < 128 THEN hex(encode(tk)) "
                  f"ELSE lpad(hex(unicode(tk)), 2, '0') END), '')")
-        return (f"(CASE WHEN {u} = '' THEN '' WHEN {matches(u, T.LATIN1_ONLY)} "
+        return (f"(CASE WHEN {u} = '' THEN '' WHEN {matches(u, R.LATIN1_ONLY)} "
                 f"THEN TRY(decode(unhex({hexed}))) END)")
     return let(x, body)
 
@@ -110,9 +107,9 @@ def utf8_as_latin1(x: str) -> str:
 
 def fix_mojibake(x: str) -> str:
     def body(v):
-        t = f"translate({v}, {lit(T.CP1252_SPECIALS)}, {lit(T.CP1252_BYTES)})"
+        t = f"translate({v}, {lit(R.CP1252_SPECIALS)}, {lit(R.CP1252_BYTES)})"
         step2 = _latin1_step(_latin1_step(t))
-        return f"coalesce(CASE WHEN NOT {matches(v, T.C1_CONTROLS)} THEN {step2} END, {v})"
+        return f"coalesce(CASE WHEN NOT {matches(v, R.C1_CONTROLS)} THEN {step2} END, {v})"
     return let(x, body)
 
 
@@ -127,14 +124,14 @@ def html_escape(x: str) -> str:
 
 def _unescape_one(s: str, ref: str, char: str) -> str:
     s = f"replace({s}, {lit('&' + ref + ';')}, {lit(char)})"
-    stop = H.NUMBER_STOP if ref.startswith("#") else H.NAME_STOP
+    stop = R.NUMBER_STOP if ref.startswith("#") else R.NAME_STOP
     return f"regexp_replace({s}, {lit('&' + ref + '(' + stop + '|$)')}, {lit(char.replace(chr(92), chr(92) * 2) + chr(92) + '1')}, 'g')"
 
 
 def unescape(x: str) -> str:
     def body(v):
         s = v
-        for ref, char in H.NAMED_ENTITIES + H.NUMERIC_ENTITIES:
+        for ref, char in R.NAMED_ENTITIES + R.NUMERIC_ENTITIES:
             s = _unescape_one(s, ref, char)
         s = _unescape_one(s, "amp", "&")
         return f"(CASE WHEN contains({v}, '&') THEN {s} ELSE {v} END)"
@@ -142,33 +139,33 @@ def unescape(x: str) -> str:
 
 
 def strip_boilerplate(x: str, repl: str = " ") -> str:
-    s = rx(x, H.FIRST_PASS, repl)
-    for tag in H.REMOVED_ELEMENTS:
-        s = rx(s, H.element_pattern(tag), repl)
+    s = rx(x, R.FIRST_PASS, repl)
+    for tag in R.REMOVED_ELEMENTS:
+        s = rx(s, R.element_pattern(tag), repl)
     return s
 
 
 def main_content(x: str) -> str:
     def body(v):
         branches = " ".join(
-            f"WHEN {matches(v, H.has_element_pattern(t))} THEN {extract(v, H.inner_pattern(t))}"
-            for t in H.CONTENT_CONTAINERS)
+            f"WHEN {matches(v, R.has_element_pattern(t))} THEN {extract(v, R.inner_pattern(t))}"
+            for t in R.CONTENT_CONTAINERS)
         return f"(CASE {branches} ELSE {v} END)"
     return let(x, body)
 
 
 def html_text(x: str, sep: str = " ") -> str:
-    return collapse(unescape(rx(x, H.TAG, sep)))
+    return collapse(unescape(rx(x, R.TAG, sep)))
 
 
 def paragraphs(x: str) -> str:
-    parts = f"regexp_split_to_array({rx(x, H.FIRST_PASS, ' ')}, {lit(H.P_OPEN)})"
-    return f"list_transform(({parts})[2:], lambda p: {extract('p', H.P_BODY)})"
+    parts = f"regexp_split_to_array({rx(x, R.FIRST_PASS, ' ')}, {lit(R.P_OPEN)})"
+    return f"list_transform(({parts})[2:], lambda p: {extract('p', R.P_BODY)})"
 
 
 def glued(x: str) -> str:
     s = f"replace({x}, '&nbsp;', chr(160))"
-    s = rx(s, f"{WS}*(?:{H.TAG}){WS}*", "")
+    s = rx(s, f"{WS}*(?:{R.TAG}){WS}*", "")
     return rx(unescape(s), f"^{WS}+|{WS}+$", "")
 
 
@@ -177,13 +174,13 @@ def paragraph_text(x: str) -> str:
 
 
 def table_cells(x: str) -> str:
-    return f"list_transform(regexp_extract_all({x}, {lit(H.TD_CELL)}, 1), lambda c: {html_text('c')})"
+    return f"list_transform(regexp_extract_all({x}, {lit(R.TD_CELL)}, 1), lambda c: {html_text('c')})"
 
 
 # --- json-ld ------------------------------------------------------------------
 
 def ld_blocks(x: str) -> str:
-    return f"list_filter(regexp_extract_all({x}, {lit(J.LD_SCRIPT)}, 1), lambda b: json_valid(b))"
+    return f"list_filter(regexp_extract_all({x}, {lit(R.LD_SCRIPT)}, 1), lambda b: json_valid(b))"
 
 
 def _as_list(v: str) -> str:
@@ -220,7 +217,7 @@ def ld_fields(blocks: str) -> dict[str, str]:
     title = _first("json_extract_string(o, '$.headline')", objs)
     name_title = _first("json_extract_string(o, '$.name')", objs,
                         cond=f"coalesce(regexp_matches(json_extract_string(o, '$.\"@type\"'), "
-                             f"{lit(J.ARTICLE_TYPES)}), false)")
+                             f"{lit(R.ARTICLE_TYPES)}), false)")
     author = "json_extract(o, '$.author')"
     authors = (f"array_to_string((list_filter(list_transform({objs}, lambda o: "
                f"CASE WHEN {author} IS NULL THEN NULL ELSE {_names_of(author)} END), "
@@ -238,7 +235,7 @@ def ld_fields(blocks: str) -> dict[str, str]:
 
 def has_dates(x: str) -> str:
     tests = []
-    for k in J.DATE_KEYS:
+    for k in R.DATE_KEYS:
         t = f"json_type({x}, '$.{k}')"
         v = f"json_extract_string({x}, '$.{k}')"
         falsy = (f"({t} IS NULL OR {t} = 'NULL' OR ({t} = 'VARCHAR' AND {v} = '') "
@@ -278,21 +275,21 @@ def date_style(x: str) -> str:
 # --- url-only metadata ----------------------------------------------------------
 
 def url_host(x: str) -> str:
-    return f"lower({extract(f'trim({x})', X.URL_HOST)})"
+    return f"lower({extract(f'trim({x})', R.URL_HOST)})"
 
 
 def url_path(x: str) -> str:
-    return extract(f"trim({x})", X.URL_PATH)
+    return extract(f"trim({x})", R.URL_PATH)
 
 
 def source_from_host(host: str) -> str:
-    return let(rx(host, X.HOST_PREFIXES, ""), _source_from_host)
+    return let(rx(host, R.HOST_PREFIXES, ""), _source_from_host)
 
 
 def _source_from_host(h: str) -> str:
 
     def look(k):
-        whens = " ".join(f"WHEN {lit(a)} THEN {lit(b)}" for a, b in sorted(X.KNOWN_SOURCES.items()))
+        whens = " ".join(f"WHEN {lit(a)} THEN {lit(b)}" for a, b in sorted(R.KNOWN_SOURCES.items()))
         return f"(CASE {k} {whens} END)"
 
     label = f"split_part({h}, '.', 1)"
@@ -307,7 +304,7 @@ def title_from_path(path: str) -> str:
     def body(parts):
         slug = (f"(CASE WHEN regexp_matches({parts}[-1], '(?i)^index\\.') THEN {parts}[-2] "
                 f"ELSE {parts}[-1] END)")
-        words = f"replace({rx(slug, X.PAGE_EXT, '')}, '-', ' ')"
+        words = f"replace({rx(slug, R.PAGE_EXT, '')}, '-', ' ')"
 
         def fin(w):
             alpha = f"len(list_filter(string_split({w}, ' '), lambda w2: regexp_matches(w2, '^[A-Za-z]+$')))"
@@ -317,7 +314,7 @@ def title_from_path(path: str) -> str:
 
 
 def authors_from_path(path: str) -> str:
-    name = extract(path, X.BYLINE_PATH)
+    name = extract(path, R.BYLINE_PATH)
     return f"(CASE WHEN {name} <> '' THEN {initcap(f'replace({name}, ' + lit('-') + ', ' + lit(' ') + ')')} END)"
 
 
@@ -326,7 +323,7 @@ def _ymd(y: str, m: str, d: str) -> str:
 
 
 def _month_no(mon: str) -> str:
-    months = "[" + ", ".join(lit(m) for m in X.MONTHS) + "]"
+    months = "[" + ", ".join(lit(m) for m in R.MONTHS) + "]"
     return f"CAST(list_position({months}, lower({mon})) AS VARCHAR)"
 
 
@@ -342,11 +339,11 @@ def _date_from_path(path: str) -> str:
         return f"(CASE WHEN {matches(path, p)} THEN {expr} END)"
 
     c = [
-        w(X.DATE_YMD, _ymd(g(X.DATE_YMD, 1), g(X.DATE_YMD, 2), g(X.DATE_YMD, 3))),
-        w(X.DATE_Y_MON_D, _ymd(g(X.DATE_Y_MON_D, 1), _month_no(g(X.DATE_Y_MON_D, 2)), g(X.DATE_Y_MON_D, 3))),
-        w(X.DATE_ISO, _ymd(g(X.DATE_ISO, 1), g(X.DATE_ISO, 2), g(X.DATE_ISO, 3))),
-        w(X.DATE_D_MON_Y, _ymd(g(X.DATE_D_MON_Y, 3), _month_no(g(X.DATE_D_MON_Y, 2)), g(X.DATE_D_MON_Y, 1))),
-        w(X.DATE_COMPACT, _ymd(g(X.DATE_COMPACT, 1), g(X.DATE_COMPACT, 2), g(X.DATE_COMPACT, 3))),
+        w(R.DATE_YMD, _ymd(g(R.DATE_YMD, 1), g(R.DATE_YMD, 2), g(R.DATE_YMD, 3))),
+        w(R.DATE_Y_MON_D, _ymd(g(R.DATE_Y_MON_D, 1), _month_no(g(R.DATE_Y_MON_D, 2)), g(R.DATE_Y_MON_D, 3))),
+        w(R.DATE_ISO, _ymd(g(R.DATE_ISO, 1), g(R.DATE_ISO, 2), g(R.DATE_ISO, 3))),
+        w(R.DATE_D_MON_Y, _ymd(g(R.DATE_D_MON_Y, 3), _month_no(g(R.DATE_D_MON_Y, 2)), g(R.DATE_D_MON_Y, 1))),
+        w(R.DATE_COMPACT, _ymd(g(R.DATE_COMPACT, 1), g(R.DATE_COMPACT, 2), g(R.DATE_COMPACT, 3))),
     ]
     return "coalesce(" + ", ".join(c) + ")"
 
@@ -380,7 +377,7 @@ def first_inner_text(x: str, pattern: str) -> str:
 
 
 def byline_authors(x: str) -> str:
-    t = first_inner_text(x, X.BYLINE_INNER)
+    t = first_inner_text(x, R.BYLINE_INNER)
     t = f"regexp_replace({t}, '(?i)^by\\s+', '')"
     names = (f"list_filter(list_transform(regexp_split_to_array({t}, {lit(r'\s*,\s*|\s+and\s+')}), "
              f"lambda n: trim(n)), lambda n: n <> '')")
@@ -388,7 +385,7 @@ def byline_authors(x: str) -> str:
 
 
 def time_datetime(x: str) -> str:
-    return f"nullif({extract(x, X.TIME_ATTR)}, '')"
+    return f"nullif({extract(x, R.TIME_ATTR)}, '')"
 
 
 # --- model responses ------------------------------------------------------------
@@ -397,7 +394,7 @@ def json_span(x: str) -> dict[str, str]:
     s = strip(x)
 
     def span(o, c):
-        return let(strip(rx(rx(s, L.FENCE_OPEN, ""), L.FENCE_CLOSE, "")), lambda cl: _span(cl, o, c))
+        return let(strip(rx(rx(s, R.FENCE_OPEN, ""), R.FENCE_CLOSE, "")), lambda cl: _span(cl, o, c))
 
     def _span(cleaned, o, c):
         start = f"strpos({cleaned}, {lit(o)})"
@@ -411,7 +408,7 @@ def json_span(x: str) -> dict[str, str]:
     empty = f"({x} IS NULL OR {s} = '')"
     return {
         "span": f"(CASE WHEN NOT {empty} THEN {sp} END)",
-        "error": f"(CASE WHEN {empty} THEN {lit(L.ERR_EMPTY)} WHEN {sp} IS NULL THEN {lit(L.ERR_NO_JSON)} END)",
+        "error": f"(CASE WHEN {empty} THEN {lit(R.ERR_EMPTY)} WHEN {sp} IS NULL THEN {lit(R.ERR_NO_JSON)} END)",
     }
 
 
@@ -466,4 +463,4 @@ def repair_a(x: str) -> str:
 
 def repair_b(x: str) -> str:
     esc = f"replace(replace(replace({x}, chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t')"
-    return rx(esc, L.OPEN_STRING, r'\1"\2')
+    return rx(esc, R.OPEN_STRING, r'\1"\2')

@@ -10,9 +10,7 @@ folder the query is given) gets the driver's rows-only check plus a pytest.
 
 from __future__ import annotations
 
-from ..functions import extract as X
-from ..functions import llm_output as L
-from ..functions import text as T
+from . import oracle_rules as R
 from . import oracle_sql as S
 from .inputs import HOSTS, STATUS_OF_EVENT
 from .pipeline import (EXTRACTOR_PAGE, EXTRACTOR_URL, ERR_DEFAULT, ERR_INVALID, ERR_NO_PAGE,
@@ -231,7 +229,7 @@ def _page_meta_cte(src: str = "rich", name: str = "page_meta") -> str:
     h1 = S.strip_boilerplate("html")
     f = S.ld_fields("ld_blocks")
     title = (f"coalesce(ld_title, {S.meta_content('html', 'og:title')}, "
-             f"{S.first_inner_text('h1s', X.H1_INNER)}, {S.first_inner_text('html', X.TITLE_INNER)})")
+             f"{S.first_inner_text('h1s', R.H1_INNER)}, {S.first_inner_text('html', R.TITLE_INNER)})")
     authors = f"coalesce(ld_authors, {S.meta_content('html', 'author')}, {S.byline_authors('html')})"
     source = (f"coalesce(ld_source, {S.meta_content('html', 'og:site_name')}, "
               f"{S.source_from_host(S.url_host('url'))})")
@@ -291,7 +289,7 @@ def _result_rows_select(src: str, keep: str) -> str:
         "CASE WHEN has_record THEN llm_used ELSE coalesce(llm_used, 'N/A') END AS llm_used",
         "status",
         f"CASE WHEN has_record THEN '' ELSE coalesce(error_message, {lit(ERR_DEFAULT)}) END AS error_message",
-        f"CASE WHEN has_record THEN {S.fix_mojibake(f'left(coalesce(article_text, {NA_SQL}), {T.CSV_TEXT_LIMIT})')}"
+        f"CASE WHEN has_record THEN {S.fix_mojibake(f'left(coalesce(article_text, {NA_SQL}), {R.CSV_TEXT_LIMIT})')}"
         " ELSE '' END AS article_text",
     ]
     return f"SELECT {', '.join(cols)} FROM {src}"
@@ -338,7 +336,7 @@ def _csv_rows_cte() -> str:
 
 def _mojibake_cte() -> str:
     once = S.utf8_as_latin1("text")
-    twice = f"translate({S.utf8_as_latin1(once)}, {lit(T.CP1252_BYTES)}, {lit(T.CP1252_SPECIALS)})"
+    twice = f"translate({S.utf8_as_latin1(once)}, {lit(R.CP1252_BYTES)}, {lit(R.CP1252_SPECIALS)})"
     return (f"moji AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN {once} ELSE {twice} END"
             f" AS input FROM documents)")
 
@@ -353,7 +351,7 @@ H1_SQL = f"({S.strip_boilerplate('html')})"
 
 PAYLOAD = f"""payload AS (
   SELECT page_id, url, ld_blocks,
-    CASE WHEN content <> '' THEN {S.fix_mojibake(S.truncate('content', T.CONTENT_LIMIT, T.CONTENT_SUFFIX))}
+    CASE WHEN content <> '' THEN {S.fix_mojibake(S.truncate('content', R.CONTENT_LIMIT, R.CONTENT_SUFFIX))}
          ELSE '' END AS website_content,
     len(ld_blocks) > 0 AS has_json_ld,
     CASE WHEN len(ld_blocks) > 0 THEN coalesce({S.collapse(S.paragraph_text('html'))}, '') END AS ld_article_text,
@@ -373,7 +371,7 @@ PAYLOAD_TEXT = S.truncate(
     + "'],\"article_text\":' || " + _js("ld_article_text") + " || '}' ELSE '' END"
     + " || CASE WHEN raw_html_for_dates IS NOT NULL THEN ',\"raw_html_for_dates\":' || "
     + _js("raw_html_for_dates") + " ELSE '' END || '}'",
-    T.PAYLOAD_LIMIT, T.PAYLOAD_SUFFIX)
+    R.PAYLOAD_LIMIT, R.PAYLOAD_SUFFIX)
 
 ORACLES: dict[str, str] = {
     "clean_content": f"SELECT page_id, {_h1_text('pages')} AS content FROM pages",
@@ -468,7 +466,7 @@ ORACLES: dict[str, str] = {
     "scrub_text_legacy": f"SELECT doc_id, coalesce({S.collapse(S.utf8_as_latin1('text'))}, '') AS scrubbed FROM documents",
     "fix_mojibake": with_(_mojibake_cte()) + f"SELECT doc_id, md5({S.fix_mojibake('input')}) AS fixed_md5 FROM moji",
     "truncate_content": f"""SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS text_md5 FROM (
-        SELECT doc_id, {S.truncate(S.collapse('text'), T.CONTENT_LIMIT, T.CONTENT_SUFFIX)} AS t FROM documents)""",
+        SELECT doc_id, {S.truncate(S.collapse('text'), R.CONTENT_LIMIT, R.CONTENT_SUFFIX)} AS t FROM documents)""",
     "extract_endpoints": with_(ENDPOINT_TEXT) + f"""SELECT event_id, CAST(i - 1 AS BIGINT) AS pos, m[i] AS endpoint
       FROM (SELECT event_id, regexp_extract_all(text, {lit(r'[0-9]+(?:\.[0-9]+){3}:[0-9]+')}) AS m FROM endpoint_text),
            range(1, len(m) + 1) AS t(i)""",
@@ -585,11 +583,11 @@ rungs AS (
   FROM (SELECT *, {S.repair_a('span')} AS ra, {S.repair_b('span')} AS rb FROM spans)),
 ladder AS (
   SELECT id, response, error, parse_rung,
-    CASE parse_rung WHEN 1 THEN span WHEN 2 THEN ra WHEN 3 THEN rb WHEN 4 THEN {lit(L.FALLBACK_JSON)} END AS json
+    CASE parse_rung WHEN 1 THEN span WHEN 2 THEN ra WHEN 3 THEN rb WHEN 4 THEN {lit(R.FALLBACK_JSON)} END AS json
   FROM rungs),
 checked AS (
   SELECT *, CASE WHEN error IS NULL THEN coalesce(json_type(json) = 'OBJECT' AND """ + " AND ".join(
-        f"coalesce(json_type(json, '$.{k}') = 'VARCHAR', false)" for k in L.RECORD_FIELDS) + """, false) END AS valid
+        f"coalesce(json_type(json, '$.{k}') = 'VARCHAR', false)" for k in R.RECORD_FIELDS) + """, false) END AS valid
   FROM ladder)"""
 
 
@@ -597,7 +595,7 @@ LADDER = _ladder_cte()
 _FIELDS_SQL = ", ".join(
     f"CASE WHEN valid THEN json_extract_string(json, '$.{k}') WHEN NOT valid THEN "
     + ("left(response, 1000) || '... [partial]'" if k == "article_text" else "'N/A'") + f" END AS {k}"
-    for k in L.RECORD_FIELDS)
+    for k in R.RECORD_FIELDS)
 
 ORACLES.update({
     "llm_json_repair": with_(RESPONSES, LADDER) + "SELECT id, CAST(coalesce(parse_rung, 0) AS BIGINT) AS parse_rung, json FROM checked",
@@ -611,7 +609,7 @@ ORACLES.update({
 # text as it was before encoding (Latin-1 pages with their charset line, a BOM
 # dropped, UTF-8 as is).
 ORACLES["page_decode"] = f"""SELECT page_id, md5(CASE
-      WHEN page_id % 4 = 0 AND {S.matches('html', T.LATIN1_ONLY)}
+      WHEN page_id % 4 = 0 AND {S.matches('html', R.LATIN1_ONLY)}
         THEN replace(html, '<meta charset="utf-8">', '<meta charset="iso-8859-1">')
       ELSE html END) AS text_md5
     FROM pages"""

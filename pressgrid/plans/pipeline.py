@@ -60,12 +60,14 @@ def page_metadata(pages: DataFrame, date_style: str = "date", html_col: str = "h
     p = (page_parts(pages, html_col)
          .withColumn("_cands", jsonld.jsonld_candidates("ld_blocks"))
          .withColumn("_ld", jsonld.jsonld_fields("ld_blocks", "_cands")))
+    # A headline often stands in the header that the text leaves out.
+    p = p.withColumn("_page", html.drop_comments_scripts(html_col))
     h = F.col(html_col)
     title = F.coalesce(F.col("_ld.title"), extract.meta_content(h, "og:title"),
-                       extract.first_inner_text("_h1", extract.H1_INNER),
+                       extract.first_inner_text("_page", extract.H1_INNER),
                        extract.first_inner_text(h, extract.TITLE_INNER))
     authors = F.coalesce(F.col("_ld.authors"), extract.meta_content(h, "author"),
-                         extract.byline_authors(h))
+                         extract.byline_authors("_page"))
     source = F.coalesce(F.col("_ld.source"), extract.meta_content(h, "og:site_name"),
                         extract.source_from_host(extract.url_host(url_col)))
     published = F.coalesce(F.col("_ld.published"), extract.meta_content(h, "article:published_time"),
@@ -76,7 +78,7 @@ def page_metadata(pages: DataFrame, date_style: str = "date", html_col: str = "h
          .withColumn("modified_date", dates.modified_or_published(
              dates.to_date_style(modified, date_style), "published_date"))
          .withColumn("article_text", F.col("content")))
-    return p.drop("_ld", "_h1", "_cands")
+    return p.drop("_ld", "_h1", "_cands", "_page")
 
 
 def build_payload(pages: DataFrame, html_col: str = "html", url_col: str = "url",
@@ -134,7 +136,8 @@ def process_urls(urls: DataFrame, pages: DataFrame, blocked: DataFrame,
                  hot_url_rows: int = 1_000_000, salt_buckets: int = 32) -> DataFrame:
     """X4 + X5: one result row per input row.
 
-    Columns: ``pos``, the ten result columns (record columns null when there is
+    A URL stored several times in ``pages`` is read from its lowest ``page_id``
+    (any one of its rows when the table has no such column).  Columns: ``pos``, the ten result columns (record columns null when there is
     no record) and ``has_record``.  A URL listed more than ``hot_url_rows``
     times is joined back salted over ``salt_buckets`` tasks.
     """
@@ -146,9 +149,15 @@ def process_urls(urls: DataFrame, pages: DataFrame, blocked: DataFrame,
         F.count(F.lit(1)).alias("_n"), F.max(F.col("_valid") & ~F.col("blocked")).alias("_want"))
     wanted = counts.where(F.col("_want")).select(url_col)
     hot = counts.where(F.col("_n") > hot_url_rows).select(url_col)
-    found = pages.join(wanted, url_col, "left_semi")
+    if "page_id" in pages.columns:
+        # The page is chosen on narrow rows, before any HTML is read.
+        chosen = pages.select(url_col, "page_id").join(wanted, url_col, "left_semi") \
+            .groupBy(url_col).agg(F.min("page_id").alias("page_id"))
+        found = pages.join(chosen, [url_col, "page_id"], "left_semi")
+    else:
+        found = pages.join(wanted, url_col, "left_semi")
     meta = extractor(found).select(url_col, *[F.col(c).alias(f"_m_{c}") for c in RECORD_FIELDS],
-                                   F.lit(True).alias("_found"))
+                                   F.lit(True).alias("_found")).dropDuplicates([url_col])
     joined = salted_lookup_join(routed, meta, url_col, "left", hot_url_rows, salt_buckets, pos_col, hot=hot)
     url_rec = extract.url_metadata(url_col)
     status = (F.when(~F.col("_valid"), F.lit(STATUS_INVALID))
@@ -169,14 +178,18 @@ def process_urls(urls: DataFrame, pages: DataFrame, blocked: DataFrame,
                       F.col("status").startswith("success").alias("has_record"))
 
 
-def result_rows(results: DataFrame, char_limit: int = text.CSV_TEXT_LIMIT,
+def result_rows(results: DataFrame, char_limit: int | None = None,
                 keep: tuple[str, ...] = ()) -> DataFrame:
     """SNK2: the ten sink columns.  A row with a record has an empty error and
-    its text cut to ``char_limit`` then mojibake-fixed; missing record fields
+    its whole text mojibake-fixed (only a CSV cell is cut, by
+    ``write_result_csv``; ``char_limit`` cuts here); missing record fields
     become 'N/A'.  A row without one has blank metadata, 'N/A' as extractor
     and 'Unknown error' when no reason is known."""
     rec = F.col("has_record")
     blank = F.lit("")
+    article = F.coalesce(F.col("article_text"), F.lit(NA))
+    if char_limit is not None:
+        article = F.left(article, F.lit(char_limit))
     cols = [F.col("url")]
     for c in RECORD_FIELDS[:-1]:
         cols.append(F.when(rec, F.coalesce(F.col(c), F.lit(NA))).otherwise(blank).alias(c))
@@ -185,8 +198,7 @@ def result_rows(results: DataFrame, char_limit: int = text.CSV_TEXT_LIMIT,
         F.col("status"),
         F.when(rec, blank).otherwise(F.coalesce(F.col("error_message"), F.lit(ERR_DEFAULT)))
         .alias("error_message"),
-        F.when(rec, text.fix_mojibake(F.left(F.coalesce(F.col("article_text"), F.lit(NA)), F.lit(char_limit))))
-        .otherwise(blank).alias("article_text"),
+        F.when(rec, text.fix_mojibake(article)).otherwise(blank).alias("article_text"),
     ]
     return results.select(*keep, *cols)
 

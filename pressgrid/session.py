@@ -58,7 +58,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
     On a cluster ``spark.checkpoint.dir`` points at shared storage and is used
-    as is.  Only when it is unset (local tests) do we pick a scratch folder.
+    as is.  Only when it is unset and the master is local (tests) do we pick a
+    scratch folder; elsewhere a machine's own folder would lose data, so that
+    is an error.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -71,6 +73,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if sc is not None and not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if sc is None or not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     path = tempfile.mkdtemp(prefix="pressgrid-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     if sc is not None:

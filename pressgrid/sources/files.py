@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from ..functions.text import CP1252_BYTES, CP1252_SPECIALS, CSV_TEXT_LIMIT
 from ..operators.joins import broadcast_if_small
 from ..operators.urls import clean_lines, discover_url_column, split_urls
 
@@ -34,8 +35,6 @@ BOM = "\ufeff"
 IGNORED_DIRS = ("__pycache__", ".vscode", ".git", "node_modules")
 HEAD_FILES = ("Links.csv", "temp.txt", "Enriched_Links_Updated.csv", "proxies_list.txt")
 HEAD_LINES = 3
-# Columns read from an uploaded CSV (cells beyond are not searched for URLs).
-MAX_CSV_COLUMNS = 64
 
 
 def _empty(spark: SparkSession, schema: StructType) -> DataFrame:
@@ -80,12 +79,21 @@ def read_uploads(spark: SparkSession, path: str, max_bytes: int = MAX_UPLOAD_BYT
     """
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.{csv,txt}")
              .option("recursiveFileLookup", "true").load(path))
-    # A fixed, wide schema: files differ in width, and a width taken from the
-    # first file would cut wider rows of other files.
-    schema = StructType([StructField(f"_c{i}", StringType()) for i in range(MAX_CSV_COLUMNS)])
+    # One schema as wide as the widest line of any file: a width taken from the
+    # first file would cut wider rows of other files.  A row's cells are at most
+    # its line's commas plus one.
+    accepted = files.where(F.col("path").endswith(".csv") & (F.col("length") <= max_bytes))
+    commas = F.array_max(F.transform(F.split(decode_text("content"), "\n"),
+                                     lambda ln: F.char_length(ln) - F.char_length(F.replace(ln, F.lit(",")))))
+    width = (accepted.agg(F.max(commas)).first()[0] or 0) + 1
+    schema = StructType([StructField(f"_c{i}", StringType()) for i in range(width)])
+    # Quoted newlines and doubled quotes, as people's tools write them; a file is
+    # at most the upload limit, so reading it unsplit is bounded.
     csv = (spark.read.schema(schema).option("header", "false").option("mode", "PERMISSIVE")
+           .option("multiLine", "true").option("escape", '"')
            .option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true").csv(path)
-           .withColumn("path", F.col("_metadata.file_path")))
+           # The metadata path is percent-encoded, the binary reader's is not.
+           .withColumn("path", F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))))
     return intake(files, csv, ledger, max_bytes)
 
 
@@ -148,13 +156,16 @@ def intake(files: DataFrame, csv_rows: DataFrame | None = None, ledger: DataFram
 def read_result_csv(spark: SparkSession, path: str, replace_header: bool = False) -> DataFrame:
     """SRC8 / SRC9: a result table written as CSV (header, BOM, quoted newlines).
 
-    ``replace_header=True`` ignores the file's header and uses the ten result
-    columns (cells beyond them are dropped); undecodable bytes become U+FFFD.
+    ``replace_header=True`` puts the ten result columns in place of the file's
+    header; further columns keep their cells under ``_c10``, ``_c11``, ...
+    Undecodable bytes become U+FFFD.
     """
     reader = (spark.read.option("header", "true").option("multiLine", "true")
               .option("escape", '"').option("encoding", "UTF-8"))
     if replace_header:
-        reader = reader.schema(RESULT_SCHEMA).option("enforceSchema", "true")
+        wide = len(reader.csv(path).columns)
+        more = [StructField(f"_c{i}", StringType()) for i in range(len(RESULT_SCHEMA.fields), wide)]
+        reader = reader.schema(StructType(RESULT_SCHEMA.fields + more)).option("enforceSchema", "true")
     df = reader.csv(path)
     first = df.columns[0]
     if first.startswith(BOM):
@@ -167,11 +178,13 @@ def write_result_csv(df: DataFrame, path: str, bom: bool = True, partition_by: s
     """SNK1: the ten result columns as CSV with a header, minimal quoting and
     (by default) a UTF-8 byte-order mark at the start of every part file.
 
-    Empty cells stay empty (no ``""``) and padding is kept.  Parquet remains the
-    main sink; CSV is for people.
+    Empty cells stay empty (no ``""``) and padding is kept; the article text of a
+    cell is cut at what spreadsheets hold.  Parquet remains the main sink and
+    keeps everything; CSV is for people.
     """
     cols = [c.name for c in RESULT_SCHEMA.fields]
     out = df.select(*cols, *([partition_by] if partition_by else []))
+    out = out.withColumn("article_text", F.left("article_text", F.lit(CSV_TEXT_LIMIT)))
     if bom:
         out = out.withColumnRenamed(cols[0], BOM + cols[0])
     w = (out.write.mode(mode).option("header", "true").option("escape", '"')
@@ -235,18 +248,23 @@ def _rx_escape(s: str) -> str:
 
 
 def page_text(content) -> F.Column:
-    """SRC11: page bytes to text: byte-order mark, then a declared charset
-    (UTF-8 or Latin-1 family), then UTF-8 when valid, else Latin-1."""
+    """SRC11: page bytes to text: byte-order mark (UTF-8 or UTF-16), then a charset
+    declared anywhere in the page (UTF-8 or the Latin-1 family), then UTF-8 when
+    valid, else windows-1252, which browsers use for all of Latin-1."""
     c = F.col(content) if isinstance(content, str) else content
-    head = F.lower(F.decode(F.substring(c, 1, 2048), "ISO-8859-1"))
+    as_latin = F.decode(c, "ISO-8859-1")
+    as_1252 = F.translate(as_latin, CP1252_BYTES, CP1252_SPECIALS)
+    head = F.lower(as_latin)
+    bom16 = F.hex(F.substring(c, 1, 2)).isin("FFFE", "FEFF")
     declared = F.regexp_extract(head, r"<meta[^>]+charset\s*=\s*[\"']?([a-z0-9_-]+)", 1)
     bom8 = F.hex(F.substring(c, 1, 3)) == "EFBBBF"
     as_utf8 = c.cast("string")
     latin = declared.isin("iso-8859-1", "latin-1", "latin1", "windows-1252", "cp1252", "us-ascii")
     return (F.when(bom8, F.substring(as_utf8, 2, 1 << 30))
-            .when(latin, F.decode(c, "ISO-8859-1"))
+            .when(bom16, F.decode(c, "UTF-16"))
+            .when(latin, as_1252)
             .when(F.is_valid_utf8(as_utf8), as_utf8)
-            .otherwise(F.decode(c, "ISO-8859-1")))
+            .otherwise(as_1252))
 
 
 def write_page_store(pages: DataFrame, table: str, buckets: int, url_col: str = "url",

@@ -72,21 +72,22 @@ def stream_pages(pages: DataFrame, blocked: DataFrame):
 def run_to_table(df: DataFrame, name: str, output_mode: str = "append",
                  checkpoint: str | None = None, batch_fn=None) -> str:
     """Run a streaming DataFrame over everything available now and keep the
-    result as parquet in the checkpoint folder; returns the table path.
-    ``batch_fn`` transforms each micro-batch (a static DataFrame) first.
-
-    Each micro-batch is written by ``foreachBatch``: appended in append mode,
-    written over in complete mode.  Restarting with the same checkpoint goes
-    on from the last committed batch.
+    result as parquet; returns the table path.  ``batch_fn`` transforms each
+    micro-batch (a static DataFrame) first.
+
+    The table belongs to the checkpoint: a restart with the same ``checkpoint``
+    goes on from the last committed batch and adds to the same table.  In
+    append mode every micro-batch has a folder of its own (``batch=<id>``),
+    written over when the batch is retried, so no row is kept twice; in
+    complete mode the table is written over.
     """
     spark = df.sparkSession
-    run = uuid.uuid4().hex
-    out = checkpoint_path(spark, f"{name}-{run}-table")
-    ckpt = checkpoint or checkpoint_path(spark, f"{name}-{run}-state")
+    ckpt = checkpoint or checkpoint_path(spark, f"{name}-{uuid.uuid4().hex}-state")
+    out = f"{ckpt.rstrip('/')}-table"
 
-    def write(batch: DataFrame, _epoch: int) -> None:
-        mode = "overwrite" if output_mode == "complete" else "append"
-        (batch_fn(batch) if batch_fn else batch).write.mode(mode).parquet(out)
+    def write(batch: DataFrame, epoch: int) -> None:
+        folder = out if output_mode == "complete" else f"{out}/batch={epoch}"
+        (batch_fn(batch) if batch_fn else batch).write.mode("overwrite").parquet(folder)
 
     q: StreamingQuery = (df.writeStream.outputMode(output_mode).foreachBatch(write)
                          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
