@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +52,20 @@ def text_or_empty(text: Column | str) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def tidy(run):
+    """``run`` (a function over Arrow batches) that gives freed memory back to the
+    system when a task ends: workers are kept for later tasks, and one executor's
+    workers and JVM share its memory."""
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every system's C library can
+                ctypes.CDLL(None).malloc_trim(0)
+    return wrapped
+
+
 # Rows in one Arrow batch to a Python worker: texts are long, so fewer rows than
 # Spark's default keep a worker's memory small.
 ARROW_ROWS = 500

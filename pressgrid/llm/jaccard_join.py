@@ -10,13 +10,13 @@ as one shingle).  Two documents link when ``100 * |A & B| >= 75 * |A | B|``.
    with the documents of the block that hold it, to the task of its hash range;
    shingles held by one set only are dropped.  A document of which fewer than
    75 % of the shingles are shared cannot link and is done.
-3. *Groups.*  The rest are partitioned into groups of similar documents: the
-   documents with the same smallest shingle hash that link to the first of them.
-   Groups are cut into parts of at most about ``PART`` members.
+3. *Groups.*  The rest are partitioned into groups of similar documents: in a few
+   rounds, the documents with the same smallest shingle hash are compared with
+   one of them, and linked documents form a group.  Groups are cut into parts of at most about ``PART`` members.
 4. *Matrix.*  For every group the distinct prefix shingles of its members (rarest
    first; two linked documents share one) are the group's columns of the
    token-group matrix.  A document meets a foreign group only through a shared
-   column.  Its overlap with the union of the group's shingles bounds its overlap
+   column from which enough shingles are left on both sides.  Its overlap with the union of the group's shingles bounds its overlap
    with every member, and only groups that reach 75 % of the document's own size
    are opened and compared member by member.
 5. *Components.*  Links and group memberships are joined to components by
@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import broadcast_if_small
-from .common import packed, small_batches, stored
+from .common import packed, small_batches, stored, tidy
 
 WORDS = 5
 PERCENT = 75
@@ -53,6 +53,7 @@ BLOCK_DOCS = 16_000
 PART_TOKENS = 2_000_000   # shingles of one hash range, about
 HEAVY = 64                # a shingle in more documents of a block sends its count only
 PART = 256                # members of a group part
+ROUNDS = 3                # hashes under which groups are formed
 BROADCAST_ROWS = 500_000
 NAME_BYTES = 6
 
@@ -147,7 +148,7 @@ def signatures(rows: DataFrame) -> DataFrame:
                 [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([_signature(s) if len(s) else None for s in sets], pa.string())], ["doc_id", "x", "n", "sig"])
 
-    return rows.mapInArrow(run, "doc_id bigint, x bigint, n bigint, sig string")
+    return rows.mapInArrow(tidy(run), "doc_id bigint, x bigint, n bigint, sig string")
 
 
 # ------------------------------------------------------------ shared shingles
@@ -409,11 +410,11 @@ def candidates(rows: DataFrame, sets: DataFrame, heavy_docs: int = HEAVY, block_
     total = sets.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-total // part_tokens))
     tasks = _tasks(rows)
-    sent = own.select("t").mapInArrow(_send(parts, heavy_docs, block_docs), "part int, block bigint, kind int, data binary")
+    sent = own.select("t").mapInArrow(tidy(_send(parts, heavy_docs, block_docs)), "part int, block bigint, kind int, data binary")
     back = sent.repartition(tasks, "part").sortWithinPartitions("part", "kind", "block").mapInArrow(
-        lambda b: _receive(b, parts, heavy_docs), "block bigint, kind int, data binary")
+        tidy(lambda b: _receive(b, parts, heavy_docs)), "block bigint, kind int, data binary")
     cand = back.repartition(tasks, "block").sortWithinPartitions("block", "kind").mapInArrow(
-        _candidates(), "sig string, n bigint, least bigint, prefix int, toks array<bigint>")
+        tidy(_candidates()), "sig string, n bigint, least bigint, prefix int, toks array<bigint>")
     # The number is fixed once written: later joins carry it instead of the signature.
     cand = stored(cand.withColumn("cid", F.monotonically_increasing_id()), "candidates")
     if cand.groupBy("sig").count().where("count > 1").limit(1).count():  # repeated rows
@@ -425,45 +426,86 @@ def _linked(o: str, n1: str, n2: str) -> str:
     return f"100 * {o} >= {PERCENT} * ({n1} + {n2} - {o})"
 
 
-def groups(cand: DataFrame, members: int = PART) -> tuple[DataFrame, DataFrame]:
-    """((cid, grp, part) of every candidate, (u, v) links to the groups' firsts)."""
-    first = cand.groupBy("least").agg(F.min("cid").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    pivot = cand.join(first.select("first"), cand["cid"] == F.col("first"), "left_semi") \
-        .select("least", F.col("cid").alias("v"), F.col("n").alias("vn"), F.col("toks").alias("vt"))
-    met = cand.join(pivot, "least").where("cid <> v and 100 * least(n, vn) >= 75 * greatest(n, vn)") \
-        .withColumn("o", F.expr("size(array_intersect(toks, vt))")).where(_linked("o", "n", "vn"))
-    star = stored(met.select(F.col("cid").alias("u"), "v"), "group-links")
-    member = cand.select("cid").join(star, F.col("cid") == F.col("u"), "left") \
-        .select("cid", F.coalesce("v", "cid").alias("grp"))
-    size = member.groupBy("grp").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > members)
-    member = member.join(size, "grp", "left").select(
-        "cid", "grp", F.expr(f"cast(pmod(xxhash64(cid), cast(ceil(coalesce(k, 1) / {members}D) as bigint)) as int)").alias("part"))
-    return stored(member, "members"), star
+def _possible(o: str, n1: str, n2: str) -> str:
+    """An overlap of at most ``o`` may still link sets of ``n1`` and ``n2`` shingles."""
+    return f"({_linked(o, n1, n2)} and 100 * least({n1}, {n2}) >= {PERCENT} * greatest({n1}, {n2}))"
+
+
+def _verified(pairs: DataFrame, cand: DataFrame) -> DataFrame:
+    """The (u, v) of ``pairs`` that link, compared set by set."""
+    one = cand.select(F.col("cid").alias("u"), F.col("n").alias("un"), F.col("toks").alias("ut"))
+    two = cand.select(F.col("cid").alias("v"), F.col("n").alias("vn"), F.col("toks").alias("vt"))
+    met = pairs.join(one, "u").join(two, "v").withColumn("o", F.expr("size(array_intersect(ut, vt))"))
+    return met.where(_linked("o", "un", "vn")).select("u", "v")
+
+
+def groups(cand: DataFrame, members: int = PART, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """((cid, grp, size, part) of every candidate, the (u, v) links that made the groups).
+
+    In each round the candidates with the same smallest shingle under the round's
+    hash meet one of them: the one with the largest share of shared shingles,
+    which in a family of edited copies is the text nearest to the original.
+    Candidates linked in a round are done; the links' components are the groups."""
+    keys = [F.expr(f"array_min(transform(toks, t -> xxhash64(t, {r})))").alias(f"k{r}") for r in range(rounds)]
+    small = stored(cand.select("cid", "n", F.size("toks").alias("sh"), *keys), "least-shingles")
+    left, star = small, None
+    for r in range(rounds):
+        best = F.max(F.struct((F.col("sh") / F.col("n")).alias("share"), (-F.col("cid")).alias("c")))
+        pivot = small.groupBy(f"k{r}").agg(best.alias("b"), F.count(F.lit(1)).alias("m")).where("m > 1") \
+            .select(f"k{r}", (-F.col("b.c")).alias("v"))
+        size = small.select(F.col("cid").alias("v"), F.col("n").alias("vn"), F.col("sh").alias("vs"))
+        pairs = left.join(pivot, f"k{r}").where("cid <> v").join(size, "v") \
+            .where(_possible("least(sh, vs)", "n", "vn")).select(F.col("cid").alias("u"), "v")
+        found = stored(_verified(pairs, cand), "group-links")
+        star = found if star is None else star.unionByName(found)
+        left = stored(left.join(found.select(F.col("u").alias("cid")).distinct(), "cid", "left_anti"), "ungrouped")
+    root = components(star).select(F.col("node").alias("cid"), "root")
+    member = small.select("cid").join(root, "cid", "left").select("cid", F.coalesce("root", "cid").alias("grp"))
+    size = member.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    member = member.join(size, "grp", "left").withColumn("size", F.coalesce("size", F.lit(1).cast("long")))
+    part = F.expr(f"cast(pmod(xxhash64(cid), cast(ceil(size / {members}D) as bigint)) as int)")
+    return stored(member.select("cid", "grp", "size", part.alias("part")), "members"), star
 
 
 def foreign_links(cand: DataFrame, member: DataFrame) -> DataFrame:
-    """(u, v): links between candidates of different groups, by the matrix."""
-    cells = cand.select("cid", F.expr("explode(slice(toks, 1, prefix))").alias("tok")).join(member, "cid")
-    cells = stored(cells.select("tok", "cid", "grp", "part"), "cells")
+    """(u, v): links between candidates of different groups, by the matrix.
+
+    The members of the smaller group ask the larger one.  A cell knows how many
+    shingles of its row are at or behind it, so the first shingle that two sets
+    share bounds their overlap; the matrix keeps the best such number and the
+    range of sizes of a group's members for each column."""
+    cells = cand.select("cid", "n", F.size("toks").alias("sh"),
+                        F.posexplode(F.expr("slice(toks, 1, prefix)")).alias("k", "tok")).join(member, "cid")
+    cells = stored(cells.select("tok", "cid", "grp", "size", "part", "n", (F.col("sh") - F.col("k")).alias("rest")), "cells")
     # Columns that only one group has open nothing.
     shared = cells.groupBy("tok").agg(F.min("grp").alias("a"), F.max("grp").alias("b")).where("a <> b").select("tok")
     cells = stored(cells.join(shared, "tok", "left_semi"), "shared-cells")
-    matrix = cells.select("tok", F.col("grp").alias("g"), F.col("part").alias("p")).distinct()
-    meets = stored(cells.join(matrix, "tok").where("grp <> g").select("cid", "g", "p").distinct(), "meets")
+    matrix = cells.groupBy("tok", F.col("grp").alias("g"), F.col("part").alias("p")).agg(
+        F.first("size").alias("gsize"), F.max("rest").alias("grest"), F.min("n").alias("n0"), F.max("n").alias("n1"))
+    # The member of n0..n1 shingles nearest to n is the easiest to link with.
+    able = f"100 * least(rest, grest) >= {PERCENT} * (n + n0 - least(rest, grest))" \
+           f" and 100 * n >= {PERCENT} * n0 and 100 * n1 >= {PERCENT} * n"
+    meets = cells.join(matrix, "tok").where(f"(size < gsize or (size = gsize and grp < g)) and {able}")
+    meets = stored(meets.select("cid", "g", "p").distinct(), "meets")
     query = cand.select("cid", F.col("n").alias("qn"), F.col("toks").alias("qt"))
-    inside = member.withColumnsRenamed({"cid": "v", "grp": "g", "part": "p"})
+    inside = member.select(F.col("cid").alias("v"), F.col("grp").alias("g"), F.col("part").alias("p"))
     opened = inside.join(meets.select("g", "p").distinct(), ["g", "p"], "left_semi") \
-        .join(cand.select(F.col("cid").alias("v"), "toks"), "v")
+        .join(cand.select(F.col("cid").alias("v"), "n", "toks"), "v")
     # One part has at most about PART members, so its union is bounded.
-    union = opened.groupBy("g", "p").agg(F.array_distinct(F.flatten(F.collect_list("toks"))).alias("ut"))
-    bound = meets.join(query, "cid").join(union, ["g", "p"]) \
-        .where(F.expr(f"100 * size(array_intersect(qt, ut)) >= {PERCENT} * qn")).select("cid", "g", "p")
+    union = opened.groupBy("g", "p").agg(F.array_distinct(F.flatten(F.collect_list("toks"))).alias("gt"), F.min("n").alias("n0"))
+    bound = meets.join(query, "cid").join(union, ["g", "p"]).withColumn("o", F.expr("size(array_intersect(qt, gt))")) \
+        .where(f"100 * o >= {PERCENT} * qn and {_linked('o', 'qn', 'n0')}").select("cid", "g", "p")
     bound = stored(bound, "opened")
-    pairs = bound.join(inside, ["g", "p"]).select("cid", "v").distinct()
-    pairs = pairs.join(query, "cid").join(cand.select(F.col("cid").alias("v"), F.col("n").alias("vn"), F.col("toks").alias("vt")), "v")
-    pairs = pairs.where("100 * least(qn, vn) >= 75 * greatest(qn, vn)") \
-        .withColumn("o", F.expr("size(array_intersect(qt, vt))")).where(_linked("o", "qn", "vn"))
-    return stored(pairs.select(F.col("cid").alias("u"), "v"), "foreign-links")
+    sized = small_sizes(cand)
+    pairs = bound.join(inside, ["g", "p"]).select(F.col("cid").alias("u"), "v").distinct()
+    pairs = pairs.join(sized.select(F.col("cid").alias("u"), F.col("n").alias("un"), F.col("sh").alias("us")), "u") \
+        .join(sized.select(F.col("cid").alias("v"), F.col("n").alias("vn"), F.col("sh").alias("vs")), "v") \
+        .where(_possible("least(us, vs)", "un", "vn")).select("u", "v")
+    return stored(_verified(pairs, cand), "foreign-links")
+
+
+def small_sizes(cand: DataFrame) -> DataFrame:
+    return cand.select("cid", "n", F.size("toks").alias("sh"))
 
 
 def components(links: DataFrame, rounds: int = 100) -> DataFrame:

@@ -30,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, slices, small_batches
+from .common import free_name, slices, small_batches, tidy
 
 TRAIN_ROWS = 6_000
 BUCKETS = 2_048          # hashed n-grams per length
 LENGTHS = (1, 2, 3)
-PIECE = 2_000_000        # characters counted at once
+PIECE = 500_000          # characters counted at once
 UNKNOWN = "und"
 AMBIGUOUS_SHARE = 0.001  # share of correct training rows that may count as ambiguous
 LETTER = re.compile(r"[^\W\d_]")
@@ -56,8 +56,10 @@ def features(texts: list[str]) -> np.ndarray:
         rows = end - start
         counts = np.zeros((len(LENGTHS), rows * BUCKETS), np.float32)
         joined = [t.encode() for t in texts[start:end]]
-        size = np.array([len(b) + 2 for b in joined])
-        data = _FOLD[np.frombuffer(b" " + b"  ".join(joined) + b" ", np.uint8)]
+        # A text and its separators: what begins in its last two bytes is nothing
+        # but separators, whatever text comes next.
+        size = np.array([len(b) + 3 for b in joined])
+        data = _FOLD[np.frombuffer(b"".join(b" " + b + b"  " for b in joined), np.uint8)]
         row = np.repeat(np.arange(rows, dtype=np.int64) * BUCKETS, size)[:len(data)]
         for at in range(0, len(data), PIECE):
             code = data[at:at + PIECE + 2].astype(np.uint32)
@@ -71,8 +73,8 @@ def features(texts: list[str]) -> np.ndarray:
                 counts[k] += np.bincount(bucket, minlength=rows * BUCKETS)
         for k in range(len(LENGTHS)):
             c = counts[k].reshape(rows, BUCKETS)
-            if k == 0:  # the separator itself says nothing
-                c[:, (32 * 2654435761 & 0xFFFFFFFF) >> 21] = 0
+            # Separators alone say nothing.
+            c[:, (int.from_bytes(b" " * LENGTHS[k], "big") * 2654435761 & 0xFFFFFFFF) >> 21] = 0
             c /= np.maximum(c.sum(1, keepdims=True), 1)
             out[start:end, k * BUCKETS:(k + 1) * BUCKETS] = c
     return out
@@ -191,7 +193,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array([r.tobytes() for r in x], pa.binary())],
                                              ["l", "x"])
 
-    got = sorted((r.l, bytes(r.x)) for r in chosen.mapInArrow(run, "l string, x binary").toLocalIterator())
+    got = sorted((r.l, bytes(r.x)) for r in chosen.mapInArrow(tidy(run), "l string, x binary").toLocalIterator())
     x = np.frombuffer(b"".join(g[1] for g in got), np.float16).reshape(len(got), -1).astype(np.float32)
     y = np.array([languages.index(g[0]) for g in got], int)
     return fit(x, y, languages)
@@ -217,7 +219,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text",
                 [*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())],
                 [*columns, *names])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, slices, small_batches, stored
+from .common import free_name, slices, small_batches, stored, tidy
 
 CHUNK = 32_768
 AT_ONCE = 500_000  # characters whose ids are Python integers at one time
@@ -306,7 +306,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", chunk: int = CHUN
             got = [_pack(i) for s, e in slices(texts, AT_ONCE) for i in v.sp.encode(texts[s:e], num_threads=1)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.binary())], [*columns, "pieces"])
 
-    small = docs.where(~giant).mapInArrow(short, schema)
+    small = docs.where(~giant).mapInArrow(tidy(short), schema)
     big = docs.where(giant)
     # Rows of equal text share their chunks: the key is the text's own hash.
     text_key = F.sha2(F.col(text_col), 256)
@@ -328,7 +328,7 @@ def _scan(texts: DataFrame, key: str, path: str, chunk: int) -> DataFrame:
                      *(pa.array(list(c)) for c in zip(*parts))], ["k", "n", "text", "a", "b", "first", "last"])
 
     shape = "k string, n int, text string, a bigint, b bigint, first boolean, last boolean"
-    parts = texts.select(key, "t").mapInArrow(chunks, shape)
+    parts = texts.select(key, "t").mapInArrow(tidy(chunks), shape)
     spread = max(8, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     parts = stored(parts.repartition(spread, "k", "n"), "giant-chunks")
 
@@ -362,12 +362,12 @@ def _scan(texts: DataFrame, key: str, path: str, chunk: int) -> DataFrame:
                                               pa.array([r["n"] for r in rows], pa.int32()),
                                               pa.array(got, pa.binary())], ["k", "n", "p"])
 
-    matrices = parts.mapInArrow(transfers, "k string, n int, width int, m binary")
+    matrices = parts.mapInArrow(tidy(transfers), "k string, n int, width int, m binary")
     # One document's matrices are a small share of the document's own row.
     per = matrices.groupBy("k").agg(F.collect_list(F.struct("n", "width", "m")).alias("ms"))
-    states = per.mapInArrow(boundaries, "k string, n int, i int, j int")
+    states = per.mapInArrow(tidy(boundaries), "k string, n int, i int, j int")
     traced = parts.join(states, ["k", "n"]).select(*parts.columns, "i", "j").mapInArrow(
-        traces, "k string, n int, p binary")
+        tidy(traces), "k string, n int, p binary")
     whole = traced.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("n", "p"))).alias("ps"))
     empty = F.lit(b"")
     return whole.select(F.col("k").alias(key),
@@ -389,7 +389,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "pieces", out: str = "d
                     for x in b.column(place)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], [*columns, out])
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(tidy(run), schema)
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",

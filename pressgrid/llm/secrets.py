@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 KINDS = ("assign", "access", "hex")
 MODEL_KIND = "model"
@@ -213,7 +213,7 @@ def train(docs: DataFrame, text_col: str = "text", sample_docs: int = TRAIN_DOCS
                     win.append(window(t, *plain.span(), bool(len(t) & 1)).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(win, pa.binary())], ["y", "x"])
 
-    found = chosen.mapInArrow(run, "y int, x binary").distinct()
+    found = chosen.mapInArrow(tidy(run), "y int, x binary").distinct()
     net = Network()
     parts = [found.where(F.col("y") == v).orderBy(F.xxhash64("x"), "x").limit(cases).collect() for v in (1, 0)]
     if not all(parts):
@@ -280,7 +280,7 @@ def scan(docs: DataFrame, net: Network | None, text_col: str = "text", redacted:
 
     tail = ", ".join([f"n_{k} bigint" for k in kinds] + [f"{c} string" for c in names[len(kinds):]])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    return docs.mapInArrow(run, f"{schema}, {tail}" if schema else tail)
+    return docs.mapInArrow(tidy(run), f"{schema}, {tail}" if schema else tail)
 
 
 def redact(text: str, found: list[tuple[int, int, int]]) -> str:

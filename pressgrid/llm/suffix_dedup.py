@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import broadcast_if_small
-from .common import small_batches, stored
+from .common import small_batches, stored, tidy
 
 LENGTH = 400
 GRAM = 128
@@ -218,7 +218,7 @@ def _occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
         if held:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-    return docs.mapInArrow(gathered, "h bigint, c bigint, id bigint, x bigint, lo bigint, n int, twice boolean")
+    return docs.mapInArrow(tidy(gathered), "h bigint, c bigint, id bigint, x bigint, lo bigint, n int, twice boolean")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -240,7 +240,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)],
                                              ["h", "hot", "id", "x", "lo", "w", "text"])
 
-    return rows.mapInArrow(run, "h bigint, hot boolean, id bigint, x bigint, lo bigint, w bigint, text binary")
+    return rows.mapInArrow(tidy(run), "h bigint, hot boolean, id bigint, x bigint, lo bigint, w bigint, text binary")
 
 
 def _sorted_ranges(batches, length: int):
@@ -305,11 +305,11 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     cold = texts.where(~F.col("hot")).select("h", "id", "x", "lo", "text").repartition(tasks, "h") \
         .sortWithinPartitions("h", "id", "x", "lo")
-    out = whole.unionByName(cold.mapInArrow(lambda b: _sorted_ranges(b, length),
+    out = whole.unionByName(cold.mapInArrow(tidy(lambda b: _sorted_ranges(b, length)),
                                             "id bigint, x bigint, s bigint, e bigint"))
     if hot.limit(1).count():
         strings = texts.where("hot").select("h", "id", "x", "lo", "w", "text").mapInArrow(
-            lambda b: _string_hashes(b, length), "h bigint, g bigint, id bigint, x bigint, s bigint, w bigint")
+            tidy(lambda b: _string_hashes(b, length)), "h bigint, g bigint, id bigint, x bigint, s bigint, w bigint")
         strings = stored(strings, "hot-strings")
         twice = stored(strings.groupBy("h", "g").agg(F.sum("w").alias("k")).where("k > 1").select("h", "g"), "hot-repeats")
         out = out.unionByName(strings.join(twice, ["h", "g"]).select("id", "x", "s", (F.col("s") + length).alias("e")))
@@ -360,4 +360,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                                                     "spans", "kept"][:len(made)])
 
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans string"
-    return joined.mapInArrow(run, schema + (", kept binary" if with_bytes else ""))
+    return joined.mapInArrow(tidy(run), schema + (", kept binary" if with_bytes else ""))

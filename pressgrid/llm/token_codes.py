@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_path, small_batches
+from .common import shared_path, small_batches, tidy
 
 MAGIC = b"DAC1"
 RANK_BLOCK = 512
@@ -301,7 +301,7 @@ def write_codes(docs: DataFrame, out: str, tokenizer_path: str, id_col: str = "d
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     # The second key splits an id that holds very many rows.
     rows = rows.withColumn("h", F.xxhash64("t")).repartitionByRange("i", "h").sortWithinPartitions("i", "h")
-    rows.select("i", "t").mapInArrow(_blocks(tokenizer_path, special_as_text), SCHEMA).write.parquet(out)
+    rows.select("i", "t").mapInArrow(tidy(_blocks(tokenizer_path, special_as_text)), SCHEMA).write.parquet(out)
 
 
 def _digest(batches):
@@ -327,7 +327,7 @@ def read_digest(files: DataFrame) -> DataFrame:
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
     rows = files.select("part", "start", "doc_ids", "counts", "codes").mapInArrow(
-        _digest, "doc_id bigint, part int, start bigint, n_tokens bigint, ids_crc32 bigint")
+        tidy(_digest), "doc_id bigint, part int, start bigint, n_tokens bigint, ids_crc32 bigint")
     return rows.join(F.broadcast(offsets), "part").select(
         "doc_id", (F.col("start") + F.col("off")).alias("start"), "n_tokens", "ids_crc32")
 
