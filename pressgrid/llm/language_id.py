@@ -56,12 +56,12 @@ def features(texts: list[str]) -> np.ndarray:
         rows = end - start
         counts = np.zeros((len(LENGTHS), rows * BUCKETS), np.float32)
         joined = [t.encode() for t in texts[start:end]]
-        # A text and its separators: what begins in its last two bytes is nothing
-        # but separators, whatever text comes next.
+        # A text and its separators: whatever text comes next begins with two, so
+        # no gram holds letters of two texts.
         size = np.array([len(b) + 3 for b in joined])
-        data = _FOLD[np.frombuffer(b"".join(b" " + b + b"  " for b in joined), np.uint8)]
-        row = np.repeat(np.arange(rows, dtype=np.int64) * BUCKETS, size)[:len(data)]
-        for at in range(0, len(data), PIECE):
+        data = _FOLD[np.frombuffer(b"".join([*(b"  " + b + b" " for b in joined), b"  "]), np.uint8)]
+        row = np.repeat(np.arange(rows, dtype=np.int64) * BUCKETS, size)
+        for at in range(0, len(row), PIECE):
             code = data[at:at + PIECE + 2].astype(np.uint32)
             r = row[at:at + PIECE]
             gram = code.copy()
