@@ -566,6 +566,20 @@ ORACLES.update({
         lambda p: starts_with(p, '.') OR p IN ('__pycache__', '.vscode', '.git', 'node_modules'))) AS kept FROM corpus""",
 })
 
+# Files written and read back: the rows are those that were written.
+ORACLES.update({
+    "corpus_scan": """SELECT doc_id // 25 AS folder, doc_id,
+        md5(CAST(doc_id AS VARCHAR) || '|' || regexp_replace(text, '[\\r\\n]', chr(9), 'g')) AS line_md5 FROM documents""",
+    "url_file_lines": with_(LINES, CLEAN_LINES) + "SELECT url FROM clean_lines",
+    "upload_files": with_(LINES, BLOBS, SPLIT_URLS) + """SELECT b.blob_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_urls,
+        CASE WHEN c.n IS NULL THEN 'No valid URLs found in file' END AS error, s.url
+      FROM blobs b LEFT JOIN (SELECT blob_id, count(*) AS n FROM split_urls GROUP BY blob_id) c USING (blob_id)
+      LEFT JOIN split_urls s USING (blob_id)""",
+    "result_csv_replaced_header": ORACLES["result_csv_roundtrip"],
+    "appended_lines": "SELECT endpoint FROM (" + ORACLES["extract_endpoints"] + ")",
+    "stream_pages": ORACLES["result_rows"],
+})
+
 ORACLES.update({
     "stream_progress": with_(DATED, LOG) + "SELECT status, count(*) AS n FROM log GROUP BY status",
     "stream_intake": with_(LINES, BLOBS) + f"""SELECT DISTINCT md5(blob || chr(10)) AS md5,

@@ -143,12 +143,16 @@ def process_urls(urls: DataFrame, pages: DataFrame, blocked: DataFrame,
     """
     routed = route(urls.select(pos_col, url_col).withColumn("_valid", has_scheme(url_col)),
                    blocked, url_col)
+    wants_page = F.col("_valid") & ~F.col("blocked")
+    # Only open rows need a page; the others are finished by the URL alone.
+    open_rows = routed.where(wants_page).select(pos_col, url_col)
+    closed = extract.with_url_metadata(routed.where(~wants_page), url_col, "_u")
     # One pre-aggregated count per URL gives both the distinct URLs to look up
-    # and the hot URLs to salt in the join-back.
-    counts = routed.groupBy(url_col).agg(
-        F.count(F.lit(1)).alias("_n"), F.max(F.col("_valid") & ~F.col("blocked")).alias("_want"))
-    wanted = counts.where(F.col("_want")).select(url_col)
-    hot = counts.where(F.col("_n") > hot_url_rows).select(url_col)
+    # and the hot URLs to salt in the join-back: at most one hot URL for every
+    # ``hot_url_rows`` rows, so that set is broadcast.
+    counts = open_rows.groupBy(url_col).agg(F.count(F.lit(1)).alias("_n"))
+    wanted = counts.select(url_col)
+    hot = F.broadcast(counts.where(F.col("_n") > hot_url_rows).select(url_col))
     if "page_id" in pages.columns:
         # The page is chosen on narrow rows, before any HTML is read.
         chosen = pages.select(url_col, "page_id").join(wanted, url_col, "left_semi") \
@@ -156,26 +160,21 @@ def process_urls(urls: DataFrame, pages: DataFrame, blocked: DataFrame,
         found = pages.join(chosen, [url_col, "page_id"], "left_semi")
     else:
         found = pages.join(wanted, url_col, "left_semi")
-    meta = extractor(found).select(url_col, *[F.col(c).alias(f"_m_{c}") for c in RECORD_FIELDS],
-                                   F.lit(True).alias("_found")).dropDuplicates([url_col])
-    joined = salted_lookup_join(routed, meta, url_col, "left", hot_url_rows, salt_buckets, pos_col, hot=hot)
-    url_rec = extract.url_metadata(url_col)
-    status = (F.when(~F.col("_valid"), F.lit(STATUS_INVALID))
-              .when(F.col("blocked"), F.lit(STATUS_URL_PARSER))
-              .when(F.col("_found").isNull(), F.lit(STATUS_SCRAPING))
-              .otherwise(F.lit(STATUS_SUCCESS)))
-    out = joined.withColumn("status", status)
-    rec_cols = []
-    for c in RECORD_FIELDS:
-        rec_cols.append(F.when(F.col("status") == STATUS_URL_PARSER, url_rec[c])
-                        .when(F.col("status") == STATUS_SUCCESS, F.col(f"_m_{c}")).alias(c))
-    llm = (F.when(F.col("status") == STATUS_URL_PARSER, F.lit(EXTRACTOR_URL))
-           .when(F.col("status") == STATUS_SUCCESS, F.lit(EXTRACTOR_PAGE)).otherwise(F.lit(NA)))
-    err = (F.when(F.col("status") == STATUS_INVALID, F.lit(ERR_INVALID))
-           .when(F.col("status") == STATUS_SCRAPING, F.lit(ERR_NO_PAGE)))
-    return out.select(pos_col, url_col, *rec_cols, llm.alias("llm_used"), "status",
-                      err.alias("error_message"),
-                      F.col("status").startswith("success").alias("has_record"))
+    meta = extractor(found).select(url_col, *RECORD_FIELDS, F.lit(True).alias("_found")).dropDuplicates([url_col])
+    joined = salted_lookup_join(open_rows, meta, url_col, "left", hot_url_rows, salt_buckets, pos_col, hot=hot)
+    got = F.col("_found").isNotNull()
+    paged = joined.select(
+        pos_col, url_col, *RECORD_FIELDS,
+        F.when(got, F.lit(EXTRACTOR_PAGE)).otherwise(F.lit(NA)).alias("llm_used"),
+        F.when(got, F.lit(STATUS_SUCCESS)).otherwise(F.lit(STATUS_SCRAPING)).alias("status"),
+        F.when(~got, F.lit(ERR_NO_PAGE)).alias("error_message"), got.alias("has_record"))
+    valid = F.col("_valid")
+    by_url = closed.select(
+        pos_col, url_col, *[F.when(valid, F.col(f"_u.{c}")).alias(c) for c in RECORD_FIELDS],
+        F.when(valid, F.lit(EXTRACTOR_URL)).otherwise(F.lit(NA)).alias("llm_used"),
+        F.when(valid, F.lit(STATUS_URL_PARSER)).otherwise(F.lit(STATUS_INVALID)).alias("status"),
+        F.when(~valid, F.lit(ERR_INVALID)).alias("error_message"), valid.alias("has_record"))
+    return paged.unionByName(by_url)
 
 
 def result_rows(results: DataFrame, char_limit: int | None = None,

@@ -550,11 +550,86 @@ def path_filter(spark, sf):
     return c.select("doc_id", "path", (~files.path_is_ignored("path")).alias("kept"))
 
 
+def _folder(spark, name):
+    """A fresh folder under the shared checkpoint folder."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+# Documents to a folder of the written corpus.
+DOCS_PER_FOLDER = 25
+
+
 @query
 def corpus_scan(spark, sf):
-    """SRC12 over the table folder itself (rows-only check)."""
-    c = files.scan_corpus(spark, sf)
-    return c.select("path", F.char_length("content").cast("bigint").alias("n_chars"))
+    """SRC12: the documents written as files, a folder for every few of them, and
+    scanned back; a document is a line (its newlines are written as tabs)."""
+    d = _docs(spark, sf)
+    line = F.concat(F.col("doc_id").cast("string"), F.lit("|"), F.regexp_replace("text", "[\r\n]", "\t"))
+    out = _folder(spark, "corpus")
+    (d.select(line.alias("value"), (F.col("doc_id") / DOCS_PER_FOLDER).cast("bigint").alias("folder"))
+     .repartition("folder").write.partitionBy("folder").text(out))
+    c = files.scan_corpus(spark, out).where(F.col("path").endswith(".txt"))
+    lines = c.select(F.regexp_extract("path", "folder=([0-9]+)/", 1).cast("bigint").alias("folder"),
+                     F.explode(F.split(F.regexp_replace("content", "\n$", ""), "\n", -1)).alias("line"))
+    return lines.select("folder", F.substring_index("line", "|", 1).cast("bigint").alias("doc_id"),
+                        F.md5("line").alias("line_md5"))
+
+
+@query
+def url_file_lines(spark, sf):
+    """SRC1: the URL lines written as a text file and read back."""
+    out = _folder(spark, "url-lines")
+    _lines(spark, sf).select(F.col("line").alias("value")).write.text(out)
+    return files.read_url_lines(spark, out).select("url")
+
+
+@query
+def upload_files(spark, sf):
+    """SRC6, SRC7: every URL blob written as an upload file and taken in; the valid
+    URLs of accepted files."""
+    b = inputs.url_blobs(_pages(spark, sf))
+    out = _folder(spark, "uploads")
+    b.select("blob_id", "blob").repartition("blob_id").write.partitionBy("blob_id").text(out)
+    urls, outcome = files.read_uploads(spark, out)
+    blob = F.regexp_extract("path", "blob_id=([0-9]+)/", 1).cast("bigint")
+    n = urls.select(blob.alias("blob_id"), "url")
+    told = outcome.select(blob.alias("blob_id"), "n_urls", "error")
+    return told.join(n, "blob_id", "left")
+
+
+@query
+def result_csv_replaced_header(spark, sf):
+    """SRC9: result rows written as CSV and read under the ten result columns,
+    whatever the file's header says."""
+    r = pipeline.result_rows(pipeline.process_urls(_url_list(spark, sf), _rich(spark, sf), _blocked(spark, sf)))
+    out = _folder(spark, "result-csv")
+    files.write_result_csv(r, out, bom=False)
+    return files.read_result_csv(spark, out, replace_header=True)
+
+
+@query
+def appended_lines(spark, sf):
+    """SNK5: the endpoints found in the event texts appended as lines in two
+    writes and read back."""
+    t = inputs.endpoint_text(_t(spark, sf, "events"))
+    e = text_ops.extract_endpoints(t, "text", ["event_id"])
+    out = _folder(spark, "endpoints")
+    for half in (0, 1):
+        files.append_lines(e.where(F.col("event_id") % 2 == half), "endpoint", out)
+    return spark.read.text(out).select(F.col("value").alias("endpoint"))
+
+
+@query
+def stream_pages(spark, sf):
+    """ST3: the URL list read as a stream and run through the pipeline per micro-batch."""
+    from ..streaming import jobs
+    src = _folder(spark, "url-stream")
+    _url_list(spark, sf).write.parquet(src)
+    urls = spark.readStream.schema("pos bigint, url string").parquet(src)
+    out = jobs.run_to_table(urls, "stream-pages", batch_fn=jobs.stream_pages(_rich(spark, sf), _blocked(spark, sf)))
+    return spark.read.parquet(out).select("pos", *pipeline.RESULT_COLUMNS)
 
 
 @query
@@ -577,10 +652,8 @@ def page_decode(spark, sf):
 def result_csv_roundtrip(spark, sf):
     """SNK1 -> SRC8: result rows written as CSV with a BOM in the shared
     checkpoint folder and read back (empty cells come back as null)."""
-    import uuid
-    from ..session import ensure_checkpoint_dir
     r = pipeline.result_rows(pipeline.process_urls(_url_list(spark, sf), _rich(spark, sf), _blocked(spark, sf)))
-    out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/result-csv-{uuid.uuid4().hex}"
+    out = _folder(spark, "result-csv")
     files.write_result_csv(r, out)
     return files.read_result_csv(spark, out)
 

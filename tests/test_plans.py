@@ -6,7 +6,8 @@ from pressgrid.plans.queries import REGISTRY
 
 SF = "/root/testdata/sf0.001"
 # These run a job while they are built (a stream or a CSV round trip).
-RUN_WHILE_BUILT = {"stream_intake", "stream_progress", "result_csv_roundtrip"}
+RUN_WHILE_BUILT = {"stream_intake", "stream_progress", "stream_pages", "result_csv_roundtrip", "result_csv_replaced_header",
+                   "corpus_scan", "url_file_lines", "upload_files", "appended_lines"}
 
 
 def _plan(spark, name):
