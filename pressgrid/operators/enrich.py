@@ -14,12 +14,9 @@ def enrich_afp(df: DataFrame, url_col: str = "url", source_col: str = "source")
     stamp (US Eastern) as published and modified date; all rows and columns
     are kept as they are otherwise.  Column names resolve case-insensitively,
     so a table with ``URL`` works as well as one with ``url``."""
-    stamp = afp_datetime(url_col)
-    hit = is_afp_source(source_col) & stamp.isNotNull()
-    out = df
-    for c in ("published_date", "modified_date"):
-        out = out.withColumn(c, F.when(hit, stamp).otherwise(F.col(c)))
-    return out.select(*df.columns)
+    out = df.withColumn("_stamp", F.when(is_afp_source(source_col), afp_datetime(url_col)))
+    dates = {c: F.coalesce("_stamp", F.col(c)) for c in ("published_date", "modified_date")}
+    return out.withColumns(dates).select(*df.columns)
 
 
 def with_progress(df: DataFrame, name: str = "progress") -> tuple[DataFrame, Observation]:

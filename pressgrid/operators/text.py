@@ -74,22 +74,14 @@ def _unescape_legacy_udf(s: pd.Series) -> pd.Series:
 def scrub_text(df: DataFrame, col: str, out: str = "scrubbed", legacy: bool = False) -> DataFrame:
     """Null or empty -> ''; escape sequences decoded; whitespace collapsed.
 
-    Rows without a backslash have no escape to decode and stay in native
-    expressions; only rows with one go through an Arrow-batched Python
-    function (a filtered branch, so the Python worker never sees the rest).
+    Rows without a backslash have no escape to decode and are scrubbed by native
+    expressions; the Arrow-batched Python function is given null for them, so
+    one scan does and only texts with an escape cross to Python.
     ``legacy=True`` repeats the original decoder exactly, which also reads
     UTF-8 text as Latin-1 (``—`` -> ``â\\x80\\x94``).
     """
     s = F.col(col)
     has_bs = F.coalesce(s.contains("\\"), F.lit(False))
-    plain = df.where(~has_bs)
-    escaped = df.where(has_bs)
-    if legacy:
-        plain_text = utf8_as_latin1(s)
-        udf = _unescape_legacy_udf
-    else:
-        plain_text = s
-        udf = _unescape_udf
-    a = plain.withColumn(out, F.coalesce(collapse_ws(plain_text), F.lit("")))
-    b = escaped.withColumn(out, F.coalesce(collapse_ws(udf(s)), F.lit("")))
-    return a.unionByName(b)
+    plain_text, udf = (utf8_as_latin1(s), _unescape_legacy_udf) if legacy else (s, _unescape_udf)
+    decoded = F.when(has_bs, udf(F.when(has_bs, s))).otherwise(plain_text)
+    return df.withColumn(out, F.coalesce(collapse_ws(decoded), F.lit("")))

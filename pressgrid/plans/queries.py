@@ -97,7 +97,8 @@ def jsonld_has_dates(spark, sf):
 @query
 def jsonld_fields(spark, sf):
     p = _rich(spark, sf).withColumn("ld_blocks", jsonld.jsonld_blocks("html"))
-    p = p.where(F.size("ld_blocks") > 0).withColumn("f", jsonld.jsonld_fields("ld_blocks"))
+    p = p.where(F.size("ld_blocks") > 0).withColumn("c", jsonld.jsonld_candidates("ld_blocks"))
+    p = p.withColumn("f", jsonld.jsonld_fields("ld_blocks", "c"))
     return p.select("page_id", "f.title", "f.authors", "f.source", "f.published", "f.modified")
 
 

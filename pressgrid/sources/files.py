@@ -126,7 +126,7 @@ def intake(files: DataFrame, csv_rows: DataFrame | None = None, ledger: DataFram
     empty_csv = F.lit(False)
     if csv_rows is not None:
         csv_ok = meta.where(~F.col("refused") & F.col("path").endswith(".csv")).select("path")
-        csv = csv_rows.join(broadcast_if_small(csv_ok), "path", "left_semi")
+        csv = csv_rows.join(csv_ok, "path", "left_semi")
         cols = [c for c in csv.columns if c != "path"]
         if cols:
             urls = urls.unionByName(discover_url_column(csv, "path", cols))
@@ -147,9 +147,9 @@ def intake(files: DataFrame, csv_rows: DataFrame | None = None, ledger: DataFram
              .when(empty_csv, F.lit(ERR_EMPTY_CSV))
              .when(n == 0, F.lit(ERR_NO_URLS)))
     outcome = out.select("path", "md5", "length", n.cast("bigint").alias("n_urls"), error.alias("error"))
-    # One row per file: broadcast when provably small, so a file holding most
-    # of the URLs is not gathered into one task by this filter.
-    accepted = broadcast_if_small(outcome.where(F.col("error").isNull()).select("path"))
+    # One narrow row per file.  No count is run on this computed side: the plan
+    # broadcasts it from its measured size, or splits a file that holds most URLs.
+    accepted = outcome.where(F.col("error").isNull()).select("path")
     return urls.join(accepted, "path", "left_semi"), outcome
 
 

@@ -126,3 +126,27 @@ def test_progress_metrics(spark):
     observed, obs = with_progress(df)
     observed.write.format("noop").mode("overwrite").save()
     assert obs.get == {"completed": 4, "successful": 2, "failed": 1}
+
+
+def test_upload_csv_as_people_write_them(spark, tmp_path):
+    d = tmp_path / "up loads"
+    d.mkdir()
+    (d / "a b.csv").write_text('note,"line one\nsays ""hi"" https://fake.com/in-note",https://real.com/1\n')
+    (d / "wide+1.csv").write_text(",".join(["x"] * 70 + ["https://far.com/71"]) + "\n")
+    urls, outcome = files.read_uploads(spark, str(d))
+    assert sorted(r.url for r in urls.collect()) == ["https://far.com/71", "https://real.com/1"]
+    assert {r.path.rsplit("/", 1)[1]: r.error for r in outcome.collect()} == {"a b.csv": None, "wide+1.csv": None}
+
+
+def test_replaced_header_keeps_further_cells(spark, tmp_path):
+    p = tmp_path / "old.csv"
+    p.write_text(",".join(f"h{i}" for i in range(12)) + "\n" + ",".join(["https://a.com"] + [""] * 9 + ["kept", "too"]) + "\n")
+    row = files.read_result_csv(spark, str(p), replace_header=True).first()
+    assert (row.url, row.title, row["_c10"], row["_c11"]) == ("https://a.com", None, "kept", "too")
+
+
+def test_page_charsets(spark):
+    rows = [(bytearray(b"\x93quoted\x94 \x80"),), (bytearray("Größe — 日本".encode("utf-16")),),
+            (bytearray(b" " * 5000 + b"<meta charset=windows-1252>" + b"\x96\xe9"),)]
+    got = [r[0] for r in spark.createDataFrame(rows, "b binary").select(files.page_text("b")).collect()]
+    assert got[:2] == ["“quoted” €", "Größe — 日本"] and got[2].endswith("–é")

@@ -36,3 +36,15 @@ def test_stream_progress_counts(spark, tmp_path):
     stream = spark.readStream.schema("status string").parquet(str(src))
     out = jobs.run_to_table(jobs.stream_progress(stream), "t-progress", "complete")
     assert {r.status: r.n for r in spark.read.parquet(out).collect()} == {"success": 2, "error_scraping": 1}
+
+
+def test_restart_adds_to_the_same_table(spark, tmp_path):
+    src, state = tmp_path / "in", str(tmp_path / "state")
+    spark.createDataFrame([(1, "a")], "k long, v string").write.parquet(str(src))
+    stream = spark.readStream.schema("k long, v string").parquet(str(src))
+    out = jobs.run_to_table(stream, "t-restart", checkpoint=state)
+    spark.createDataFrame([(2, "b")], "k long, v string").write.mode("append").parquet(str(src))
+    again = jobs.run_to_table(stream, "t-restart", checkpoint=state)
+    assert out == again and sorted(r.k for r in spark.read.parquet(out).collect()) == [1, 2]
+    jobs.run_to_table(stream, "t-restart", checkpoint=state)
+    assert spark.read.parquet(out).count() == 2
