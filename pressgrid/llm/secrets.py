@@ -14,10 +14,12 @@ candidate, base ones included, is scored with its surrounding context by a
 convolutional network in numpy; a candidate that overlaps no base finding
 becomes a finding of kind ``model`` when its calibrated probability reaches the
 threshold.  The network is trained on labelled findings: base findings are
-positive, other candidates and ordinary words negative, with the naming word
-masked in part of the positives so that the value itself is learned.  The
-threshold is the highest one that keeps the wanted recall on the calibration
-part of the sample, and never below one half.
+positive, other candidates and ordinary words negative; half of the named
+positives (by their value's hash) are shown without their name, so that the value
+itself is learned.  The
+threshold keeps the wanted recall on the calibration part of the sample: of those
+with as few false findings as the highest such threshold, the lowest, and never
+below one half.
 
 The sample is bounded (``TRAIN_DOCS`` documents chosen by a hash, ``TRAIN_CASES``
 candidates a class); scanning reads every whole text in one pass, no shuffle.
@@ -32,6 +34,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -83,25 +86,29 @@ def wide_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
 # Character classes: digits, letters by case and place in the alphabet (hex
 # letters apart), common marks, space, other, padding.
 _ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_.=-:\"'@ \n"
-_PAD, _OTHER, _MASK = 0, 1, 2
-_INDEX = {c: i + 3 for i, c in enumerate(_ALPHABET)}
-SYMBOLS = len(_ALPHABET) + 3
+_PAD, _OTHER = 0, 1
+_INDEX = {c: i + 2 for i, c in enumerate(_ALPHABET)}
+SYMBOLS = len(_ALPHABET) + 2
 WIDTH = CONTEXT * 2 + VALUE
 CHANNELS, KERNEL, FILTERS = 8, 5, 24
 
 
-def window(text: str, start: int, end: int, mask_name: bool = False) -> np.ndarray:
+def window(text: str, start: int, end: int) -> np.ndarray:
     """Symbols of left context, value and right context in fixed places."""
     out = np.zeros(WIDTH, np.uint8)
     left, value, right = text[max(0, start - CONTEXT):start], text[start:end][:VALUE], text[end:end + CONTEXT]
     for at, part in ((CONTEXT - len(left), left), (CONTEXT, value), (CONTEXT + VALUE, right)):
         for i, c in enumerate(part):
             out[at + i] = _INDEX.get(c, _OTHER)
-    if mask_name:
-        out[:CONTEXT] = np.where(out[:CONTEXT] > 0, _MASK, 0)
     return out
 
 
+def unnamed(text: str, name: int, start: int, end: int) -> np.ndarray:
+    """The window of a value as if its name, which begins at ``name``, were not there."""
+    before = text[max(0, name - CONTEXT):name]
+    return window(before + text[start:end + CONTEXT], len(before), len(before) + end - start)
+
+
 def windows_of(text: str, start: int, end: int) -> list[np.ndarray]:
     """One window per stretch of VALUE characters, so long values count whole."""
     return [window(text, s, min(end, s + VALUE)) for s in range(start, end, VALUE)]
@@ -169,7 +176,8 @@ class Network:
                     self.p[k] -= rate * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(s[k] / (1 - 0.999 ** step)) + 1e-8)
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float = RECALL) -> None:
-        """Platt scaling, then the highest threshold with the wanted recall."""
+        """Platt scaling, then the lowest threshold that lets no more through than the
+        highest one with the wanted recall."""
         z = self.logits(x)
         a, c = 1.0, 0.0
         for _ in range(50):
@@ -179,9 +187,11 @@ class Network:
             step = np.linalg.solve([[(h * z * z).sum() + 0.05, (h * z).sum()], [(h * z).sum(), h.sum() + 0.05]], g)
             a, c = a - np.clip(step[0], -1, 1), c - np.clip(step[1], -1, 1)
         self.scale, self.shift = float(a), float(c)
-        good = np.sort(self.probability(x[y == 1]))
+        good, other = np.sort(self.probability(x[y == 1])), self.probability(x[y == 0])
         if len(good):
-            self.threshold = max(0.5, float(good[int((1 - recall) * len(good))]))
+            top = max(0.5, float(good[int((1 - recall) * len(good))]))
+            below = other[other < top]
+            self.threshold = max(0.5, float(np.nextafter(below.max(), 1))) if len(below) else 0.5
 
 
 def train(docs: DataFrame, text_col: str = "text", sample_docs: int = TRAIN_DOCS,
@@ -200,17 +210,17 @@ def train(docs: DataFrame, text_col: str = "text", sample_docs: int = TRAIN_DOCS
                 base = base_spans(t)
                 for s, k, e in base:
                     # The value alone counts: a name in front is part of the context.
-                    s = _ASSIGN.match(t, s).start(1) if k == 0 else s
-                    masked = bool((s + len(t)) & 1)
+                    v = _ASSIGN.match(t, s).start(1) if k == 0 else s
+                    shown = zlib.crc32(t[v:e].encode()) & 1
                     label.append(1)
-                    win.append(window(t, s, e, masked).tobytes())
+                    win.append((window(t, v, e) if shown else unnamed(t, s, v, e)).tobytes())
                 for s, e in wide_spans(t, base):
                     label.append(0)
                     win.append(window(t, s, e).tobytes())
                 plain = word.search(t, len(t) // 2)
                 if plain and all(plain.end() <= s or plain.start() >= e for s, _, e in base):
                     label.append(0)
-                    win.append(window(t, *plain.span(), bool(len(t) & 1)).tobytes())
+                    win.append(window(t, *plain.span()).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(win, pa.binary())], ["y", "x"])
 
     found = chosen.mapInArrow(tidy(run), "y int, x binary").distinct()
