@@ -13,7 +13,9 @@ Base findings always stay.  A wider generator proposes further candidates
 candidate, base ones included, is scored with its surrounding context by a
 convolutional network in numpy; a candidate that overlaps no base finding
 becomes a finding of kind ``model`` when its calibrated probability reaches the
-threshold.  The network is trained on labelled findings: base findings are
+threshold.  Candidates may overlap: a long token, its pieces between separators, a
+named value.  One longer than ``VALUE`` is scored in overlapping stretches, and the
+stretches that pass are what is found; of overlapping ones the most probable stays.  The network is trained on labelled findings: base findings are
 positive, other candidates and ordinary words negative; half of the named
 positives (by their value's hash) are shown without their name, so that the value
 itself is learned.  The
@@ -32,6 +34,7 @@ result; other columns pass through (existing output names are replaced).
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import zlib
@@ -41,14 +44,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, tidy
+from .common import slices, small_batches, tidy
 
 KINDS = ("assign", "access", "hex")
 MODEL_KIND = "model"
 TRAIN_DOCS = 20_000
 TRAIN_CASES = 1_500
 CONTEXT = 24      # characters on either side of a candidate
-VALUE = 48        # a longer candidate is scored by the mean over its stretches
+VALUE = 48        # a longer candidate is scored stretch by stretch
+CHARS = 1 << 20   # characters whose candidates are scored together
 RECALL = 0.98
 
 # The base rules.
@@ -57,8 +61,11 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 MIN_ASSIGN, MIN_ACCESS = 12, 18
 
-# The wider generator: long tokens, and values after a naming word.
+# The wider generator: long tokens, their pieces between separators (a path or a
+# query may hold a key), and values after a naming word.
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_PIECES = (re.compile(r"[A-Za-z0-9+_-]{16,}=*"), re.compile(r"[A-Za-z0-9+]{16,}=*"))
+MIN_PART = 8      # the shortest rest of a candidate that is scored by itself
 _NAMED = re.compile(r"""(?ai:\b(?:pwd|pass|auth|bearer|credential|key)\b)["']?\x20*[:=]?\x20*["']?([A-Za-z0-9+/_.=-]{8,})""")
 
 
@@ -70,17 +77,32 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def wide_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Further candidates that overlap no base finding and no earlier candidate."""
-    taken = [(s, e) for s, _, e in base]
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of spans, disjoint and in order."""
     out: list[tuple[int, int]] = []
-    found = [m.span() for m in _TOKEN.finditer(text)] + [m.span(1) for m in _NAMED.finditer(text)]
-    for s, e in sorted(set(found)):
-        if all(e <= a or s >= b for a, b in taken) and (not out or s >= out[-1][1]):
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], e)
+        else:
             out.append((s, e))
     return out
 
 
+def wide_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Further candidates that overlap no base finding; they may overlap each other."""
+    taken = merged([(s, e) for s, _, e in base])
+    ends = [e for _, e in taken]
+    found = {m.span(1) for m in _NAMED.finditer(text)}
+    for m in _TOKEN.finditer(text):
+        found.add(m.span())
+        found.update(x.span() for p in _PIECES for x in p.finditer(text, *m.span()))
+
+    def clear(s, e):
+        i = bisect.bisect_right(ends, s)
+        return i == len(taken) or taken[i][0] >= e
+    return [x for x in sorted(found) if clear(*x)]
+
+
 # -------------------------------------------------------------------- network
 
 # Character classes: digits, letters by case and place in the alphabet (hex
@@ -93,25 +115,36 @@ WIDTH = CONTEXT * 2 + VALUE
 CHANNELS, KERNEL, FILTERS = 8, 5, 24
 
 
+# Symbols by Latin-1 code; every other character becomes a question mark, which
+# is no symbol of its own.
+_SYMBOL = np.array([_INDEX.get(chr(i), _OTHER) for i in range(256)], np.uint8)
+
+
 def window(text: str, start: int, end: int) -> np.ndarray:
     """Symbols of left context, value and right context in fixed places."""
     out = np.zeros(WIDTH, np.uint8)
-    left, value, right = text[max(0, start - CONTEXT):start], text[start:end][:VALUE], text[end:end + CONTEXT]
+    left, value, right = text[max(0, start - CONTEXT):start], text[start:min(end, start + VALUE)], text[end:end + CONTEXT]
     for at, part in ((CONTEXT - len(left), left), (CONTEXT, value), (CONTEXT + VALUE, right)):
-        for i, c in enumerate(part):
-            out[at + i] = _INDEX.get(c, _OTHER)
+        out[at:at + len(part)] = _SYMBOL[np.frombuffer(part.encode("latin-1", "replace"), np.uint8)]
     return out
 
 
-def unnamed(text: str, name: int, start: int, end: int) -> np.ndarray:
-    """The window of a value as if its name, which begins at ``name``, were not there."""
-    before = text[max(0, name - CONTEXT):name]
-    return window(before + text[start:end + CONTEXT], len(before), len(before) + end - start)
+def stretches(start: int, end: int) -> list[tuple[int, int]]:
+    """Overlapping stretches of VALUE characters, the last one aligned to the end, so
+    that none is a remainder and no place is seen only at a stretch's edge."""
+    last = max(start, end - VALUE)
+    return [(s, min(end, s + VALUE)) for s in (*range(start, last, VALUE // 2), last)]
 
 
 def windows_of(text: str, start: int, end: int) -> list[np.ndarray]:
-    """One window per stretch of VALUE characters, so long values count whole."""
-    return [window(text, s, min(end, s + VALUE)) for s in range(start, end, VALUE)]
+    """One window per stretch, so long values count whole."""
+    return [window(text, s, e) for s, e in stretches(start, end)]
+
+
+def unnamed(text: str, name: int, start: int, end: int) -> list[np.ndarray]:
+    """The windows of a value as if its name, which begins at ``name``, were not there."""
+    before = text[max(0, name - CONTEXT):name]
+    return windows_of(before + text[start:end + CONTEXT], len(before), len(before) + end - start)
 
 
 class Network:
@@ -212,11 +245,13 @@ def train(docs: DataFrame, text_col: str = "text", sample_docs: int = TRAIN_DOCS
                     # The value alone counts: a name in front is part of the context.
                     v = _ASSIGN.match(t, s).start(1) if k == 0 else s
                     shown = zlib.crc32(t[v:e].encode()) & 1
-                    label.append(1)
-                    win.append((window(t, v, e) if shown else unnamed(t, s, v, e)).tobytes())
+                    w = windows_of(t, v, e) if shown else unnamed(t, s, v, e)
+                    label += [1] * len(w)
+                    win += [x.tobytes() for x in w]
                 for s, e in wide_spans(t, base):
-                    label.append(0)
-                    win.append(window(t, s, e).tobytes())
+                    w = windows_of(t, s, e)
+                    label += [0] * len(w)
+                    win += [x.tobytes() for x in w]
                 plain = word.search(t, len(t) // 2)
                 if plain and all(plain.end() <= s or plain.start() >= e for s, _, e in base):
                     label.append(0)
@@ -237,25 +272,70 @@ def train(docs: DataFrame, text_col: str = "text", sample_docs: int = TRAIN_DOCS
     return net
 
 
+def passing(texts: list[str], asked: list[tuple[int, int, int]], net: Network) -> dict[int, list[tuple[float, int, int]]]:
+    """Per text the (probability, start, end) of the stretches that reach the
+    threshold, for candidates (text, start, end); neighbouring stretches of a
+    candidate are one, with the greatest probability."""
+    parts = [(k, s, e) for k, (_, a, b) in enumerate(asked) for s, e in stretches(a, b)]
+    out: dict[int, list[tuple[float, int, int]]] = {}
+    good: dict[int, list[tuple[int, int, float]]] = {}
+    for j in range(0, len(parts), 4096):
+        some = parts[j:j + 4096]
+        p = net.probability(np.stack([window(texts[asked[k][0]], s, e) for k, s, e in some]))
+        for i in np.flatnonzero(p >= net.threshold):
+            k, s, e = some[i]
+            good.setdefault(k, []).append((s, e, float(p[i])))
+    for k, own in good.items():
+        at = 0
+        for s, e in merged([x[:2] for x in own]):
+            best = 0.0
+            while at < len(own) and own[at][0] < e:
+                best, at = max(best, own[at][2]), at + 1
+            out.setdefault(asked[k][0], []).append((best, s, e))
+    return out
+
+
+def chosen(found: list[tuple[float, int, int]], taken: list[tuple[int, int]]) -> tuple[list, list]:
+    """(taken with the spans chosen, rests of the others).  Of overlapping spans
+    the most probable one (in hundredths) is chosen, among equals the longest, then
+    the first; a rest is the part of another one outside all chosen spans."""
+    taken, lost, rests = sorted(taken), [], set()
+    for _, s, e in sorted(found, key=lambda x: (-round(x[0], 2), x[1] - x[2], x[1])):
+        i = bisect.bisect_left(taken, (s, e))
+        if (i and taken[i - 1][1] > s) or (i < len(taken) and taken[i][0] < e):
+            lost.append((s, e))
+        else:
+            taken.insert(i, (s, e))
+    for s, e in lost:
+        rests.update(outside(s, e, taken))
+    return taken, sorted(rests)
+
+
+def outside(start: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of a span outside the disjoint spans ``taken``, MIN_PART characters or more."""
+    out, i = [], max(0, bisect.bisect_left(taken, (start, start)) - 1)
+    while i < len(taken) and taken[i][0] < end:
+        if taken[i][0] - start >= MIN_PART:
+            out.append((start, taken[i][0]))
+        start, i = max(start, taken[i][1]), i + 1
+    return out + [(start, end)] * (end - start >= MIN_PART)
+
+
 def findings(texts: list[str], net: Network | None) -> list[list[tuple[int, int, int]]]:
     """(start, kind index, end) of every text, base and model findings in order;
-    the model's kind comes after the listed ones."""
-    out, ask, owner = [], [], []
-    for i, t in enumerate(texts):
-        base = base_spans(t)
-        out.append(base)
-        for s, e in wide_spans(t, base):
-            w = windows_of(t, s, e)
-            ask += w
-            owner += [(i, s, e)] * len(w)
-    if ask and net is not None and net.threshold <= 1:
-        p = net.probability(np.stack(ask))
-        sums: dict = {}
-        for o, v in zip(owner, p):
-            a, n = sums.get(o, (0.0, 0))
-            sums[o] = a + float(v), n + 1
-        for (i, s, e), (total, n) in sums.items():
-            if total / n >= net.threshold:
+    the model's kind comes after the listed ones.
+
+    Rests of candidates beaten by a more probable one are scored once more by
+    themselves, so what lies beside a finding is neither lost nor taken along."""
+    out = [base_spans(t) for t in texts]
+    if net is None or net.threshold > 1:
+        return out
+    for lo, hi in slices(texts, CHARS):
+        asked = [(i, s, e) for i in range(lo, hi) for s, e in wide_spans(texts[i], out[i])]
+        first = {i: chosen(f, []) for i, f in passing(texts, asked, net).items()}
+        rests = passing(texts, [(i, s, e) for i, (_, r) in first.items() for s, e in r], net)
+        for i, (taken, _) in first.items():
+            for s, e in chosen(rests.get(i, []), taken)[0]:
                 out[i].append((s, len(KINDS), e))
     return [sorted(f) for f in out]
 

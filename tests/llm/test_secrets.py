@@ -65,3 +65,28 @@ def test_redaction_and_awkward_rows(docs, none):
     assert out.count() == docs.count() and set(docs.columns) - {"text", "spans"} <= set(out.columns)
     assert {r.spans for r in S.scan_documents(docs).collect()} == {""}
     assert S.scan_documents(none).count() == 0
+
+
+def _covered(found, start, end):
+    return any(k == len(S.KINDS) and s <= start and e >= end for s, k, e in found)
+
+
+def test_keys_in_long_runs_are_found(spark):
+    net, key, word = _trained(spark)
+    long = [f"see {key(n)} there" for n in range(49, 61) for _ in range(5)]
+    found = S.findings(long, net)
+    assert sum(_covered(f, 4, len(t) - 6) for f, t in zip(found, long)) >= 54
+    # A key at the end of a path of 200 characters.
+    paths = [("/" + "/".join(word() for _ in range(8)))[:200] + "/" for _ in range(60)]
+    tails = [f"see {p}{key(24)} there" for p in paths]
+    found = S.findings(tails, net)
+    assert sum(_covered(f, len(t) - 30, len(t) - 6) for f, t in zip(found, tails)) >= 50
+    assert sum(bool(f) for f in S.findings([f"see {p} there" for p in paths], net)) <= 3
+
+
+def test_stretches_overlap_and_end_with_the_value():
+    for n in range(1, 300):
+        got = S.stretches(7, 7 + n)
+        assert got[0][0] == 7 and got[-1][1] == 7 + n
+        assert all(e - s == min(n, S.VALUE) for s, e in got)
+        assert all(b[0] - a[0] <= S.VALUE // 2 for a, b in zip(got, got[1:]))
