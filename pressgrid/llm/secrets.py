@@ -9,14 +9,17 @@ end exclusive:
 * ``hex``: 16 or more lowercase hexadecimal digits.
 
 Base findings always stay.  A wider generator proposes further candidates
-(long mixed tokens and values after words such as ``key`` or ``auth``).  Every
+(long mixed tokens and values of ``MIN_PART`` or more characters after the base
+rule's names and after words such as ``key`` or ``auth``; without the parts that are
+base findings).  Every
 candidate, base ones included, is scored with its surrounding context by a
 convolutional network in numpy; a candidate that overlaps no base finding
 becomes a finding of kind ``model`` when its calibrated probability reaches the
 threshold.  Candidates may overlap: a long token, its pieces between separators, a
 named value.  One longer than ``VALUE`` is scored in overlapping stretches, and the
 stretches that pass are what is found; of overlapping ones the most probable stays.  The network is trained on labelled findings: base findings are
-positive, other candidates and ordinary words negative; half of the named
+positive, other candidates and ordinary words negative, except that short values
+after a base rule's name and separator are neither; half of the named
 positives (by their value's hash) are shown without their name, so that the value
 itself is learned.  The
 threshold keeps the wanted recall on the calibration part of the sample: of those
@@ -65,8 +68,12 @@ MIN_ASSIGN, MIN_ACCESS = 12, 18
 # query may hold a key), and values after a naming word.
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _PIECES = (re.compile(r"[A-Za-z0-9+_-]{16,}=*"), re.compile(r"[A-Za-z0-9+]{16,}=*"))
-MIN_PART = 8      # the shortest rest of a candidate that is scored by itself
-_NAMED = re.compile(r"""(?ai:\b(?:pwd|pass|auth|bearer|credential|key)\b)["']?\x20*[:=]?\x20*["']?([A-Za-z0-9+/_.=-]{8,})""")
+MIN_PART = 8      # the shortest named value, and part of a candidate scored by itself
+_NAME = re.compile(r"""(?ai:(?:password|passwd|secret|token|api_?key|(?<![a-z0-9])(?:pwd|pass|auth|bearer|credential|key))\b)"""
+                   r"""["']?+\x20*+[:=]?+\x20*+["']?+""")
+_VALUE = re.compile(r"[A-Za-z0-9+/_.=-]+")
+# Values that the base rule's names give, whatever their length.
+_TOLD = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?+\x20*+[:=]\x20*+["']?+(?=[A-Za-z0-9+/_.=-])""")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -88,19 +95,41 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def named_values(text: str) -> list[tuple[int, int]]:
+    """The values after naming words.  A name may stand inside an earlier value
+    (``auth=key=...``): its value ends where that one ends, and only its first
+    VALUE characters are a candidate of their own, since the stretches of the earlier
+    one show the others; so the candidates of a text stay linear in its length."""
+    out, end = [], 0
+    for m in _NAME.finditer(text):
+        s, inner = m.end(), m.end() < end
+        if not inner:
+            run = _VALUE.match(text, s)
+            end = run.end() if run else s
+        if end - s >= MIN_PART:
+            out.append((s, min(end, s + VALUE) if inner else end))
+    return out
+
+
 def wide_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Further candidates that overlap no base finding; they may overlap each other."""
+    """Further candidates, without the parts that are base findings; they may overlap
+    each other."""
     taken = merged([(s, e) for s, _, e in base])
-    ends = [e for _, e in taken]
-    found = {m.span(1) for m in _NAMED.finditer(text)}
+    found = set(named_values(text))
     for m in _TOKEN.finditer(text):
         found.add(m.span())
         found.update(x.span() for p in _PIECES for x in p.finditer(text, *m.span()))
+    return sorted({part for s, e in found for part in outside(s, e, taken)})
 
-    def clear(s, e):
-        i = bisect.bisect_right(ends, s)
-        return i == len(taken) or taken[i][0] >= e
-    return [x for x in sorted(found) if clear(*x)]
+
+def outside(start: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of a span outside the disjoint spans ``taken``, MIN_PART characters or more."""
+    out, i = [], max(0, bisect.bisect_left(taken, (start, start)) - 1)
+    while i < len(taken) and taken[i][0] < end:
+        if taken[i][0] - start >= MIN_PART:
+            out.append((start, taken[i][0]))
+        start, i = max(start, taken[i][1]), i + 1
+    return out + [(start, end)] * (end - start >= MIN_PART)
 
 
 # -------------------------------------------------------------------- network
@@ -248,7 +277,10 @@ def train(docs: DataFrame, text_col: str = "text", sample_docs: int = TRAIN_DOCS
                     w = windows_of(t, v, e) if shown else unnamed(t, s, v, e)
                     label += [1] * len(w)
                     win += [x.tobytes() for x in w]
+                told = [m.end() for m in _TOLD.finditer(t)]
                 for s, e in wide_spans(t, base):
+                    if bisect.bisect_left(told, s) < bisect.bisect_left(told, e):
+                        continue  # a short value after a base rule's name: neither label
                     w = windows_of(t, s, e)
                     label += [0] * len(w)
                     win += [x.tobytes() for x in w]
@@ -311,16 +343,6 @@ def chosen(found: list[tuple[float, int, int]], taken: list[tuple[int, int]]) ->
     return taken, sorted(rests)
 
 
-def outside(start: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The parts of a span outside the disjoint spans ``taken``, MIN_PART characters or more."""
-    out, i = [], max(0, bisect.bisect_left(taken, (start, start)) - 1)
-    while i < len(taken) and taken[i][0] < end:
-        if taken[i][0] - start >= MIN_PART:
-            out.append((start, taken[i][0]))
-        start, i = max(start, taken[i][1]), i + 1
-    return out + [(start, end)] * (end - start >= MIN_PART)
-
-
 def findings(texts: list[str], net: Network | None) -> list[list[tuple[int, int, int]]]:
     """(start, kind index, end) of every text, base and model findings in order;
     the model's kind comes after the listed ones.

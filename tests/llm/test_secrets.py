@@ -90,3 +90,27 @@ def test_stretches_overlap_and_end_with_the_value():
         assert got[0][0] == 7 and got[-1][1] == 7 + n
         assert all(e - s == min(n, S.VALUE) for s, e in got)
         assert all(b[0] - a[0] <= S.VALUE // 2 for a, b in zip(got, got[1:]))
+
+
+def test_candidates_after_every_name():
+    def wide(t):
+        return [t[s:e] for s, e in S.wide_spans(t, S.base_spans(t))]
+    for name in ("password", "passwd", "Secret", "token", "api_key", "apikey", "my_key", "key", "db_pass", "auth"):
+        for value in ("a1b2c3d4", "a1b2c3d4e5f"):
+            for sep in ("=", ": ", '": "'):
+                assert value in wide(f"see {name}{sep}{value} there"), (name, sep, value)
+    # The value of a NAME=VALUE run, with what follows a full stop.
+    assert "A1b2C3d4E5f6G7h8" in wide("key=A1b2C3d4E5f6G7h8")
+    assert "A1b2C3d4E5f6G7h8I9j0.pay-load_1" in wide("auth=A1b2C3d4E5f6G7h8I9j0.pay-load_1")
+    # What lies beside a base finding stays a candidate.
+    assert "ZyXwVuTsRqPoNm/" in wide("ZyXwVuTsRqPoNm/0123456789abcdef")
+    # Linear in the text, whatever the nesting of names and base findings.
+    for t in ("key=" * 50000, "key" + " " * 100000, "auth=" + "0123456789abcdefZ" * 10000, "password=" * 20000):
+        assert sum(e - s for s, e in S.wide_spans(t, S.base_spans(t))) <= 64 * len(t)
+
+
+def test_short_named_values_are_found(spark):
+    net, key, word = _trained(spark)
+    texts = [f"see {n}{sep}{key(k)} there" for n in ("password", "passwd", "secret", "token", "api_key")
+             for sep in ("=", ": ") for k in (8, 9, 10, 11)]
+    assert sum(bool(f) for f in S.findings(texts, net)) >= 34
