@@ -21,13 +21,15 @@ stretches that pass are what is found; of overlapping ones the most probable sta
 positive, other candidates and ordinary words negative, except that short values
 after a base rule's name and separator are neither; half of the named
 positives (by their value's hash) are shown without their name, so that the value
-itself is learned.  The
-threshold keeps the wanted recall on the calibration part of the sample: of those
-with as few false findings as the highest such threshold, the lowest, and never
-below one half.
+itself is learned.
 
-The sample is bounded (``TRAIN_DOCS`` documents chosen by a hash, ``TRAIN_CASES``
-candidates a class); scanning reads every whole text in one pass, no shuffle.
+The network is fitted on a bounded sample (``TRAIN_DOCS`` documents chosen by a
+hash, ``TRAIN_CASES`` windows a class).  Its probabilities and the threshold come from
+all documents: every labelled candidate, base ones included, is scored, and the counts
+per score bin and label are added up in Spark (see ``score_counts``).  The threshold
+always keeps the wanted recall on them: of those with as few false findings as the
+highest such threshold, the one nearest to one half, which may lie below it.
+Calibration and scan each read every whole text in one pass; only counts are shuffled.
 
 Cases: a null text counts as empty and has no finding; very long texts are
 scanned whole; without positive cases the network adds nothing; rows are
@@ -55,6 +57,8 @@ TRAIN_DOCS = 20_000
 TRAIN_CASES = 1_500
 CONTEXT = 24      # characters on either side of a candidate
 VALUE = 48        # a longer candidate is scored stretch by stretch
+BINS = 64         # score bins per unit of the logit, from -SPAN to SPAN
+SPAN = 32
 CHARS = 1 << 20   # characters whose candidates are scored together
 RECALL = 0.98
 
@@ -188,7 +192,7 @@ class Network:
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         pos = np.arange(WIDTH - KERNEL + 1) + KERNEL // 2
         self.value = (pos >= CONTEXT) & (pos < CONTEXT + VALUE)
-        self.scale, self.shift, self.threshold = 1.0, 0.0, 2.0
+        self.scale, self.shift, self.threshold, self.cut = 1.0, 0.0, 2.0, np.inf
 
     def _forward(self, x: np.ndarray):
         e = self.p["emb"][x]
@@ -202,8 +206,12 @@ class Network:
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([self._forward(x[i:i + 512])[3] for i in range(0, len(x), 512)]) if len(x) else np.zeros(0)
 
+    def chance(self, z: np.ndarray) -> np.ndarray:
+        """The calibrated probability of logits."""
+        return 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -30, 30)))
+
     def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(x) + self.shift, -30, 30)))
+        return self.chance(self.logits(x))
 
     def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 3e-3,
               seed: int = 7) -> None:
@@ -237,28 +245,39 @@ class Network:
                     s[k] = 0.999 * s[k] + 0.001 * gk * gk
                     self.p[k] -= rate * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(s[k] / (1 - 0.999 ** step)) + 1e-8)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float = RECALL) -> None:
-        """Platt scaling, then the lowest threshold that lets no more through than the
-        highest one with the wanted recall."""
-        z = self.logits(x)
+    def calibrate(self, z: np.ndarray, y: np.ndarray, n: np.ndarray, recall: float = RECALL) -> None:
+        """Platt scaling and the threshold from counts: ``n`` cases of label ``y`` with
+        a logit of ``z`` or little more.
+
+        The threshold always keeps the wanted recall.  Of those that let no more through
+        than the highest one that keeps it, the nearest to one half is taken."""
+        pos, neg = float(n[y == 1].sum()), float(n[y == 0].sum())
+        if not pos:
+            return
+        want = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
         a, c = 1.0, 0.0
-        for _ in range(50):
+        for _ in range(100):
             p = 1 / (1 + np.exp(-np.clip(a * z + c, -30, 30)))
-            h = np.maximum(p * (1 - p), 1e-6)
-            g = np.array([((p - y) * z).sum() + 0.05 * a, (p - y).sum() + 0.05 * c])
+            h = n * np.maximum(p * (1 - p), 1e-6)
+            g = np.array([(n * (p - want) * z).sum() + 0.05 * a, (n * (p - want)).sum() + 0.05 * c])
             step = np.linalg.solve([[(h * z * z).sum() + 0.05, (h * z).sum()], [(h * z).sum(), h.sum() + 0.05]], g)
             a, c = a - np.clip(step[0], -1, 1), c - np.clip(step[1], -1, 1)
-        self.scale, self.shift = float(a), float(c)
-        good, other = np.sort(self.probability(x[y == 1])), self.probability(x[y == 0])
-        if len(good):
-            top = max(0.5, float(good[int((1 - recall) * len(good))]))
-            below = other[other < top]
-            self.threshold = max(0.5, float(np.nextafter(below.max(), 1))) if len(below) else 0.5
+        # A higher logit must stay a higher probability.
+        self.scale, self.shift = (float(a), float(c)) if a > 0.01 else (1.0, 0.0)
+        good, other = np.unique(z[(y == 1) & (n > 0)]), np.unique(z[(y == 0) & (n > 0)])
+        kept = np.array([n[(y == 1) & (z >= v)].sum() for v in good])
+        top = good[kept >= recall * pos].max()
+        below = other[other < top]
+        low = below.max() + 1 / BINS if len(below) else -np.inf
+        half = -self.shift / self.scale
+        self.cut = float(min(top, max(low, half)))
+        self.threshold = 0.5 if self.cut == half else float(self.chance(np.array(self.cut)))
 
 
 def train(docs: DataFrame, text_col: str = "text", sample_docs: int = TRAIN_DOCS,
           cases: int = TRAIN_CASES) -> Network:
-    """Train on the labelled findings of about ``sample_docs`` documents."""
+    """Fit on the labelled findings of about ``sample_docs`` documents, calibrate on
+    the candidates of all."""
     small_batches(docs.sparkSession)
     n = docs.count()
     key = F.pmod(F.xxhash64(F.col(text_col), F.lit("secrets")), F.lit(1 << 20)) / float(1 << 20)
@@ -270,20 +289,10 @@ def train(docs: DataFrame, text_col: str = "text", sample_docs: int = TRAIN_DOCS
             label, win = [], []
             for t in b.column(0).to_pylist():
                 base = base_spans(t)
-                for s, k, e in base:
-                    # The value alone counts: a name in front is part of the context.
-                    v = _ASSIGN.match(t, s).start(1) if k == 0 else s
-                    shown = zlib.crc32(t[v:e].encode()) & 1
-                    w = windows_of(t, v, e) if shown else unnamed(t, s, v, e)
-                    label += [1] * len(w)
-                    win += [x.tobytes() for x in w]
-                told = [m.end() for m in _TOLD.finditer(t)]
-                for s, e in wide_spans(t, base):
-                    if bisect.bisect_left(told, s) < bisect.bisect_left(told, e):
-                        continue  # a short value after a base rule's name: neither label
-                    w = windows_of(t, s, e)
-                    label += [0] * len(w)
-                    win += [x.tobytes() for x in w]
+                for y, w in cases_of(t, base):
+                    if y is not None:
+                        label += [y] * len(w)
+                        win += [x.tobytes() for x in w]
                 plain = word.search(t, len(t) // 2)
                 if plain and all(plain.end() <= s or plain.start() >= e for s, _, e in base):
                     label.append(0)
@@ -298,12 +307,65 @@ def train(docs: DataFrame, text_col: str = "text", sample_docs: int = TRAIN_DOCS
     rows = [r for p in parts for r in p]
     x = np.frombuffer(b"".join(bytes(r.x) for r in rows), np.uint8).reshape(len(rows), WIDTH)
     y = np.array([r.y for r in rows], np.float32)
-    part = np.arange(len(rows)) % 4 == 0
-    net.train(x[~part], y[~part])
-    net.calibrate(x[part], y[part])
+    net.train(x, y)
+    net.calibrate(*score_counts(docs, net, text_col))
     return net
 
 
+def score_counts(docs: DataFrame, net: Network, text_col: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(logit, label, count) per score bin of the candidates of all documents, base
+    ones included; a candidate's score is the greatest of its stretches.  At most
+    two rows a bin reach the driver."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            texts = [t or "" for t in b.column(0).to_pylist()]
+            counts = np.zeros((2, 2 * SPAN * BINS), np.int64)
+            for lo, hi in slices(texts, CHARS):
+                label, sizes, win = [], [], []
+
+                def count():
+                    z = np.maximum.reduceat(net.logits(np.stack(win)), np.cumsum([0, *sizes[:-1]]))
+                    at = np.clip(np.floor((z + SPAN) * BINS), 0, counts.shape[1] - 1).astype(np.int64)
+                    np.add.at(counts, (label, at), 1)
+
+                for t in texts[lo:hi]:
+                    for y, w in cases_of(t, base_spans(t)):
+                        if y is not None:
+                            label.append(y)
+                            sizes.append(len(w))
+                            win += w
+                            if len(win) >= 4096:
+                                count()
+                                label, sizes, win = [], [], []
+                if win:
+                    count()
+            y, at = np.nonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(at, pa.int32()), pa.array(counts[y, at])],
+                                             ["y", "at", "n"])
+
+    found = docs.select(text_col).mapInArrow(tidy(run), "y int, at int, n bigint")
+    rows = sorted(tuple(r) for r in found.groupBy("y", "at").agg(F.sum("n")).collect())
+    y, at, n = (np.array(c) for c in zip(*rows)) if rows else (np.zeros(0),) * 3
+    # The lower edge, so that a bin's cases all reach a threshold at it.
+    return at / BINS - SPAN, y, n.astype(np.float64)
+
+
+def cases_of(text: str, base: list[tuple[int, int, int]]):
+    """(label, windows) of the candidates of a text: 1 for a base finding, 0 for
+    another one, None for a short value after a base rule's name."""
+    for s, k, e in base:
+        # The value alone counts: a name in front is part of the context.
+        v = _ASSIGN.match(text, s).start(1) if k == 0 else s
+        shown = zlib.crc32(text[v:e].encode("utf-8", "replace")) & 1
+        yield 1, windows_of(text, v, e) if shown else unnamed(text, s, v, e)
+    told = [m.end() for m in _TOLD.finditer(text)]
+    for s, e in wide_spans(text, base):
+        named = bisect.bisect_left(told, s) < bisect.bisect_left(told, e)
+        yield None if named else 0, windows_of(text, s, e)
+
+
 def passing(texts: list[str], asked: list[tuple[int, int, int]], net: Network) -> dict[int, list[tuple[float, int, int]]]:
     """Per text the (probability, start, end) of the stretches that reach the
     threshold, for candidates (text, start, end); neighbouring stretches of a
@@ -313,8 +375,9 @@ def passing(texts: list[str], asked: list[tuple[int, int, int]], net: Network) -
     good: dict[int, list[tuple[int, int, float]]] = {}
     for j in range(0, len(parts), 4096):
         some = parts[j:j + 4096]
-        p = net.probability(np.stack([window(texts[asked[k][0]], s, e) for k, s, e in some]))
-        for i in np.flatnonzero(p >= net.threshold):
+        z = net.logits(np.stack([window(texts[asked[k][0]], s, e) for k, s, e in some]))
+        p = net.chance(z)
+        for i in np.flatnonzero(np.maximum(z, -SPAN) >= net.cut):
             k, s, e = some[i]
             good.setdefault(k, []).append((s, e, float(p[i])))
     for k, own in good.items():

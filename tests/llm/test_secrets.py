@@ -114,3 +114,28 @@ def test_short_named_values_are_found(spark):
     texts = [f"see {n}{sep}{key(k)} there" for n in ("password", "passwd", "secret", "token", "api_key")
              for sep in ("=", ": ") for k in (8, 9, 10, 11)]
     assert sum(bool(f) for f in S.findings(texts, net)) >= 34
+
+
+def test_threshold_keeps_the_recall_without_a_floor():
+    import numpy as np
+    # 3 % of the positives far below one half: a threshold there alone keeps 98 %.
+    z, y = np.array([-3.0, 4.0, -4.0, -2.0]), np.array([1, 1, 0, 0])
+    net = S.Network()
+    net.calibrate(z, y, np.array([30.0, 970.0, 5000.0, 100.0]))
+    assert net.cut <= -3 and net.threshold < 0.5
+    # 1 % of them: not needed for the recall, so the false findings go.
+    net.calibrate(z, y, np.array([10.0, 990.0, 5000.0, 100.0]))
+    assert -2 < net.cut <= 4
+
+
+def test_calibration_counts_every_candidate(spark):
+    import numpy as np
+    net, key, word = _trained(spark)
+    texts = [f"some password={key(20)} and {word()} x" if i % 3 else f"see {key(24)} x" for i in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    z, y, n = S.score_counts(df.union(df), net)
+    brute = [(l, float(net.logits(np.stack(w)).max())) for t in texts for l, w in S.cases_of(t, S.base_spans(t))]
+    assert n[y == 1].sum() == 4000 and n[y == 0].sum() == 2 * sum(l == 0 for l, _ in brute)
+    for cut in (-2, 0, 2):
+        want = 2 * sum(v >= cut for l, v in brute if l == 1)
+        assert abs(n[(y == 1) & (z >= cut)].sum() - want) <= 4
