@@ -14,8 +14,9 @@ distinct feature vectors (counts over all documents; its size is bounded by the
 product of the feature ranges, not by the corpus).  Weak labels: a base finding,
 or a candidate whose left context names its kind, is positive.  The trees become
 one SQL expression.  Per generator a threshold on the score is calibrated to
-``PRECISION`` on those counts; a candidate above it, clear of base findings and
-not beaten by an overlapping candidate, is a finding of its generator's kind.
+``PRECISION`` on those counts; candidates above it and clear of base findings are
+taken greedily by score, and each that overlaps none taken before is a finding of
+its generator's kind.
 
 The text is read once; everything after it works on the stored spans.
 
@@ -45,12 +46,17 @@ BASE = {
     "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+# Between the labels of a spelled-out domain; after the first label also a full stop
+# with a space on one side, which later on would be the end of a sentence.
+_DOT = r"\x20?(?:\(dot\)|\[dot\])\x20?|\.|\x20\.\x20"
 WIDE = {
     "phone_local": r"(?<![0-9A-Za-z.+-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])",
-    "email_spelled": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,40}\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,40}"
-                     r"\x20?(?:\(dot\)|\[dot\]|\.)\x20?[A-Za-z]{2,10}",
+    "email_spelled": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]++"
+                     rf"(?:(?:{_DOT})[A-Za-z0-9-]++|\x20?\.\x20?[A-Za-z]{{2,}}+)(?:(?:{_DOT})[A-Za-z0-9-]++)*+",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "iban": r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])",
+    # 15 to 34 characters; the last group may be short.
+    "iban": r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:(?:\x20?[A-Z0-9]{4}){7}(?:\x20?[A-Z0-9]{1,2})?"
+            r"|(?:\x20?[A-Z0-9]{4}){3,6}(?:\x20?[A-Z0-9]{1,3})?|(?:\x20?[A-Z0-9]{4}){2}\x20?[A-Z0-9]{3})(?![A-Za-z0-9])",
     "digits": r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){8,}+",
 }
 NAMED = r"(?i)(?:tel|phone|call|mobile|fax|mail|contact|ssn|social|iban|account|card|id)[a-z.]*[\x20:#]*$"
@@ -235,9 +241,13 @@ def select_spans(found: DataFrame, start: float, trees: list, limits: dict[int,
     scored = found.withColumn("more", F.expr(f"""filter(transform(
         filter(wide, x -> not exists(base, b -> b.s < x.e and x.s < b.e)),
         x -> named_struct('s', x.s, 'e', x.e, 'gen', x.gen, 'score', {score})), x -> {passes})"""))
-    return scored.withColumn("more", F.expr("""filter(more, x -> not exists(more, y ->
-        y.s < x.e and x.s < y.e and (y.score > x.score or (y.score = x.score and
-        (y.s < x.s or (y.s = x.s and y.gen < x.gen))))))"""))
+    # From the best score down, whatever overlaps no span chosen before.
+    return scored.withColumn("more", F.expr("""aggregate(
+        array_sort(more, (a, b) -> case when a.score > b.score then -1 when a.score < b.score then 1
+            when a.s <> b.s then a.s - b.s else a.gen - b.gen end),
+        cast(array() as array<struct<s:int,e:int,gen:int,score:double>>),
+        (kept, x) -> case when exists(kept, y -> y.s < x.e and x.s < y.e) then kept
+            else concat(kept, array(x)) end)"""))
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

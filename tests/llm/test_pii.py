@@ -79,3 +79,40 @@ def test_no_python_in_the_plan(spark, docs):
     plan = S.spans(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
     assert F is not None
+
+
+def _wide(spark, texts, kind):
+    """The matches of a generator per text."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, t string")
+    got = df.withColumn("m", S.matches("t", S.WIDE[kind])).orderBy("doc_id")
+    return [[x.m for x in r.m] for r in got.collect()]
+
+
+def test_account_numbers_of_every_length(spark):
+    r = random.Random(4)
+    plain = ["DE89" + "".join(r.choice("0123456789") for _ in range(n - 4)) for n in range(15, 35)]
+    spaced = [" ".join(p[i:i + 4] for i in range(0, len(p), 4)) for p in plain]
+    want = plain + spaced
+    assert _wide(spark, [f"to {p}, now" for p in want], "iban") == [[p] for p in want]
+    assert _wide(spark, ["DE8937040044", plain[0][:14], "A" + plain[3], plain[3] + "x", plain[-1] + "1"], "iban") == [[]] * 5
+
+
+def test_spelled_out_addresses_whole(spark):
+    want = ["jo (at) mail (dot) example (dot) com", "jo[at]mail[dot]example[dot]co[dot]uk", "j (at) mail.example.com",
+            "jo (at) mail . example . com", "x" * 60 + " (at) example (dot) com", "jo (at) mail (dot) 4you (dot) photography",
+            "jo (at) example. com"]
+    assert _wide(spark, [f"write to {w}. Please do" for w in want], "email_spelled") == [[w] for w in want]
+    long = "a" * 100000 + " (at) b" + " (dot) b" * 20000
+    assert _wide(spark, ["a" * 200000, long], "email_spelled") == [[], [long]]
+
+
+def test_overlaps_are_resolved_from_the_best_down(spark):
+    gens = {g: s for g, s in zip(range(len(S.BASE), len(S.BASE) + 4), (4.0, 3.0, 2.0, 1.0))}
+    first = min(gens)
+    tree = (0, first + 1, 4.0, (0, first + 2, 3.0, (0, first + 3, 2.0, 1.0)))
+    fields = ", ".join(f"'{k}', 0" for k in S.FEATURES if k != "gen")
+    spans = ", ".join(f"named_struct('s', {5 * i}, 'e', {5 * i + 8}, 'gen', {g}, {fields})" for i, g in enumerate(gens))
+    found = spark.sql(f"select 1L doc_id, filter(array({spans}), x -> false) base, array({spans}) wide")
+    out = S.select_spans(found, 0.0, [tree], dict.fromkeys(gens, -1.0)).first().more
+    # The second is beaten by the first, so the third stays, and beats the fourth.
+    assert [x.gen for x in out] == [first, first + 2]
