@@ -26,7 +26,7 @@ import bisect
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import packed, stored, text_or_empty
+from .common import packed, shared_path, stored, text_or_empty
 
 ROW_OVERHEAD = 16   # bytes a row counts besides its text
 PROBE_BITS = 10     # probes a round: 2^10 in every open interval
@@ -154,12 +154,16 @@ def _cells(n: int, shards: int) -> int:
 
 def shard_digest(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text",
                  tolerance: float = 0.0025) -> DataFrame:
-    """(id, size, text_crc32, law, shard, slot) without moving any text: the same
-    plan as ``shard_documents`` over stored narrow rows."""
-    crc = F.crc32(text_or_empty(text_col).cast("binary"))
-    narrow = stored(docs.select(F.col(id_col), crc.alias("text_crc32"),
-                                *[c.alias(n) for n, c in shard_keys(id_col, text_col).items()]), "shard-rows")
-    splitters = find_splitters(narrow, shards, tolerance)
-    out = assign_shards(narrow, splitters, _cells(narrow.count(), shards))
-    return out.select(id_col, F.col("_size").alias("size"), "text_crc32", F.lit("bytes").alias("law"),
-                      "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    """(id, size, text_crc32, law, shard, slot) of the documents as ``shard_documents``
+    deals them out, read back from the shards written to the shared folder."""
+    dealt = written_shards(shard_documents(docs.select(id_col, text_col), shards, id_col, text_col, tolerance))
+    return dealt.select(id_col, shard_keys(id_col, text_col)["_size"].alias("size"),
+                        F.crc32(text_or_empty(text_col).cast("binary")).alias("text_crc32"),
+                        F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def written_shards(dealt: DataFrame) -> DataFrame:
+    """Write dealt documents whole, one folder a shard, and read them back."""
+    path = shared_path(dealt.sparkSession, "shards")
+    dealt.write.partitionBy("shard").parquet(path)
+    return dealt.sparkSession.read.schema(dealt.schema).parquet(path)

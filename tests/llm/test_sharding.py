@@ -37,3 +37,16 @@ def test_awkward_rows(docs, texts, none):
     assert S.shard_documents(none, 4).count() == 0 and S.shard_digest(none, 4).count() == 0
     sizes = {r.doc_id: r["size"] for r in S.shard_digest(docs, 4).collect()}
     assert sizes[3] == 16 and sizes[9] == 70016
+
+
+def test_digest_is_of_the_written_shards(spark, monkeypatch):
+    written = []
+    keep = S.written_shards
+    monkeypatch.setattr(S, "written_shards", lambda d: written.append(keep(d)) or written[-1])
+    rows = [(i, "hot text " * 20 if i % 3 == 0 else f"word{i} " * (i % 40)) for i in range(2000)]
+    df = spark.createDataFrame(rows + [(5000, "long " * 40000), (None, None)], "doc_id long, text string")
+    out = S.shard_digest(df, 8)
+    assert len(written) == 1
+    whole = written[0].collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in whole) == sorted([*rows, (5000, "long " * 40000), (-1, "")])
+    assert {(r.doc_id, r.shard, r.slot) for r in whole} == {(r.doc_id, r.shard, r.slot) for r in out.collect()}
