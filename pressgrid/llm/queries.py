@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, jaccard_join, language_id, pieces, pii, secrets, sharding, suffix_dedup, token_codes
+from . import conversations, decontaminate, exact_dedup, jaccard_join, language_id, pieces, pii, secrets, sharding, suffix_dedup, token_codes
 from .common import load
 
 SHARDS = 40
@@ -61,6 +61,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_documents(load(spark, sf_dir, "documents", "doc_id", "text")).drop("x")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_digest(load(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 LLM_QUERIES = {f.__name__: f for f in (
     op1_language_id,
     op2_secret_scan,
@@ -69,7 +73,8 @@ LLM_QUERIES = {f.__name__: f for f in (
     op5_sentencepiece,
     op6_suffix_dedup,
         op7_benchmark_decontamination, op8_sharding, op9_exact_dedup,
-    op10_jaccard_join)}
+    op10_jaccard_join,
+    op13_conversation_repair)}
 
 OP9_SQL = r"""
 WITH n AS (
