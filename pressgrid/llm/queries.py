@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontaminate, exact_dedup, jaccard_join, language_id, pieces, pii, secrets, sharding, suffix_dedup, token_codes
+from . import conversations, decontaminate, exact_dedup, hard_negatives, jaccard_join, language_id, pieces, pii, secrets, sharding, suffix_dedup, token_codes
 from .common import load
 
 SHARDS = 40
@@ -61,6 +61,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_documents(load(spark, sf_dir, "documents", "doc_id", "text")).drop("x")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(load(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_digest(load(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
 
@@ -74,6 +78,7 @@ LLM_QUERIES = {f.__name__: f for f in (
     op6_suffix_dedup,
         op7_benchmark_decontamination, op8_sharding, op9_exact_dedup,
     op10_jaccard_join,
+    op11_hard_negatives,
     op13_conversation_repair)}
 
 OP9_SQL = r"""
@@ -114,7 +119,31 @@ SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+OP11_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.r AS a, a.vec_id AS anchor_id, b.r AS b, b.vec_id, a.label = b.label AS same,
+         CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a, v b WHERE a.vec_id % 50 = 0 AND a.r <> b.r),
+p AS (
+  SELECT a, anchor_id, b, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id NULLS LAST, b) <= 5),
+n AS (
+  SELECT p.anchor_id, positive_id, positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.vec_id NULLS LAST) AS rank
+  FROM p JOIN s ON p.a = s.a AND NOT s.same AND 50 * positive_score <= 100 * s.score
+                AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM n WHERE rank <= 3
+"""
+
 LLM_ORACLES = {
+    "op11_hard_negatives": OP11_SQL,
     "op7_benchmark_decontamination": OP7_SQL,
     "op9_exact_dedup": OP9_SQL,
 }
