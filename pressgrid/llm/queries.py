@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontaminate, exact_dedup, hard_negatives, jaccard_join, language_id, pieces, pii, secrets, sharding, suffix_dedup, token_codes
+from . import conversations, decontaminate, exact_dedup, hard_negatives, jaccard_join, language_id, lm_scoring, pieces, pii, secrets, sharding, suffix_dedup, token_codes
 from .common import load
 
 SHARDS = 40
@@ -65,6 +65,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(load(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(load(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_digest(load(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
 
@@ -79,6 +83,7 @@ LLM_QUERIES = {f.__name__: f for f in (
         op7_benchmark_decontamination, op8_sharding, op9_exact_dedup,
     op10_jaccard_join,
     op11_hard_negatives,
+    op12_lm_scoring,
     op13_conversation_repair)}
 
 OP9_SQL = r"""
