@@ -1,27 +1,24 @@
-"""HTML column functions (H1-H8), native regular expressions, no Python worker.
-
-The page is never turned into a tree.  Each step is a regular-expression
-rewrite that reads the markup the way a forgiving HTML parser does for the
-cases that matter here:
-
-* comments, ``script`` and ``style`` are removed in one alternation, so a tag
-  inside a comment or a ``</p>`` inside a script is not read as markup;
-* removable elements end at their balancing closing tag, or at the end of the
-  page when they are never closed;
-* a paragraph ends at ``</p>``, at the next ``<p>``, or at the end of an
-  enclosing block.
-
-A quoted attribute value may hold a ``>``; an element that contains its own kind
-ends at the closing tag that balances it.
-
-Limit: unclosed nested paragraphs are not repeated (a tree parser would repeat
-the inner text inside the outer paragraph).
+"""HTML column functions (H1-H8), native expressions, no Python worker.
+
+``page_parts`` reads a page once: a regular expression that knows quoted attribute
+values splits it into text and marks (tags, comments, whole scripts and styles), and
+one fold over the marks keeps a stack of the open elements, as a forgiving tree parser
+does (a void or self-closed element is never open): a closing tag ends the latest open element of its name and all inside it, one
+without an open element does nothing, and elements never closed run to the end of what
+they stand in.  The fold says for every piece whether it lies in a removed element
+and in the first article, main or body; the cleaned page, its main markup and its text
+are read off that.
+
+* comments, ``script`` and ``style`` are one mark each, so a tag inside a comment or a
+  ``</p>`` inside a script is not read as markup, nor is one inside a quoted value;
+* a paragraph ends at ``</p>``, at the next ``<p>``, or at the end of an enclosing
+  block (a tree parser would repeat the text of unclosed nested paragraphs).
 """
 
 from __future__ import annotations
 
 import json
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,6 +30,10 @@ from .text import CP1252_BYTES, CP1252_SPECIALS, WS_CLASS, _col, bind, collapse_
 REMOVED_ELEMENTS = ("nav", "footer", "aside", "form", "header")
 # Where the main content is looked for, first hit wins.
 CONTENT_CONTAINERS = ("article", "main", "body")
+# Elements without content, which are never open.
+VOID_ELEMENTS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "keygen", "link",
+                 "menuitem", "meta", "param", "source", "track", "wbr", "basefont", "bgsound",
+                 "command", "frame", "image", "isindex", "nextid", "spacer")
 # Closing tags that end an unclosed paragraph.
 BLOCK_ENDS = ("article", "main", "body", "html", "div", "section", "td", "th", "tr",
               "table", "li", "ul", "ol", "blockquote", "figure", "header", "footer",
@@ -47,46 +48,56 @@ FIRST_PASS = (r"(?is)<!--.*?(?:-->|\z)"
 ATTRS = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+"
 
 
-def open_or_close(tag: str) -> str:
-    return rf"(?i)<{tag}(?:\s{ATTRS})?>|</{tag}\s*>"
-
-
-def has_element_pattern(tag: str) -> str:
-    return rf"(?i)<{tag}(?:\s|/?>)"
-
-
 TAG = rf"</?[a-zA-Z]{ATTRS}>|<![^>]*>|<\?[^>]*>"
+MARK = rf"{FIRST_PASS}|{TAG}"
 P_OPEN = rf"(?i)<p(?:\s{ATTRS})?>"
 P_BODY = r"(?is)^(.*?)(?:</p\s*>|</(?:" + "|".join(BLOCK_ENDS) + r")\s*>|\z)"
 
-# A character reference: decimal, hexadecimal, or a name that ends at ";" or at
-# a character that cannot continue it.
-REFERENCE = r"&(?:#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,8}|[a-zA-Z][a-zA-Z0-9]*)(?:;|(?![-.;a-zA-Z0-9]))"
+# A character reference: decimal, hexadecimal, or a name, each with or without ";".
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]{1,31};?)"
+# Names that count without ";", also as the beginning of a longer word; longest first.
+_BARE = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+BARE_NAME = "^(?:" + "|".join(_BARE) + ")"
 
 
 def _names() -> str:
-    """The named references of HTML as a JSON object, from the standard library's table."""
-    return json.dumps({n: chr(c) for n, c in name2codepoint.items()} | {"apos": "'"})
+    """The named references of HTML as JSON, from the standard library's table: by first
+    letter, so that a look-up reads a few dozen names."""
+    table: dict[str, dict[str, str]] = {}
+    for name, value in html5.items():
+        table.setdefault(name[0], {})[name] = value
+    return json.dumps(table)
 
 
 def _code_point(n: Column) -> Column:
-    """The character of a number; what HTML does not allow becomes U+FFFD and the
-    windows-1252 range stands for its characters."""
+    """The character of a number: 0, surrogates and what lies beyond Unicode become
+    U+FFFD, the windows-1252 range stands for its characters, controls and
+    non-characters are left out."""
     ok = (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
     char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
-    return F.when(ok, F.translate(char, CP1252_BYTES, CP1252_SPECIALS)).otherwise(F.lit("\ufffd"))
+    nothing = (n.between(1, 8) | (n == 11) | n.between(14, 31) | (n == 127) | n.between(0xFDD0, 0xFDEF)
+               | ((n % 65536 >= 0xFFFE) & ok))
+    return (F.when(nothing, F.lit("")).when(ok, F.translate(char, CP1252_BYTES, CP1252_SPECIALS))
+            .otherwise(F.lit("\ufffd")))
 
 
 def _decoded(ref: Column, names: Column) -> Column:
-    body = F.regexp_replace(ref, "^&|;$", "")
-    number = F.when(body.rlike("^#[xX]"), F.conv(F.substring(body, 3, 8), 16, 10).cast("bigint")) \
-        .when(body.startswith("#"), F.try_to_number(F.substring(body, 2, 8), F.lit("99999999")).cast("bigint"))
-    return F.when(number.isNotNull(), _code_point(number)).otherwise(F.coalesce(F.try_element_at(names, body), ref))
+    body = F.substring(ref, 2, 1 << 30)
+    digits = F.regexp_extract(body, "^#[xX]?0*([0-9a-fA-F]*)", 1)
+    number = F.when(F.char_length(digits) > 8, F.lit(1 << 40)).when(
+        body.rlike("^#[xX]"), F.conv(digits, 16, 10).cast("bigint")).otherwise(F.conv(digits, 10, 10).cast("bigint"))
+    whole = F.try_element_at(F.try_element_at(names, F.left(body, F.lit(1))), body)
+    bare = F.regexp_extract(body, BARE_NAME, 0)
+    known = F.try_element_at(F.try_element_at(names, F.left(bare, F.lit(1))), bare)
+    begun = F.when(bare != "", F.concat(known, F.substr(body, F.char_length(bare) + 1)))
+    return F.when(body.startswith("#"), _code_point(F.coalesce(number, F.lit(0)))).otherwise(F.coalesce(whole, begun, ref))
 
 
 def unescape_entities(c) -> Column:
-    """Turn character references into characters, each once; unknown names stay."""
-    names = F.from_json(F.lit(_names()), "map<string,string>")
+    """Turn character references into characters, each once, as browsers read text:
+    every name of HTML, the old ones also without ";" and before other letters;
+    unknown names stay."""
+    names = F.from_json(F.lit(_names()), "map<string,map<string,string>>")
 
     def body(src):
         refs = F.transform(F.regexp_extract_all(src, F.lit(REFERENCE), 0), lambda r: _decoded(r, names))
@@ -97,67 +108,145 @@ def unescape_entities(c) -> Column:
     return bind(_col(c), body)
 
 
-def _walk(s: Column, tag: str, step) -> Column:
-    """Fold over the open and close tags of ``tag``: ``step(state, piece, mark)`` gets
-    each piece of text and the tag after it ('' at the end)."""
-    pat = open_or_close(tag)
-    pieces = F.split(s, pat, -1)
-    marks = F.concat(F.regexp_extract_all(s, F.lit(pat), 0), F.array(F.lit("")))
-    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("done"), F.array().cast("array<string>").alias("out"))
-    pairs = F.zip_with(pieces, marks, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    return F.array_join(F.aggregate(pairs, start, lambda a, x: step(a, x["p"], x["m"]))["out"], "")
-
-
-def _closes(mark: Column) -> Column:
-    return mark.startswith("</")
-
-
-def without_element(s: Column, tag: str, replacement: str = " ") -> Column:
-    """``s`` without the elements ``tag``, whatever they contain; a closing tag
-    without an opening one stays."""
-    def step(a, p, m):
-        depth = F.when(m == "", a["depth"]).when(_closes(m), F.greatest(a["depth"] - 1, F.lit(0))).otherwise(a["depth"] + 1)
-        outside = a["depth"] == 0
-        mark = F.when(outside & ~_closes(m) & (m != ""), F.lit(replacement)).when(outside, m).otherwise(F.lit(""))
-        text = F.when(outside, p).otherwise(F.lit(""))
-        return F.struct(depth.alias("depth"), a["done"].alias("done"), F.concat(a["out"], F.array(text, mark)).alias("out"))
-    return bind(s, lambda v: F.when(v.rlike(f"(?i)<{tag}[\\s>]"), _walk(v, tag, step)).otherwise(v))
-
-
-def first_inner(s: Column, tag: str) -> Column:
-    """The markup inside the first element ``tag``, to its balancing end tag."""
-    def step(a, p, m):
-        inside = (a["depth"] > 0) & ~a["done"]
-        depth = F.when(a["done"] | (m == ""), a["depth"]).when(_closes(m), F.greatest(a["depth"] - 1, F.lit(0))) \
-            .otherwise(a["depth"] + 1)
-        done = a["done"] | (inside & (depth == 0))
-        text = F.when(inside, p).otherwise(F.lit(""))
-        mark = F.when(inside & ~done, m).otherwise(F.lit(""))
-        return F.struct(depth.alias("depth"), done.alias("done"), F.concat(a["out"], F.array(text, mark)).alias("out"))
-    return _walk(s, tag, step)
-
-
 def drop_comments_scripts(c) -> Column:
     """Remove comments, scripts and styles (their text is never page text)."""
     return F.regexp_replace(_col(c), FIRST_PASS, " ")
 
 
+# Kinds of marks.
+OTHER, OPEN, CLOSE, ALONE, DROPPED = range(5)
+# Where a piece lies: in no removed element, in the first article, main, body.
+KEPT, IN_ARTICLE, IN_MAIN, IN_BODY = 1, 2, 4, 8
+PLACES = dict(zip(CONTENT_CONTAINERS, (IN_ARTICLE, IN_MAIN, IN_BODY)))
+# Marks folded together: what a fold appends to is copied at every step, so it is kept
+# short and the parts are joined at the end.
+FOLD = 128
+
+
+def _mark(m: Column) -> Column:
+    """struct<m, name, kind> of a mark."""
+    def body(name):
+        closing = m.startswith("</")
+        # A slash that ends an unquoted value belongs to the value.
+        alone = m.endswith("/>") & ~m.rlike(r"=\s*[^\s\"'>]+/>$")
+        gone = name.isin("script", "style") & ~closing | name.isin(*REMOVED_ELEMENTS) & alone
+        kind = (F.when(m.startswith("<!--") | gone, DROPPED).when(name == "", OTHER).when(closing, CLOSE)
+                .when(alone | name.isin(*VOID_ELEMENTS), ALONE).otherwise(OPEN))
+        return F.struct(m.alias("m"), name.alias("name"), kind.alias("kind"))
+    return bind(F.lower(F.regexp_extract(m, r"^</?([a-zA-Z][^\s/>]*)", 1)), body)
+
+
+def _step(a: Column, x: Column) -> Column:
+    """The stack of open elements (latest first) after a mark, the sizes it had when the
+    removed element and the containers around began (0 outside, -1 past a container), and
+    the place after every mark so far."""
+    name, opens = x["name"], x["kind"] == OPEN
+
+    def sized(up):          # elements that a closing tag ends
+        size = F.when(opens, a["n"] + 1).otherwise(a["n"] - up)
+
+        def placed(n):
+            stack = F.when(opens, F.concat(F.array(name), a["stack"])).when(
+                up > 0, F.slice(a["stack"], up + 1, n)).otherwise(a["stack"])
+            removed = (F.when(opens & (a["removed"] == 0) & name.isin(*REMOVED_ELEMENTS), n)
+                       .when(a["removed"] > n, 0).otherwise(a["removed"]))
+
+            def contained(gone):
+                inside = {c: F.when(opens & (a[c] == 0) & (gone == 0) & (name == c), n)
+                          .when(a[c] > n, -1).otherwise(a[c]) for c in CONTENT_CONTAINERS}
+                place = F.when(gone == 0, KEPT).otherwise(0)
+                for c, bit in PLACES.items():
+                    place = place + F.when(inside[c] > 0, bit).otherwise(0)
+                return F.struct(stack.alias("stack"), n.alias("n"), gone.alias("removed"),
+                                *[inside[c].alias(c) for c in CONTENT_CONTAINERS],
+                                F.concat(a["out"], F.array(place)).alias("out"))
+            return bind(removed, contained)
+        return bind(size, placed)
+
+    up = F.when(x["kind"] == CLOSE, F.array_position(a["stack"], name).cast("int")).otherwise(0)
+    return bind(up, sized)
+
+
+def page_parts(c) -> Column:
+    """array<struct<text, mark, dropped, before, after>>: the page in order, each text
+    with the mark after it ('' at the end) and the places before and after that mark."""
+    def read(s):
+        texts = F.split(s, MARK, -1)
+        marks = F.transform(F.regexp_extract_all(s, F.lit(MARK), F.lit(0)), _mark)
+
+        def folded(ms):
+            zero = F.lit(0)
+            start = F.struct(F.array().cast("array<string>").alias("stack"), zero.alias("n"), zero.alias("removed"),
+                             *[zero.alias(t) for t in CONTENT_CONTAINERS], F.array().cast("array<int>").alias("out"))
+
+            def fresh(a, out):
+                return F.struct(*[a[f].alias(f) for f in ("stack", "n", "removed", *CONTENT_CONTAINERS)], out.alias("out"))
+
+            def block(a, i):
+                part = F.slice(ms, i * FOLD + 1, FOLD)
+                done = F.aggregate(part, fresh(a["s"], F.array().cast("array<int>")), _step)
+                return bind(done, lambda d: F.struct(fresh(d, F.array().cast("array<int>")).alias("s"),
+                                                     F.concat(a["all"], F.array(d["out"])).alias("all")))
+
+            blocks = F.sequence(F.lit(0), F.floor(F.size(ms) / FOLD).cast("int"))
+            first = F.struct(start.alias("s"), F.array(F.array(F.lit(KEPT))).alias("all"))
+            places = F.flatten(F.aggregate(blocks, first, block)["all"])
+            return bind(places, lambda p: F.transform(texts, lambda t, i: F.struct(
+                t.alias("text"), F.coalesce(F.get(ms, i)["m"], F.lit("")).alias("mark"),
+                (F.coalesce(F.get(ms, i)["kind"], F.lit(OTHER)) == DROPPED).alias("dropped"),
+                F.get(p, i).alias("before"), F.coalesce(F.get(p, i + 1), F.get(p, i)).alias("after"))))
+        return bind(marks, folded)
+    return bind(_col(c), read)
+
+
+def _in(place: Column, bit) -> Column:
+    return place.bitwiseAND(bit) != 0
+
+
+def _container(parts: Column) -> Column:
+    """The place of the first article, else main, else body; the kept page without one."""
+    out = F.lit(KEPT)
+    for bit in reversed(PLACES.values()):
+        out = F.when(F.exists(parts, lambda p: _in(p["after"], bit)), bit).otherwise(out)
+    return out
+
+
+def _markup(parts: Column, bit, replacement: str) -> Column:
+    """The markup of the pieces in a place, a removed element or comment as
+    ``replacement``."""
+    def piece(p):
+        here, there = (_in(p[w], F.lit(KEPT)) & _in(p[w], bit) for w in ("before", "after"))
+        begins = _in(p["before"], F.lit(KEPT)) & ~_in(p["after"], F.lit(KEPT))
+        mark = (F.when(here & (p["dropped"] | begins), F.lit(replacement))
+                .when(here & there, p["mark"]).otherwise(F.lit("")))
+        return F.concat(F.when(here, p["text"]).otherwise(F.lit("")), mark)
+    return F.array_join(F.transform(parts, piece), "")
+
+
+def stripped_markup(parts, replacement: str = " ") -> Column:
+    """H1 of a page's parts."""
+    return _markup(_col(parts), F.lit(KEPT), replacement)
+
+
+def main_text(parts) -> Column:
+    """H1 -> H2 -> H3 of a page's parts: the main text as one line."""
+    parts = _col(parts)
+
+    def body(bit):
+        texts = F.filter(parts, lambda p: _in(p["before"], F.lit(KEPT)) & _in(p["before"], bit) & (p["text"] != ""))
+        return collapse_ws(unescape_entities(F.array_join(F.transform(texts, lambda p: p["text"]), " ")))
+    return bind(_container(parts), body)
+
+
 def strip_boilerplate(c, replacement: str = " ") -> Column:
     """H1: remove script, style, nav, footer, aside, form and header anywhere."""
-    s = F.regexp_replace(_col(c), FIRST_PASS, replacement)
-    for tag in REMOVED_ELEMENTS:
-        s = without_element(s, tag, replacement)
-    return s
+    return bind(page_parts(c), lambda parts: stripped_markup(parts, replacement))
 
 
 def main_content(c) -> Column:
-    """H2: inner markup of the first article, else main, else body, else all."""
-    def body(s):
-        out = s
-        for tag in reversed(CONTENT_CONTAINERS):
-            out = F.when(s.rlike(has_element_pattern(tag)), first_inner(s, tag)).otherwise(out)
-        return out
-    return bind(_col(c), body)
+    """H2: inner markup of the first article, else main, else body, else all; removed
+    elements are left out."""
+    return bind(page_parts(c), lambda parts: bind(_container(parts), lambda bit: _markup(parts, bit, " ")))
 
 
 def html_text(c, sep: str = " ") -> Column:
@@ -167,7 +256,7 @@ def html_text(c, sep: str = " ") -> Column:
 
 def clean_content(c) -> Column:
     """H1 -> H2 -> H3: the page's main text as one line."""
-    return html_text(main_content(strip_boilerplate(c)))
+    return bind(page_parts(c), main_text)
 
 
 def raw_html_for_dates(c, n: int = 20000) -> Column:

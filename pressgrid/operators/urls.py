@@ -29,22 +29,15 @@ def discover_url_column(df: DataFrame, file_col: str, cols: list[str], out: str
     """SRC3: per file, the leftmost column that holds at least one valid URL wins;
     its valid values (unstripped, nulls dropped) are returned, one per distinct value.
 
-    One small row per file says which column won; it is joined back on the
-    file key (salted for a file with very many rows), so no file's rows are
-    ever gathered in one place.
+    The cells become rows, those that hold no URL go at once, and the smallest column
+    number per file is joined back (salted for a file with very many rows), so no file's
+    rows are ever gathered in one place and the number of columns does not matter.
     """
-    flags = df.groupBy(file_col).agg(*[
-        F.max(is_valid_url(c).cast("int")).alias(f"_has_{i}") for i, c in enumerate(cols)])
-    winner = F.lit(None).cast("int")
-    for i in reversed(range(len(cols))):
-        winner = F.when(F.col(f"_has_{i}") == 1, F.lit(i)).otherwise(winner)
-    flags = flags.select(file_col, winner.alias("_col_no")).where(F.col("_col_no").isNotNull())
-    picked = F.lit(None).cast("string")
-    for i in reversed(range(len(cols))):
-        picked = F.when(F.col("_col_no") == i, F.col(cols[i]).cast("string")).otherwise(picked)
-    joined = salted_lookup_join(df, flags, file_col, "inner")
-    return (joined.select(file_col, picked.alias(out))
-            .where(F.col(out).isNotNull() & is_valid_url(out)).distinct())
+    cells = F.posexplode(F.array(*[F.col(c).cast("string") for c in cols])).alias("_column", out)
+    valid = df.select(file_col, cells).where(is_valid_url(out))
+    least = valid.groupBy(file_col).agg(F.min("_column").alias("_least"))
+    joined = salted_lookup_join(valid, least, file_col, "inner")
+    return joined.where(F.col("_column") == F.col("_least")).select(file_col, out).distinct()
 
 
 def cap_batch(df: DataFrame, batch_col: str, max_urls: int = DEFAULT_MAX_URLS) -> DataFrame:

@@ -627,3 +627,20 @@ ORACLES["page_decode"] = f"""SELECT page_id, md5(CASE
         THEN replace(html, '<meta charset="utf-8">', '<meta charset="iso-8859-1">')
       ELSE html END) AS text_md5
     FROM pages"""
+
+
+# Kinds 3 (the last line of a file of ten leaves a quote open) and 4 (every line but the
+# first has a third cell) are refused; a file whose lines lack that one is not.
+ORACLES["upload_csv_files"] = """
+WITH r AS (SELECT CAST(floor(page_id / 10) AS BIGINT) AS file_id, page_id, url FROM pages),
+f AS (SELECT file_id, file_id % 7 AS kind, bool_or(page_id % 10 = 9) AS closes, bool_or(page_id % 10 = 0) AS starts,
+             bool_or(page_id % 10 <> 0) AS more FROM r GROUP BY file_id),
+o AS (SELECT file_id, kind, CASE
+        WHEN kind = 3 AND closes THEN 'Error reading CSV: a quoted cell is not closed'
+        WHEN kind = 4 AND starts AND more THEN 'Error reading CSV: expected 2 cells in a record, saw 3'
+        WHEN kind = 2 THEN 'No valid URLs found in file' END AS error FROM f),
+u AS (SELECT DISTINCT r.file_id, CASE WHEN kind = 1 THEN url ELSE ' ' || url END AS url
+      FROM r JOIN o USING (file_id) WHERE error IS NULL)
+SELECT o.file_id, CAST(coalesce(n, 0) AS BIGINT) AS n_urls, error, url
+FROM o LEFT JOIN u USING (file_id) LEFT JOIN (SELECT file_id, count(*) AS n FROM u GROUP BY 1) c USING (file_id)
+"""

@@ -39,13 +39,13 @@ RECORD_FIELDS = ("title", "authors", "source", "published_date", "modified_date"
 
 
 def page_parts(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """Bind the expensive intermediate columns once: H1 result, cleaned text
-    (H3), JSON-LD blocks (H4).  Later steps read these columns instead of
-    repeating the regular expressions."""
+    """Bind the expensive intermediate columns once: the parts of the page (one
+    reading), cleaned text (H3), JSON-LD blocks (H4).  Later steps read these columns
+    instead of reading the page again."""
     return (pages
-            .withColumn("_h1", html.strip_boilerplate(html_col))
+            .withColumn("_parts", html.page_parts(html_col))
             .withColumn("ld_blocks", jsonld.jsonld_blocks(html_col))
-            .withColumn("content", html.html_text(html.main_content("_h1"))))
+            .withColumn("content", html.main_text("_parts")))
 
 
 def page_metadata(pages: DataFrame, date_style: str = "date", html_col: str = "html",
@@ -78,7 +78,7 @@ def page_metadata(pages: DataFrame, date_style: str = "date", html_col: str = "h
          .withColumn("modified_date", dates.modified_or_published(
              dates.to_date_style(modified, date_style), "published_date"))
          .withColumn("article_text", F.col("content")))
-    return p.drop("_ld", "_h1", "_cands", "_page")
+    return p.drop("_ld", "_parts", "_cands", "_page")
 
 
 def build_payload(pages: DataFrame, html_col: str = "html", url_col: str = "url",
@@ -104,10 +104,10 @@ def build_payload(pages: DataFrame, html_col: str = "html", url_col: str = "url"
         F.when(~good, F.left(F.col("_raw"), F.lit(20000))).alias("raw_html_for_dates"))
     # H7 (``_raw``) is the page with the removed elements gone, not replaced by
     # a space as for the text.
-    p = p.withColumn("_raw", html.strip_boilerplate(html_col, ""))
+    p = p.withColumn("_raw", html.stripped_markup("_parts", ""))
     p = p.withColumn("payload", payload)
     return p.withColumn("payload_text", text.truncate_payload(payload_json("payload", "ld_blocks"))) \
-        .drop("_h1", "_raw")
+        .drop("_parts", "_raw")
 
 
 def _json_string(c: F.Column) -> F.Column:

@@ -48,8 +48,8 @@ def _rich(spark, sf):
 @query
 def clean_content(spark, sf):
     """H1 -> H2 -> H3 on every page."""
-    p = _pages(spark, sf).withColumn("_h1", html.strip_boilerplate("html"))
-    return p.select("page_id", html.html_text(html.main_content("_h1")).alias("content"))
+    p = _pages(spark, sf).withColumn("_parts", html.page_parts("html"))
+    return p.select("page_id", html.main_text("_parts").alias("content"))
 
 
 @query
@@ -59,8 +59,7 @@ def strip_boilerplate(spark, sf):
 
 @query
 def main_content(spark, sf):
-    p = _rich(spark, sf).withColumn("_h1", html.strip_boilerplate("html"))
-    return p.select("page_id", html.main_content("_h1").alias("main_html"))
+    return _rich(spark, sf).select("page_id", html.main_content("html").alias("main_html"))
 
 
 @query
@@ -600,6 +599,47 @@ def upload_files(spark, sf):
     return told.join(n, "blob_id", "left")
 
 
+# Pages to an upload, and kinds of uploads.
+PAGES_PER_CSV, CSV_KINDS = 10, 7
+
+
+def _csv_uploads(pages: DataFrame) -> DataFrame:
+    """(file_id, line_no, kind, note, link, extra): a CSV upload of every few pages.
+    The kinds by ``file_id % 7``: 1 links first, 2 no link, 3 a quote left open, 4 a wider
+    record, else links second beside a note with commas, quotes and a line end."""
+    pid = F.col("page_id")
+    file_id = F.floor(pid / PAGES_PER_CSV)
+    kind = file_id % CSV_KINDS
+    note = F.concat(F.lit('said "'), pid.cast("string"), F.lit('",\nhttps://in.note/'), pid.cast("string"))
+    return pages.select(file_id.alias("file_id"), pid.alias("line_no"), kind.alias("kind"),
+                        F.when(kind == 1, F.col("url")).otherwise(note).alias("note"),
+                        F.when(kind == 2, "none").otherwise(F.concat(F.lit(" "), F.col("url"))).alias("link"),
+                        F.col("url").alias("extra"))
+
+
+@query
+def upload_csv_files(spark, sf):
+    """SRC3, SRC6, SRC7: CSV uploads with quoted line ends, open quotes and uneven
+    records, written as files and taken in; one row per URL or refused file."""
+    rows = _csv_uploads(_pages(spark, sf))
+    out = _folder(spark, "csv-uploads")
+    cell = [F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')) for c in ("note", "link")]
+    first = F.col("line_no") % PAGES_PER_CSV == 0
+    last = F.col("line_no") % PAGES_PER_CSV == PAGES_PER_CSV - 1
+    line = F.concat_ws(",", *cell, F.when((F.col("kind") == 4) & ~first, F.col("extra")))
+    line = F.concat(line, F.when((F.col("kind") == 3) & last, ',"').otherwise(""))
+    # A row for each line of the file, written without quoting, so that the lines reach
+    # the files as they are.
+    (rows.select("file_id", "line_no", F.posexplode(F.split(line, "\n", -1)).alias("part", "line"))
+     .repartition("file_id").sortWithinPartitions("file_id", "line_no", "part").select("file_id", "line")
+     .write.partitionBy("file_id").option("quote", "").option("escape", "").option("sep", "\t")
+     .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(out))
+    urls, outcome = files.read_uploads(spark, out)
+    file_id = F.regexp_extract("path", "file_id=([0-9]+)/", 1).cast("bigint")
+    told = outcome.select(file_id.alias("file_id"), "n_urls", "error")
+    return told.join(urls.select(file_id.alias("file_id"), "url"), "file_id", "left")
+
+
 @query
 def result_csv_replaced_header(spark, sf):
     """SRC9: result rows written as CSV and read under the ten result columns,

@@ -16,7 +16,10 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.text import CP1252_BYTES, CP1252_SPECIALS, CSV_TEXT_LIMIT
 from ..operators.joins import broadcast_if_small
-from ..operators.urls import clean_lines, discover_url_column, split_urls
+from ..functions.urls import is_valid_url, py_strip
+from ..operators.urls import clean_lines
+from ..session import stored
+from . import csv_records
 
 log = logging.getLogger(__name__)
 
@@ -71,86 +74,95 @@ def size_gate(files: DataFrame, max_bytes: int = MAX_UPLOAD_BYTES, length_col: s
 
 def read_uploads(spark: SparkSession, path: str, max_bytes: int = MAX_UPLOAD_BYTES,
                  ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """SRC3-SRC7 + J5 over a folder of uploads (``*.csv`` and ``*.txt``).
-
-    Returns ``(urls, outcome)`` as :func:`intake`.  CSV files are read by
-    Spark's CSV source (split and parsed in parallel) and matched to their
-    binary row by path.
-    """
+    """SRC3-SRC7 + J5 over a folder of uploads (``*.csv`` and ``*.txt``): ``(urls,
+    outcome)`` as :func:`intake`, after one scan of the folder."""
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.{csv,txt}")
              .option("recursiveFileLookup", "true").load(path))
-    # One schema as wide as the widest line of any file: a width taken from the
-    # first file would cut wider rows of other files.  A row's cells are at most
-    # its line's commas plus one.
-    accepted = files.where(F.col("path").endswith(".csv") & (F.col("length") <= max_bytes))
-    commas = F.array_max(F.transform(F.split(decode_text("content"), "\n"),
-                                     lambda ln: F.char_length(ln) - F.char_length(F.replace(ln, F.lit(",")))))
-    width = (accepted.agg(F.max(commas)).first()[0] or 0) + 1
-    schema = StructType([StructField(f"_c{i}", StringType()) for i in range(width)])
-    # Quoted newlines and doubled quotes, as people's tools write them; a file is
-    # at most the upload limit, so reading it unsplit is bounded.
-    csv = (spark.read.schema(schema).option("header", "false").option("mode", "PERMISSIVE")
-           .option("multiLine", "true").option("escape", '"')
-           .option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true").csv(path)
-           # The metadata path is percent-encoded, the binary reader's is not.
-           .withColumn("path", F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))))
-    return intake(files, csv, ledger, max_bytes)
-
-
-def intake(files: DataFrame, csv_rows: DataFrame | None = None, ledger: DataFrame | None = None,
+    return intake(files, ledger, max_bytes)
+
+
+def upload_pieces(files: DataFrame, max_bytes: int = MAX_UPLOAD_BYTES) -> DataFrame:
+    """What the intake needs of every upload, in one pass over ``files(path, length,
+    content)``: per file a row of its own (place -1: md5, length, error so far), the
+    valid URLs of text files, and the tokens of CSV files."""
+    is_csv = F.col("path").endswith(".csv")
+    gated = size_gate(files.select("path", "length", "content"), max_bytes)
+    raw = F.col("content").cast("string")
+    read = F.when(F.col("refused"), F.lit(None)).when(is_csv & F.is_valid_utf8(raw), F.regexp_replace(raw, f"^{BOM}", ""))
+    bound = gated.select(
+        "path", "length", F.md5("content").alias("md5"), is_csv.alias("csv"), "error",
+        (is_csv & ~F.col("refused") & ~F.is_valid_utf8(raw)).alias("unreadable"),
+        csv_records.tokens(read).alias("toks"),
+        F.when(~F.col("refused") & ~is_csv, decode_text("content")).alias("text"))
+    lines = F.transform(F.split("text", "[\n,]", -1), lambda v: py_strip(v))
+    urls = F.array_distinct(F.filter(lines, lambda v: is_valid_url(v)))
+    told = (F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("unreadable"), csv_records.NOT_UTF8)
+            .when(csv_records.has_open_quote(F.col("toks")), csv_records.OPEN_QUOTE))
+    # All that a file says of itself goes into its own piece: a column beside the pieces
+    # would be copied to every one of them.
+    types = {"kind": "tinyint", "n": "int", "quoted": "boolean", "value": "string", "length": "bigint",
+             "md5": "string", "error": "string"}
+
+    def piece(**known):
+        return F.struct(*[known.get(c, F.lit(None)).cast(t).alias(c) for c, t in types.items()])
+
+    own = F.array(piece(length=F.col("length"), md5=F.col("md5"), error=told))
+    cells = F.transform(csv_records.pieces(F.col("toks")), lambda p: piece(**{c: p[c] for c in list(types)[:4]}))
+    texts = F.transform(urls, lambda v: piece(kind=F.lit(csv_records.CELL), value=v))
+    return (bound.select("path", "csv", F.posexplode(F.concat(own, F.coalesce(cells, texts, F.array()))).alias("place", "p"))
+            .select("path", "csv", (F.col("place") - 1).alias("place"), "p.*"))
+
+
+def intake(files: DataFrame, ledger: DataFrame | None = None,
            max_bytes: int = MAX_UPLOAD_BYTES) -> tuple[DataFrame, DataFrame]:
     """Uploads ``files(path, length, content)`` -> ``(urls, outcome)``.
 
     ``urls(path, url)`` are the valid URLs of accepted files;
     ``outcome(path, md5, length, n_urls, error)`` has one row per file with
     ``error`` null when accepted.  Order of the checks: size gate (SRC5),
-    hash already in ``ledger(md5)`` (J5), empty CSV, no valid URL (SRC7).
+    hash already in ``ledger(md5)`` (J5), empty CSV, unreadable CSV, no valid URL (SRC7).
     Text files (``.txt``) are decoded UTF-8 first, Latin-1 when that fails
     (SRC4), then split on newlines and commas with values stripped (SRC2);
-    CSV files (``.csv``, rows in ``csv_rows(path, _c0, ...)``) keep the
-    leftmost column holding a valid URL, values as they are (SRC3).
-
-    File contents never cross a shuffle: hashing, decoding and splitting are
-    map-side on the file rows, and every join or group-by after that works on
-    narrow rows (path, hash, URL), so many copies of one file (a hot hash) or
-    one file with very many URLs cost no more than their narrow rows.  A file
-    past the gate is at most ``max_bytes``.  A zero-byte file gives no row at
-    all: Spark's file scans make no split for it (the form reported "CSV file
-    is empty").
+    CSV files (``.csv``) keep the leftmost column holding a valid URL, values as they
+    are (SRC3, module ``csv_records``).
+
+    The files are read in one pass, whose narrow rows (``upload_pieces``) and the URLs
+    found in them are stored in the shared folder; everything after that reads those
+    two tables.  Hashing, decoding and splitting are map-side, so many copies of one
+    file (a hot hash) or one file with very many URLs cost no more than their narrow
+    rows.  A file past the gate is at most ``max_bytes``.  A zero-byte file gives no row
+    at all: Spark's file scans make no split for it (the form reported "CSV file is
+    empty").
     """
-    gated = size_gate(files.select("path", "length", "content"), max_bytes)
-    meta = gated.select("path", "length", F.md5("content").alias("md5"), "refused", "error")
-    txt = gated.where(~F.col("refused") & F.col("path").endswith(".txt")) \
-        .select("path", decode_text("content").alias("text"))
-    urls = split_urls(txt, "text", ["path"])
-    empty_csv = F.lit(False)
-    if csv_rows is not None:
-        csv_ok = meta.where(~F.col("refused") & F.col("path").endswith(".csv")).select("path")
-        csv = csv_rows.join(csv_ok, "path", "left_semi")
-        cols = [c for c in csv.columns if c != "path"]
-        if cols:
-            urls = urls.unionByName(discover_url_column(csv, "path", cols))
-        rows = csv.groupBy("path").agg(F.count(F.lit(1)).alias("_rows"))
-        meta = meta.join(rows, "path", "left")
-        empty_csv = F.col("path").endswith(".csv") & F.col("_rows").isNull()
+    rows = stored(upload_pieces(files, max_bytes), "upload-pieces")
+    numbers = csv_records.numbered(rows.where(F.col("csv") & (F.col("place") >= 0)), "path")
+    text = rows.where(~F.col("csv") & (F.col("place") >= 0)).select("path", F.col("value").alias("url"))
+    found = stored(text.unionByName(csv_records.url_column(csv_records.cells(numbers, "path"), "path").distinct()),
+                   "upload-urls")
+    meta = rows.where(F.col("place") == -1).select("path", "csv", "length", "md5", "error")
+    meta = meta.join(csv_records.faults(numbers, "path"), "path", "left")
     if ledger is not None:
         seen = ledger.select("md5").distinct().withColumn("_seen", F.lit(True))
         meta = meta.join(broadcast_if_small(seen), "md5", "left")
     else:
         meta = meta.withColumn("_seen", F.lit(None).cast("boolean"))
-    counts = urls.groupBy("path").agg(F.count(F.lit(1)).alias("n_urls"))
+    counts = found.groupBy("path").agg(F.count(F.lit(1)).alias("n_urls"))
     out = meta.join(counts, "path", "left")
-    # A file refused as already processed reports no URLs (they were not taken).
-    n = F.when(F.coalesce(F.col("_seen"), F.lit(False)), F.lit(0)).otherwise(F.coalesce(F.col("n_urls"), F.lit(0)))
-    error = (F.when(F.col("refused"), F.col("error"))
+    refused = F.col("error").isNotNull() & ~F.col("error").startswith(csv_records.ERR_CSV)
+    wide = csv_records.too_wide(F.col("width"), F.col("widest"))
+    error = (F.when(refused, F.col("error"))
              .when(F.col("_seen"), F.lit(ERR_SEEN))
-             .when(empty_csv, F.lit(ERR_EMPTY_CSV))
-             .when(n == 0, F.lit(ERR_NO_URLS)))
-    outcome = out.select("path", "md5", "length", n.cast("bigint").alias("n_urls"), error.alias("error"))
+             .when(F.col("error").isNotNull(), F.col("error"))
+             .when(F.col("csv") & F.col("width").isNull(), F.lit(ERR_EMPTY_CSV))
+             .when(wide.isNotNull(), wide)
+             .when(F.coalesce(F.col("n_urls"), F.lit(0)) == 0, F.lit(ERR_NO_URLS)))
+    # A refused file reports no URLs (they were not taken).
+    told = out.select("path", "md5", "length", "n_urls", error.alias("error"))
+    outcome = told.withColumn("n_urls", F.when(F.col("error").isNull(), F.col("n_urls")).otherwise(0).cast("bigint"))
     # One narrow row per file.  No count is run on this computed side: the plan
     # broadcasts it from its measured size, or splits a file that holds most URLs.
     accepted = outcome.where(F.col("error").isNull()).select("path")
-    return urls.join(accepted, "path", "left_semi"), outcome
+    return found.join(accepted, "path", "left_semi"), outcome
 
 
 def read_result_csv(spark: SparkSession, path: str, replace_header: bool = False) -> DataFrame:
