@@ -1,14 +1,12 @@
 """Ordered operators without a single-partition window.
 
 A window with ``ORDER BY`` and no ``PARTITION BY`` moves every row into one
-task.  Here the ordering key is cut into ranges once: the cut points (at most
-one per shuffle partition) are collected, and the range number of a row is a
-pure expression of its key against those literals.  It is therefore the same
-in every branch of the plan and in every retried task, whatever other columns
-the rows carry.  Each range computes its local running values, a table with
-one row per (range, run) carries the totals, and a running sum over that small
-table gives each range its starting offset.  The ordering key must be unique
-(add a tie-breaker such as an id).
+task.  Here one range exchange cuts the ordering key into ranges, and the rows are
+stored with the number of their range, so every branch of the plan and every retried
+task agrees on it, and the plan holds no cut points, however many ranges there are.
+Each range computes its local running values, a table with one row per (range, run)
+carries the totals, and a running sum over that small table gives each range its
+starting offset.  The ordering key must be unique (add a tie-breaker such as an id).
 """
 
 from __future__ import annotations
@@ -16,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 
 def _partitions(df: DataFrame, n: int | None) -> int:
     if n:
@@ -23,28 +23,17 @@ def _partitions(df: DataFrame, n: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def cut_points(df: DataFrame, keys: list[str], n: int) -> list[tuple]:
-    """At most ``n - 1`` key values that cut ``df`` into ranges of similar size:
-    the largest key of every part of one range exchange of the keys alone."""
-    part = df.select(F.struct(*keys).alias("k")).repartitionByRange(n, "k")
-    top = part.groupBy(F.spark_partition_id().alias("p")).agg(F.max("k").alias("k"))
-    return [tuple(r["k"]) for r in top.select("k").orderBy("k").collect()[:-1]]
-
-
-def range_number(df: DataFrame, keys: list[str], cuts: list[tuple]) -> Column:
-    """The number of cut points below the row's key, by binary search (nulls are
-    the smallest keys, as in Spark's ordering)."""
-    types = [df.schema[k].dataType for k in keys]
-    key = F.struct(*keys)
+# A range holds about this many rows, unless there are more ranges than shuffle partitions.
+RANGE_ROWS = 1_000_000
 
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        cut = F.struct(*[F.lit(v).cast(t).alias(k) for v, t, k in zip(cuts[mid], types, keys)])
-        return F.when(key > cut, search(mid + 1, hi)).otherwise(search(lo, mid))
 
-    return search(0, len(cuts))
+def in_ranges(df: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """``df`` stored with ``_pid``, the number of its range of ``keys`` (rising with the
+    key).  At most ``n`` ranges; a small table has one for every core."""
+    spark = df.sparkSession
+    rows = df.count()
+    n = max(1, min(n, max(-(-rows // RANGE_ROWS), spark.sparkContext.defaultParallelism)))
+    return stored(df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id()), "ranges")
 
 
 def running_totals(df: DataFrame, order_cols: list[str], sums: dict[str, Column],
@@ -60,8 +49,7 @@ def running_totals(df: DataFrame, order_cols: list[str], sums: dict[str, Column]
     r = df.withColumn("_run", run)
     for name, expr in sums.items():
         r = r.withColumn(f"_v_{name}", F.coalesce(expr.cast("long"), F.lit(0)))
-    cuts = cut_points(df, keys, _partitions(df, num_partitions))
-    r = r.withColumn("_pid", range_number(df, keys, cuts))
+    r = in_ranges(r, keys, _partitions(df, num_partitions))
     w_local = (Window.partitionBy("_pid", "_run").orderBy(*order_cols)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = r.select("*", *[F.sum(f"_v_{n}").over(w_local).alias(f"_l_{n}") for n in sums])

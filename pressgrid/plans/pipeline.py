@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, extract, html, jsonld, text
 from ..functions.urls import has_scheme, py_strip
-from ..operators.joins import salted_lookup_join
+from ..operators.joins import broadcast_if_small, salted_lookup_join
 from ..operators.urls import route
+from ..session import stored
 
 # The status domain, the failure messages, the sink columns.
 STATUS_SUCCESS = "success"
@@ -130,6 +131,17 @@ def payload_json(payload_col: str, blocks_col: str) -> F.Column:
                     F.lit("}"))
 
 
+def _wanted(open_rows: DataFrame, pages: DataFrame, url_col: str, hot_url_rows: int) -> DataFrame:
+    """Per distinct URL of ``open_rows``: whether it is stored, its lowest page id and
+    whether more than ``hot_url_rows`` rows list it.  No HTML is read for it."""
+    counts = open_rows.groupBy(url_col).agg((F.count(F.lit(1)) > hot_url_rows).alias("_hot"))
+    page_id = F.col("page_id").cast("long") if "page_id" in pages.columns else F.lit(None).cast("long")
+    ids = (pages.select(F.col(url_col).alias("_url"), page_id.alias("_id"))
+           .groupBy("_url").agg(F.min("_id").alias("_page")).withColumn("_stored", F.lit(True)))
+    return (counts.join(ids, F.col(url_col) == F.col("_url"), "left")
+            .select(url_col, "_hot", F.coalesce("_stored", F.lit(False)).alias("_stored"), "_page"))
+
+
 def process_urls(urls: DataFrame, pages: DataFrame, blocked: DataFrame,
                  extractor: Callable[[DataFrame], DataFrame] = page_metadata,
                  url_col: str = "url", pos_col: str = "pos",
@@ -141,27 +153,27 @@ def process_urls(urls: DataFrame, pages: DataFrame, blocked: DataFrame,
     no record) and ``has_record``.  A URL listed more than ``hot_url_rows``
     times is joined back salted over ``salt_buckets`` tasks.
     """
-    routed = route(urls.select(pos_col, url_col).withColumn("_valid", has_scheme(url_col)),
-                   blocked, url_col)
+    # The routed positions and, per URL to look up, its page and whether it is hot: two
+    # narrow tables, stored once, that everything else is planned from.
+    routed = stored(route(urls.select(pos_col, url_col).withColumn("_valid", has_scheme(url_col)), blocked, url_col)
+                    .select(pos_col, url_col, "_valid", "blocked"), "routed")
     wants_page = F.col("_valid") & ~F.col("blocked")
     # Only open rows need a page; the others are finished by the URL alone.
     open_rows = routed.where(wants_page).select(pos_col, url_col)
     closed = extract.with_url_metadata(routed.where(~wants_page), url_col, "_u")
-    # One pre-aggregated count per URL gives both the distinct URLs to look up
-    # and the hot URLs to salt in the join-back: at most one hot URL for every
-    # ``hot_url_rows`` rows, so that set is broadcast.
-    counts = open_rows.groupBy(url_col).agg(F.count(F.lit(1)).alias("_n"))
-    wanted = counts.select(url_col)
-    hot = F.broadcast(counts.where(F.col("_n") > hot_url_rows).select(url_col))
+    wanted = stored(_wanted(open_rows, pages, url_col, hot_url_rows), "wanted")
+    here = wanted.where("_stored").select(F.col(url_col).alias("_url"), "_page")
+    found = pages.join(here, F.col(url_col) == F.col("_url"))
     if "page_id" in pages.columns:
-        # The page is chosen on narrow rows, before any HTML is read.
-        chosen = pages.select(url_col, "page_id").join(wanted, url_col, "left_semi") \
-            .groupBy(url_col).agg(F.min("page_id").alias("page_id"))
-        found = pages.join(chosen, [url_col, "page_id"], "left_semi")
+        found = found.where(F.col("page_id").eqNullSafe(F.col("_page")))
+    meta = extractor(found.drop("_url", "_page")).select(url_col, *RECORD_FIELDS, F.lit(True).alias("_found"))
+    meta = meta.dropDuplicates([url_col])
+    hot = wanted.where("_hot").select(url_col)
+    if hot.isEmpty():
+        joined = open_rows.join(meta, url_col, "left")
     else:
-        found = pages.join(wanted, url_col, "left_semi")
-    meta = extractor(found).select(url_col, *RECORD_FIELDS, F.lit(True).alias("_found")).dropDuplicates([url_col])
-    joined = salted_lookup_join(open_rows, meta, url_col, "left", hot_url_rows, salt_buckets, pos_col, hot=hot)
+        joined = salted_lookup_join(open_rows, meta, url_col, "left", hot_url_rows, salt_buckets, pos_col,
+                                    hot=broadcast_if_small(hot))
     got = F.col("_found").isNotNull()
     paged = joined.select(
         pos_col, url_col, *RECORD_FIELDS,

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, extract, html, jsonld, llm_output, text
 from ..functions.urls import base_url, has_scheme, is_valid_url, py_strip
-from ..operators import enrich, ordering, stats
+from ..operators import enrich, joins, ordering, stats
 from ..operators import text as text_ops
 from ..operators import urls as url_ops
 from ..sources import files
@@ -251,10 +251,11 @@ def route_urls(spark, sf):
 @query
 def page_lookup(spark, sf):
     lines = url_ops.clean_lines(_lines(spark, sf), "line").select("line_no", "url")
-    pages = _pages(spark, sf).select("url", "html")
-    j = lines.join(pages, "url", "left")
-    return j.select("line_no", "url", F.col("html").isNotNull().alias("found"),
-                    F.coalesce(F.char_length("html"), F.lit(0)).cast("bigint").alias("html_chars"))
+    # Only what is asked of a page crosses the join, and a URL listed very often is salted.
+    pages = _pages(spark, sf).select("url", F.char_length("html").alias("chars"))
+    j = joins.salted_lookup_join(lines, pages, "url", "left", salt_from="line_no")
+    return j.select("line_no", "url", F.col("chars").isNotNull().alias("found"),
+                    F.coalesce("chars", F.lit(0)).cast("bigint").alias("html_chars"))
 
 
 @query

@@ -42,3 +42,17 @@ def test_empty_and_repeated_plans(spark, million):
     assert ordering.number_rows(million.limit(0), ["k"]).count() == 0
     small = million.where("k < 1000")
     assert ordering.number_rows(small, ["k"], total_col=None).where("row_no <> k + 1").count() == 0
+
+
+def test_plan_does_not_grow_with_the_partitions(spark, million):
+    def plan(partitions):
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        try:
+            out = ordering.number_rows(million, ["k"])
+            return out._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+    wide, narrow = plan(20_000), plan(8)
+    assert abs(len(wide) - len(narrow)) < 500
+    assert wide.count("Exchange hashpartitioning") <= 3 and "rangepartitioning" not in wide and wide.count("FileScan") <= 2

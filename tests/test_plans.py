@@ -7,7 +7,7 @@ from pressgrid.plans.queries import REGISTRY
 SF = "/root/testdata/sf0.001"
 # These run a job while they are built (a stream or a CSV round trip).
 RUN_WHILE_BUILT = {"stream_intake", "stream_progress", "stream_pages", "result_csv_roundtrip", "result_csv_replaced_header",
-                   "corpus_scan", "url_file_lines", "upload_files", "appended_lines"}
+                   "corpus_scan", "url_file_lines", "upload_files", "upload_csv_files", "appended_lines"}
 
 
 def _plan(spark, name):
@@ -35,3 +35,14 @@ def test_running_windows_are_partitioned(spark):
     # The per-row window is keyed by partition id and run; only the small
     # per-partition table is ever ordered without a data key.
     assert "windowspecdefinition(_pid" in row_window[0] or "windowspecdefinition(_run" in row_window[0]
+
+
+def test_result_rows_read_their_tables_once(spark):
+    plan = _plan(spark, "result_rows")
+    assert plan.count("FileScan") <= 4 and plan.count("Exchange") <= 8, plan
+
+
+def test_page_lookup_joins_lengths_not_pages(spark):
+    plan = _plan(spark, "page_lookup")
+    joins = [l for l in plan.splitlines() if "Exchange hashpartitioning" in l and "html" in l]
+    assert not joins, joins
