@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import _col, bind, collapse_ws
-from .html import html_text, unescape_entities
+from .html import ATTRS, html_text, unescape_entities
 
 UNKNOWN = "unknown"
 
@@ -31,7 +31,7 @@ HOST_PREFIXES = r"^(?:www\.|m\.|edition\.)"
 # Month abbreviations in calendar order.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
-URL_HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:@]+)"
+URL_HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?([^/?#:@]+)"
 URL_PATH = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(/[^?#]*)?"
 PAGE_EXT = r"(?i)\.(?:html?|php|aspx?)$"
 BYLINE_PATH = r"(?i)/(?:by|authors?)/([a-z]+(?:-[a-z]+)+)(?:/|$)"
@@ -148,16 +148,30 @@ def with_url_metadata(df, url_col: str = "url", out: str = "url_meta", names: di
 
 # --- X2 page fallbacks ------------------------------------------------------
 
-def meta_content(html, key: str) -> Column:
-    """``content`` of the first ``<meta name|property=key>``, either attribute order;
-    the value ends at the quote that began it, and its references are decoded."""
-    k = key.replace(".", r"\.")
-    value = r"content\s*=\s*(?:\"([^\"]*)\"|'([^']*)')"
-    a = rf"(?is)<meta\s[^>]*?(?:name|property)\s*=\s*[\"']{k}[\"'][^>]*?\s{value}"
-    b = rf"(?is)<meta\s[^>]*?{value}[^>]*?\s(?:name|property)\s*=\s*[\"']{k}[\"']"
-    s = _col(html)
-    found = F.coalesce(*[F.nullif(F.regexp_extract(s, p, g), F.lit("")) for p in (a, b) for g in (1, 2)])
-    return unescape_entities(found)
+META = rf"(?i)<meta\s{ATTRS}>"
+# One attribute with its value, which ends at the quote that began it.
+ATTRIBUTE = r"[^\s\"'>/=]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
+
+
+def page_metas(html) -> Column:
+    """array<struct<keys, content>>: the meta tags of a page that have content, with their
+    name and property in lower case; attributes in any order, quoted or not, references
+    in the content decoded."""
+    def read(tag):
+        attrs = F.transform(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(0)), lambda a: F.struct(
+            F.lower(F.regexp_extract(a, r"^([^\s=]+)", 1)).alias("name"),
+            F.regexp_replace(F.regexp_replace(a, r"^[^=]*=\s*", ""), r"^([\"'])(.*)\1$", "$2").alias("value")))
+        named = F.filter(attrs, lambda a: a["name"].isin("name", "property"))
+        content = F.get(F.filter(attrs, lambda a: a["name"] == "content"), F.lit(0))["value"]
+        return F.struct(F.transform(named, lambda a: F.lower(a["value"])).alias("keys"),
+                        F.coalesce(unescape_entities(content), F.lit("")).alias("content"))
+    return F.filter(F.transform(F.regexp_extract_all(_col(html), F.lit(META), F.lit(0)), read), lambda m: m["content"] != "")
+
+
+def meta_content(metas, key: str) -> Column:
+    """``content`` of the first meta tag (of ``page_metas``) named ``key``."""
+    hits = F.filter(_col(metas), lambda m: F.array_contains(m["keys"], key))
+    return F.get(hits, F.lit(0))["content"]
 
 
 H1_INNER = r"(?is)<h1(?:\s[^>]*)?>(.*?)</h1\s*>"
@@ -166,7 +180,7 @@ BYLINE_OPEN = (r"(?is)<(p|div|span|a|li|address)\s[^>]*?class\s*=\s*"
                r"(?:\"[^\"]*byline[^\"]*\"|'[^']*byline[^']*'|[^\s>]*byline[^\s>]*)[^>]*>")
 # A name: letters and the marks of names, at most six words, no digit.
 PERSON = r"^\p{L}[\p{L}\p{M}.'’-]*(?: [\p{L}\p{M}.'’-]+){0,5}$"
-TIME_ATTR = r"(?is)<time\s[^>]*?datetime\s*=\s*[\"']([^\"']+)[\"']"
+TIME_ATTR = r"(?is)<time\s[^>]*?datetime\s*=\s*(?:\"([^\"]+)\"|'([^']+)'|([^\s\"'>]+))"
 
 
 def first_inner_text(html, pattern: str) -> Column:
@@ -192,4 +206,4 @@ def byline_authors(html) -> Column:
 
 
 def time_datetime(html) -> Column:
-    return F.nullif(F.regexp_extract(_col(html), TIME_ATTR, 1), F.lit(""))
+    return F.coalesce(*[F.nullif(F.regexp_extract(_col(html), TIME_ATTR, g), F.lit("")) for g in (1, 2, 3)])

@@ -73,24 +73,28 @@ def _code_point(n: Column) -> Column:
     """The character of a number: 0, surrogates and what lies beyond Unicode become
     U+FFFD, the windows-1252 range stands for its characters, controls and
     non-characters are left out."""
-    ok = (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
-    char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
-    nothing = (n.between(1, 8) | (n == 11) | n.between(14, 31) | (n == 127) | n.between(0xFDD0, 0xFDEF)
-               | ((n % 65536 >= 0xFFFE) & ok))
-    return (F.when(nothing, F.lit("")).when(ok, F.translate(char, CP1252_BYTES, CP1252_SPECIALS))
-            .otherwise(F.lit("\ufffd")))
+    def body(v):
+        char = F.decode(F.unhex(F.lpad(F.hex(v), 8, "0")), "UTF-32")
+        return (F.when((v < 1) | (v > 0x10FFFF) | v.between(0xD800, 0xDFFF), "�")
+                .when(v.between(0x80, 0x9F), F.translate(char, CP1252_BYTES, CP1252_SPECIALS))
+                .when((v >= 0xFDD0) & (v.between(0xFDD0, 0xFDEF) | (v % 65536 >= 0xFFFE)), "")
+                .otherwise(F.regexp_replace(char, r"[\x01-\x08\x0b\x0e-\x1f\x7f]", "")))
+    return bind(n, body)
 
 
 def _decoded(ref: Column, names: Column) -> Column:
     body = F.substring(ref, 2, 1 << 30)
+    hex_ = body.rlike("^#[xX]")
     digits = F.regexp_extract(body, "^#[xX]?0*([0-9a-fA-F]*)", 1)
-    number = F.when(F.char_length(digits) > 8, F.lit(1 << 40)).when(
-        body.rlike("^#[xX]"), F.conv(digits, 16, 10).cast("bigint")).otherwise(F.conv(digits, 10, 10).cast("bigint"))
+    number = F.when(F.char_length(digits) > 8, str(1 << 40)).when(hex_, F.conv(digits, 16, 10)).otherwise(digits)
+
+    def named(bare):
+        known = F.try_element_at(F.try_element_at(names, F.left(bare, F.lit(1))), bare)
+        return F.concat(known, F.substr(body, F.char_length(bare) + 1))
+
     whole = F.try_element_at(F.try_element_at(names, F.left(body, F.lit(1))), body)
-    bare = F.regexp_extract(body, BARE_NAME, 0)
-    known = F.try_element_at(F.try_element_at(names, F.left(bare, F.lit(1))), bare)
-    begun = F.when(bare != "", F.concat(known, F.substr(body, F.char_length(bare) + 1)))
-    return F.when(body.startswith("#"), _code_point(F.coalesce(number, F.lit(0)))).otherwise(F.coalesce(whole, begun, ref))
+    return (F.when(body.startswith("#"), _code_point(F.coalesce(number.try_cast("bigint"), F.lit(0))))
+            .otherwise(F.coalesce(whole, bind(F.regexp_extract(body, BARE_NAME, 0), named), ref)))
 
 
 def unescape_entities(c) -> Column:

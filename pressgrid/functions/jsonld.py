@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _col, collapse_ws
+from .text import _col, collapse_ws, unescape
 from .html import paragraph_text
 
 LD_SCRIPT = (r"(?is)<script(?:\s[^>]*?)?\stype\s*=\s*"
@@ -46,8 +46,8 @@ def jsonld_blocks(c) -> Column:
 
 
 def scrub_default(c) -> Column:
-    """T3 for text without backslashes: empty for null, whitespace collapsed."""
-    return F.coalesce(collapse_ws(_col(c)), F.lit(""))
+    """Empty for null, escapes decoded, whitespace collapsed."""
+    return F.coalesce(collapse_ws(unescape(c)), F.lit(""))
 
 
 def jsonld_wrapper(html, blocks=None) -> Column:

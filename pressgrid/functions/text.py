@@ -71,6 +71,46 @@ def utf8_as_latin1(c) -> Column:
     return F.decode(F.encode(_col(c), "UTF-8"), "ISO-8859-1")
 
 
+# The escapes of one letter.
+ONE_LETTER = {"\\": "\\", "'": "'", '"': '"', "a": "\a", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t",
+              "v": "\v", "\n": ""}
+# One escape: two halves of a character, a number, a letter, or what cannot be read (a
+# cut-off sequence, a name, a backslash at the end).
+ESCAPE = (r"\\(?:u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|[0-7]{1,3}|x[0-9a-fA-F]{2}"
+          r"|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|[\\'\"abfnrtv\n]|[xuUN]|\z)")
+
+
+def _escaped(e: Column) -> Column:
+    """The character of one escape; null when there is none."""
+    body = F.substring(e, 2, 1 << 20)
+    kind = F.left(body, F.lit(1))
+    one = F.try_element_at(F.create_map(*[F.lit(x) for kv in ONE_LETTER.items() for x in kv]), body)
+    digits = F.substring(body, 2, 1 << 20)
+    code = (F.when(body.rlike("^[0-7]"), F.conv(body, 8, 10))
+            .when(kind.isin("x", "u", "U") & digits.rlike("^[0-9a-fA-F]+$"), F.conv(digits, 16, 10)).cast("bigint"))
+    high, low = (F.conv(F.substring(e, at, 4), 16, 10).cast("bigint") for at in (3, 9))
+    code = F.when(F.char_length(e) == 12, (high - 0xD800) * 1024 + (low - 0xDC00) + 0x10000).otherwise(code)
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return (F.when(one.isNotNull(), one).when(code.between(0xD800, 0xDFFF), "�")
+            .when(code <= 0x10FFFF, char))
+
+
+def unescape(c) -> Column:
+    """Every escape sequence as its character; two escapes may be the halves of one
+    character, a lone half becomes U+FFFD.  A cut-off sequence, an impossible character or
+    a named one leaves the whole text as it was; a backslash before any other character
+    is kept."""
+    def body(v):
+        chars = F.transform(F.regexp_extract_all(v, F.lit(ESCAPE), F.lit(0)), _escaped)
+
+        def joined(found):
+            parts = F.zip_with(F.split(v, ESCAPE, -1), F.concat(found, F.array(F.lit(""))),
+                               lambda p, x: F.concat(p, F.coalesce(x, F.lit(""))))
+            return F.when(F.exists(found, lambda x: x.isNull()), v).otherwise(F.array_join(parts, ""))
+        return F.when(v.contains("\\"), bind(chars, joined)).otherwise(v)
+    return bind(_col(c), body)
+
+
 def truncate(c, n: int, suffix: str) -> Column:
     """Cut to ``n`` code points and add ``suffix`` when longer."""
     s = _col(c)

@@ -12,7 +12,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from ..functions.html import table_cells
-from ..functions.text import collapse_ws, utf8_as_latin1
+from ..functions.text import ONE_LETTER, collapse_ws, unescape, utf8_as_latin1
 
 # Fixed value: an address with a port.
 ENDPOINT = r"[0-9]+(?:\.[0-9]+){3}:[0-9]+"
@@ -35,8 +35,6 @@ def table_endpoints(df: DataFrame, col: str, keys: list[str], stride: int = 8) -
     return out.where(F.col("endpoint").isNotNull())
 
 
-# The one-letter escapes.
-SIMPLE = {"\\": "\\", "'": "'", '"': '"', "a": "\a", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v", "\n": ""}
 ESCAPE = re.compile(r"""\\(?:(?P<oct>[0-7]{1,3})|x(?P<x>[0-9a-fA-F]{2})|u(?P<u>[0-9a-fA-F]{4})|U(?P<U>[0-9a-fA-F]{8})
     |N\{(?P<name>[^}]+)\}|(?P<one>[\\'"abfnrtv\n])|(?P<bad>[xuUN]|$))""", re.X)
 
@@ -47,7 +45,7 @@ def _unescape(text: str) -> str:
     other character is kept."""
     def char(m: re.Match) -> str:
         if m["one"] is not None:
-            return SIMPLE[m["one"]]
+            return ONE_LETTER[m["one"]]
         if m["name"] is not None:
             return unicodedata.lookup(m["name"])
         if m["bad"] is not None:
@@ -74,14 +72,14 @@ def _unescape_legacy_udf(s: pd.Series) -> pd.Series:
 def scrub_text(df: DataFrame, col: str, out: str = "scrubbed", legacy: bool = False) -> DataFrame:
     """Null or empty -> ''; escape sequences decoded; whitespace collapsed.
 
-    Rows without a backslash have no escape to decode and are scrubbed by native
-    expressions; the Arrow-batched Python function is given null for them, so
-    one scan does and only texts with an escape cross to Python.
+    Native expressions do it all but characters given by their Unicode name
+    (``\\N{...}``): only texts that hold one cross to the Arrow-batched Python function,
+    the others send it null, so one scan does.
     ``legacy=True`` repeats the original decoder exactly, which also reads
     UTF-8 text as Latin-1 (``—`` -> ``â\\x80\\x94``).
     """
     s = F.col(col)
-    has_bs = F.coalesce(s.contains("\\"), F.lit(False))
-    plain_text, udf = (utf8_as_latin1(s), _unescape_legacy_udf) if legacy else (s, _unescape_udf)
-    decoded = F.when(has_bs, udf(F.when(has_bs, s))).otherwise(plain_text)
+    named = F.coalesce(s.contains("\\N{"), F.lit(False))
+    text, udf = (utf8_as_latin1(s), _unescape_legacy_udf) if legacy else (s, _unescape_udf)
+    decoded = F.when(named, udf(F.when(named, s))).otherwise(unescape(text))
     return df.withColumn(out, F.coalesce(collapse_ws(decoded), F.lit("")))

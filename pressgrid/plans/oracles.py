@@ -644,3 +644,11 @@ u AS (SELECT DISTINCT r.file_id, CASE WHEN kind = 1 THEN url ELSE ' ' || url END
 SELECT o.file_id, CAST(coalesce(n, 0) AS BIGINT) AS n_urls, error, url
 FROM o LEFT JOIN u USING (file_id) LEFT JOIN (SELECT file_id, count(*) AS n FROM u GROUP BY 1) c USING (file_id)
 """
+
+# The characters that the escapes stand for; the cut-off one stays as it is.
+_TAILS = ("chr(10)", "chr(9) || '|' || chr(11) || '|' || chr(12)", """chr(39) || 'q"'""", "'Az'", "chr(233) || chr(8212)",
+          "chr(128512)", "'A0'", "chr(128512)", "chr(92) || 'n'", "chr(92) || 'q' || chr(92) || '8'", "chr(92) || 'u12'",
+          "'x' || chr(65533) || '!'")
+ORACLES["scrub_escapes"] = "SELECT doc_id, coalesce(" + S.collapse(
+    "text || ' ' || CASE doc_id % 12 " + " ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(_TAILS)) + " END") + \
+    ", '') AS scrubbed FROM documents"

@@ -391,6 +391,20 @@ def scrub_text(spark, sf):
     return text_ops.scrub_text(_docs(spark, sf), "text").select("doc_id", "scrubbed")
 
 
+# What follows a document's text by ``doc_id % 12``, one kind of escape each.
+ESCAPES = (r"\n", r"\t|\v|\f", r"\'q\"", r"\x41\x7a", r"\u00e9\u2014", r"\U0001F600", r"\101\60", r"\ud83d\ude00",
+           r"\\n", r"\q\8", r"\u12", r"x\ud83d!")
+
+
+@query
+def scrub_escapes(spark, sf):
+    """T3 on texts with escapes of every kind, a cut-off one and a lone half."""
+    d = _docs(spark, sf)
+    tail = F.get(F.array(*[F.lit(e) for e in ESCAPES]), (F.col("doc_id") % len(ESCAPES)).cast("int"))
+    return text_ops.scrub_text(d.select("doc_id", F.concat("text", F.lit(" "), tail).alias("text")), "text") \
+        .select("doc_id", "scrubbed")
+
+
 @query
 def scrub_text_legacy(spark, sf):
     """T4: the original decoder's behaviour (UTF-8 bytes read as Latin-1)."""

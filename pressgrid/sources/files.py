@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ..functions.text import CP1252_BYTES, CP1252_SPECIALS, CSV_TEXT_LIMIT
+from ..functions import charsets
+from ..functions.text import CSV_TEXT_LIMIT
 from ..operators.joins import broadcast_if_small
 from ..functions.urls import is_valid_url, py_strip
 from ..operators.urls import clean_lines
@@ -260,23 +261,30 @@ def _rx_escape(s: str) -> str:
 
 
 def page_text(content) -> F.Column:
-    """SRC11: page bytes to text: byte-order mark (UTF-8 or UTF-16), then a charset
-    declared anywhere in the page (UTF-8 or the Latin-1 family), then UTF-8 when
-    valid, else windows-1252, which browsers use for all of Latin-1."""
+    """SRC11: page bytes to text: byte-order mark (UTF-8 or UTF-16), UTF-16 without a
+    mark, then the character set declared anywhere in the page (module ``charsets``),
+    then UTF-8 when valid, else windows-1252, which browsers use for all of Latin-1.  A
+    page that declares UTF-8 but is not is read as windows-1252 too."""
+    def read(b):
+        def decoded(latin):
+            bom16 = F.hex(F.substring(b, 1, 2)).isin("FFFE", "FEFF")
+            bom8 = F.hex(F.substring(b, 1, 3)) == "EFBBBF"
+            as_utf8 = b.cast("string")
+            order = charsets.unmarked_utf16(b)
+            return (F.when(bom8, F.substring(as_utf8, 2, 1 << 30))
+                    .when(bom16, F.decode(b, "UTF-16"))
+                    .when(order == "UTF-16LE", F.decode(b, "UTF-16LE"))
+                    .when(order == "UTF-16BE", F.decode(b, "UTF-16BE"))
+                    .when(stated.isNotNull(), stated)
+                    .when(F.is_valid_utf8(as_utf8), as_utf8)
+                    .otherwise(charsets.single_byte(latin, "cp1252")))
+        return decoded(F.decode(b, "ISO-8859-1"))
+
     c = F.col(content) if isinstance(content, str) else content
-    as_latin = F.decode(c, "ISO-8859-1")
-    as_1252 = F.translate(as_latin, CP1252_BYTES, CP1252_SPECIALS)
-    head = F.lower(as_latin)
-    bom16 = F.hex(F.substring(c, 1, 2)).isin("FFFE", "FEFF")
-    declared = F.regexp_extract(head, r"<meta[^>]+charset\s*=\s*[\"']?([a-z0-9_-]+)", 1)
-    bom8 = F.hex(F.substring(c, 1, 3)) == "EFBBBF"
-    as_utf8 = c.cast("string")
-    latin = declared.isin("iso-8859-1", "latin-1", "latin1", "windows-1252", "cp1252", "us-ascii")
-    return (F.when(bom8, F.substring(as_utf8, 2, 1 << 30))
-            .when(bom16, F.decode(c, "UTF-16"))
-            .when(latin, as_1252)
-            .when(F.is_valid_utf8(as_utf8), as_utf8)
-            .otherwise(as_1252))
+    latin = F.decode(c, "ISO-8859-1")
+    label = F.regexp_extract(F.lower(latin), r"<(?:meta[^>]+charset|\?xml[^>]+encoding)\s*=\s*[\"']?([a-z0-9_:.-]+)", 1)
+    stated = charsets.declared_text(c, latin, label)
+    return read(c)
 
 
 def write_page_store(pages: DataFrame, table: str, buckets: int, url_col: str = "url",

@@ -150,3 +150,19 @@ def test_page_charsets(spark):
             (bytearray(b" " * 5000 + b"<meta charset=windows-1252>" + b"\x96\xe9"),)]
     got = [r[0] for r in spark.createDataFrame(rows, "b binary").select(files.page_text("b")).collect()]
     assert got[:2] == ["“quoted” €", "Größe — 日本"] and got[2].endswith("–é")
+
+
+def test_declared_charsets_round_trip(spark):
+    texts = {"windows-1251": "Привет, мир — «да»", "koi8-r": "Привет", "iso-8859-2": "Zażółć gęślą jaźń", "iso-8859-15": "10 € Œuvre",
+             "ISO-8859-7": "Γειά σου", "macintosh": "café “x”", "windows-1256": "مرحبا", "cp866": "Привет",
+             "Shift_JIS": "日本語テスト①", "EUC-JP": "日本語", "iso-2022-jp": "日本語", "gbk": "中文编码€", "gb2312": "中文", "big5": "中文編碼",
+             "euc-kr": "한국어", "iso-8859-9": "ğüşıöç", "utf-8": "naïve 日本", "made-up": "plain é"}
+    codecs = {"windows-1251": "cp1251", "Shift_JIS": "cp932", "gbk": "gb18030", "euc-kr": "cp949", "made-up": "utf-8",
+              "macintosh": "mac_roman", "windows-1256": "cp1256"}
+    rows = [(f'<html><meta charset="{k}"><p>{t}', k, (f'<html><meta charset="{k}"><p>{t}').encode(codecs.get(k, k))) for k, t in texts.items()]
+    rows += [("<html>Größe 日本", "le", "<html>Größe 日本".encode("utf-16-le")), ("<html>Größe 日本", "be", "<html>Größe 日本".encode("utf-16-be")),
+             ('<?xml version="1.0" encoding="koi8-r"?>мир', "xml", '<?xml version="1.0" encoding="koi8-r"?>мир'.encode("koi8-r")),
+             ("\x81 <meta charset=windows-1252>\x8d", "undefined", b"\x81 <meta charset=windows-1252>\x8d"), (None, "null", None)]
+    df = spark.createDataFrame([(a, b, None if c is None else bytearray(c)) for a, b, c in rows], "want string, k string, b binary")
+    got = {r.k: (r.t, r.want) for r in df.select("k", "want", files.page_text("b").alias("t")).collect()}
+    assert {k: v for k, v in got.items() if v[0] != v[1]} == {}
