@@ -3,16 +3,15 @@
 A-Z is lower-cased and words are the runs ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``
 of documents and benchmark items.  A window is ``n`` consecutive words of an
 item; an item with fewer words, but not none, is one window of its own length.
-The distinct windows, keyed by a 64-bit hash, are a lookup whose row count is
-checked before it is broadcast (a shuffle join on the hash beyond it).  Every
-window of every document is hashed and probed in one pass without a shuffle;
+The distinct windows, keyed by a 64-bit hash, are a lookup that is broadcast in parts
+of bounded size, one scan each.  Every window of every document is hashed and probed
+without a shuffle;
 each hash hit is verified word by word, and only verified hits are grouped.
 
 Cases: null and empty texts have no words and are never contaminated; items
 without words have no window; repeated items keep their own ids; an item id of
 null is no item; an empty benchmark contaminates nothing; an empty table gives
-an empty result; repeated or null document ids are kept apart per row where
-documents are returned and counted together per id in ``hits_by_document``.
+an empty result; repeated or null document ids give a row each, of its own text.
 """
 
 from __future__ import annotations
@@ -86,26 +85,39 @@ def window_hits(docs: DataFrame, windows: DataFrame, key: str, text_col: str = "
     """(key, n_words, pos, len, win) for every verified window hit, pos from 1,
     plus one row per document with null pos that carries its word count.
 
-    ``windows`` holds distinct (h, len, win).  One scan, no shuffle while the
-    lookup is broadcast."""
+    ``windows`` holds distinct (h, len, win).  They are broadcast in parts of about
+    ``BROADCAST_WINDOWS``, each probed in a scan of its own: no text is shuffled, however
+    many windows there are."""
     sizes = windows.agg(F.count(F.lit(1)).alias("n"), F.collect_set("len").alias("lens")).first()
     lens = sorted(set(sizes["lens"]) - {n}) + [n]  # at most n numbers
-    look = windows.select(F.col("h").alias("_h"), F.col("len").alias("_wl"), "win")
-    look = F.broadcast(look) if sizes["n"] <= BROADCAST_WINDOWS else look
+    passes = max(1, -(-sizes["n"] // BROADCAST_WINDOWS))
     rows = docs.select(F.col(key), words(text_col).alias("w")).withColumn("n_words", F.size("w"))
     rows, cols = _with_windows(rows, "w", lens)
+    out = None
+    for turn in range(passes):
+        look = windows.where(F.pmod(F.xxhash64("h"), F.lit(passes)) == turn) if passes > 1 else windows
+        look = F.broadcast(look.select(F.col("h").alias("_h"), F.col("len").alias("_wl"), "win"))
+        found = _probed(rows, cols, lens, look, key, n, turn == 0)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _probed(rows: DataFrame, cols: dict, lens: list[int], look: DataFrame, key: str, n: int, own_row: bool) -> DataFrame:
+    """The hits of one broadcast part of the windows; with ``own_row`` also the row of
+    each document itself."""
     # Element 0 of the exploded array stands for the document itself.
     parts = []
     for ln in lens:
-        first = F.array(F.lit(None).cast("bigint")) if ln == n else F.array().cast("array<bigint>")
+        own_row_here = own_row and ln == n
+        first = F.array(F.lit(None).cast("bigint")) if own_row_here else F.array().cast("array<bigint>")
         p = rows.select(key, "n_words", "w", F.posexplode(F.concat(first, F.col(cols[ln]))).alias("pos", "h"))
-        if ln != n:
+        if not own_row_here:
             p = p.withColumn("pos", F.col("pos") + 1)
         p = p.join(look, (F.col("h") == F.col("_h")) & (F.col("_wl") == ln), "left")
         same = F.array_join(F.slice("w", F.col("pos"), ln), " ") == F.col("win")
         own = F.col("h").isNull()
         p = p.where(own | (F.col("win").isNotNull() & (F.col("pos") > 0)))
-        p = p.where(F.when(own, F.lit(ln == n)).otherwise(same))
+        p = p.where(F.when(own, F.lit(own_row_here)).otherwise(same))
         parts.append(p.select(key, "n_words", F.when(~own, F.col("pos")).alias("pos"),
                               F.when(~own, F.lit(ln)).alias("len"), "win"))
     out = parts[0]
@@ -123,25 +135,31 @@ def _covered(spans: str) -> Column:
 
 def hits_by_document(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, id_col: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
-    """Per document id: n_words, n_hit, n_items, items_sha256, contaminated, spans.
+    """Per document: n_words, n_hit, n_items, items_sha256, contaminated, spans.
 
     ``spans`` are the hit (pos, len) windows in order.  The spans of one
     document are bounded by its own words; the items by the benchmark."""
     win = stored(benchmark_windows(benchmark, n, text_col=text_col), "bench-windows")
-    hits = window_hits(docs.select(F.col(id_col), F.col(text_col).alias("_t")),
-                       win.select("h", "len", "win").distinct(), id_col, "_t", n)
-    per = hits.groupBy(id_col).agg(
+    # A row is told by its id and text; rows equal in both have equal results and count
+    # as one until the end.
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    row = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("x"), F.octet_length(text).alias("n"))
+    hits = window_hits(docs.select(row.alias("_row"), F.col(text_col).alias("_t")),
+                       win.select("h", "len", "win").distinct(), "_row", "_t", n)
+    per = hits.groupBy("_row").agg(
         F.max("n_words").cast("long").alias("n_words"),
+        F.count_if(F.col("pos").isNull()).alias("copies"),
         F.sort_array(F.collect_set(F.when(F.col("pos").isNotNull(), F.struct("pos", "len")))).alias("spans"),
         F.collect_set("win").alias("wins"))
     per = stored(per, "hits")
-    items = per.where(F.size("wins") > 0).select(id_col, F.explode("wins").alias("win")) \
-        .join(win.select("win", "item").distinct(), "win").groupBy(id_col) \
+    items = per.where(F.size("wins") > 0).select("_row", F.explode("wins").alias("win")) \
+        .join(win.select("win", "item").distinct(), "win").groupBy("_row") \
         .agg(F.sort_array(F.collect_set("item")).alias("items"))
     none = F.array().cast("array<string>")
-    out = per.join(items.withColumnRenamed(id_col, "_id"), F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    out = per.join(items.withColumnRenamed("_row", "_same"), F.col("_row").eqNullSafe(F.col("_same")), "left")
     out = out.withColumn("items", F.coalesce("items", none)).withColumn("n_hit", _covered("spans"))
-    return out.select(id_col, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return out.select(F.col("_row.id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
                       (F.col("n_hit") > 0).alias("contaminated"), "spans")
 

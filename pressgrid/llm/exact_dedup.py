@@ -11,7 +11,8 @@ and pass straight through; only the others are grouped by their full SHA-256,
 and only groups of two or more become part of the lookup that marks copies.
 
 Cases: null and empty texts form one group; rows that repeat the smallest
-``doc_id`` of their group are all marked kept (they are the same document); a
+``doc_id`` of their group are all marked kept (they are the same document), and
+``drop_duplicates`` keeps one of them; a
 null ``doc_id`` is never the smallest unless the whole group has none; an
 empty table gives an empty result; extra columns pass through.
 """
@@ -31,6 +32,8 @@ MAX_BITS_LOG2 = 36
 # At most this many rows of the filter (64 bits each) or of the group table
 # (about 100 bytes each) are broadcast.
 BROADCAST_ROWS = 500_000
+# log2 of the largest filter of rows to drop: 64 bits a word, 8 MB.
+DROP_BITS = 25
 # A text repeated at least this often is salted in a shuffle join.
 HOT_ROWS = 100_000
 SALTS = 64
@@ -130,12 +133,51 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return Duplicates(keys).mark(keys)
 
 
+def without_copies(docs: DataFrame, key, gone: DataFrame, again: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows named in ``gone`` and with one row of each named in
+    ``again``; both hold distinct (i, x): an id and the value of ``key`` over ``in.*``.
+
+    Both sets are broadcast while their size is proven small.  Beyond it a Bloom filter
+    of at most ``DROP_BITS`` bits, which is broadcast whatever the size, tells in the scan
+    which rows may be named, and only those are shuffled with their text."""
+    own = F.col(f"in.{id_col}").cast(gone.schema["i"].dataType)
+    rows = packed(docs).select("in", own.alias("id"), key.alias("x"))
+    same = F.col("id").eqNullSafe(F.col("i")) & (F.col("x") == F.col("x_"))
+    gone, again = (d.select("i", F.col("x").alias("x_")) for d in (gone, again))
+    named = broadcast_if_small(gone, BROADCAST_ROWS), broadcast_if_small(again, BROADCAST_ROWS)
+    passed = None
+    if named[0] is gone or named[1] is again:
+        words, bits = _named_filter(gone.unionByName(again))
+        rows = _flagged(rows.withColumn("k", F.xxhash64("id", "x")), "k", F.broadcast(words), bits, "maybe")
+        passed, rows = rows.where(~F.col("maybe")).select("in"), rows.where("maybe").drop("maybe", "k")
+    rows = rows.join(named[0], same, "left_anti")
+    if again.isEmpty():
+        out = rows.select("in")
+    else:
+        # Copies of a row meet map-side before one of them is shuffled.
+        once = rows.join(named[1], same, "left_semi").dropDuplicates(["id", "x"])
+        out = rows.join(named[1], same, "left_anti").select("in").unionByName(once.select("in"))
+    return (out if passed is None else out.unionByName(passed)).select("in.*")
+
+
+def _named_filter(named: DataFrame) -> tuple[DataFrame, int]:
+    """A Bloom filter (word, bits64) of (i, x_) rows, and its bits."""
+    n = named.count()
+    bits = 1 << min(DROP_BITS, max(10, (BITS_PER_ROW * n).bit_length()))
+    p = named.select(F.explode(F.array(*_positions(F.xxhash64("i", "x_"), bits))).alias("p"))
+    bit = F.expr("shiftleft(1L, cast(p & 63 as int))")
+    return stored(p.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(bit).alias("bits64")), "named"), bits
+
+
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group of equal texts, columns unchanged.
+    """``docs`` with one document of each group of equal texts, columns unchanged; of
+    rows that repeat the smallest id of their group (or all have none) one stays.
 
-    The text never shuffles unless the group lookup is too large to broadcast,
-    and then only that of possibly repeated rows."""
+    Groups are found on stored (id, hash) rows.  A text shuffles only when its row is
+    repeated, or may be to drop while those are too many to broadcast."""
     keys = stored(docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("text_sha256")), "keys")
-    rows = packed(docs).select("in", F.col(f"in.{id_col}").alias("doc_id"),
-                               text_key(F.col(f"in.{text_col}")).alias("text_sha256"))
-    return Duplicates(keys).mark(rows).where("kept").select("in.*")
+    marked = Duplicates(keys).mark(keys).where("group_size > 1")
+    named = stored(marked.groupBy(F.col("doc_id").alias("i"), F.col("text_sha256").alias("x"))
+                   .agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "copies")
+    return without_copies(docs, text_key(F.col(f"in.{text_col}")), named.where("not kept"),
+                          named.where("kept and n > 1"), id_col)

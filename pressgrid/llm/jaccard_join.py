@@ -44,7 +44,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import broadcast_if_small
-from .common import packed, small_batches, stored, tidy
+from .common import small_batches, stored, tidy
+from .exact_dedup import without_copies
 
 WORDS = 5
 PERCENT = 75
@@ -518,7 +519,8 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
     for _ in range(rounds):
         mark = tuple(e.agg(F.count(F.lit(1)), F.expr("sum(cast(pmod(xxhash64(u, v), 1000000007) as decimal(38,0)))")).first())
         if mark == last or not mark[0]:
-            break
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root")) \
+                .unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
         last = mark
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -527,8 +529,7 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")) \
-        .unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+    raise RuntimeError(f"components still change after {rounds} rounds")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy_docs: int = HEAVY,
@@ -555,11 +556,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the document of the smallest id of every component, columns
-    unchanged; the dropped ids are broadcast while their number is proven small."""
+    unchanged, and one of rows that repeat its id and text; the dropped ids are broadcast
+    while their number is proven small."""
     found = similar_documents(docs, id_col, text_col)
-    gone = stored(found.where(~F.col("component_id").eqNullSafe(F.col("doc_id")))
-                  .select(F.col("doc_id").alias("_i"), F.col("x").alias("_x")).distinct(), "similar")
-    rows = packed(docs).withColumns({"id": F.col(f"in.{id_col}").cast("long"),
-                                     "x": F.xxhash64(F.coalesce(F.col(f"in.{text_col}"), F.lit("")))})
-    return rows.join(broadcast_if_small(gone, BROADCAST_ROWS),
-                     F.col("id").eqNullSafe(F.col("_i")) & (F.col("x") == F.col("_x")), "left_anti").select("in.*")
+    named = stored(found.groupBy(F.col("doc_id").alias("i"), "x")
+                   .agg(F.max(F.col("component_id").eqNullSafe(F.col("doc_id"))).alias("kept"),
+                        F.count(F.lit(1)).alias("n")).where("not kept or n > 1"), "similar")
+    text = F.xxhash64(F.coalesce(F.col(f"in.{text_col}"), F.lit("")))
+    return without_copies(docs, text, named.where("not kept"), named.where("kept"), id_col)

@@ -31,7 +31,7 @@ def expected(docs, items, n):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("n, limit", [(10, 250_000), (3, 250_000), (3, 0)])
+@pytest.mark.parametrize("n, limit", [(10, 250_000), (3, 250_000), (3, 20)])
 def test_hits_equal_brute_force(spark, monkeypatch, n, limit):
     monkeypatch.setattr(D, "BROADCAST_WINDOWS", limit)
     r = random.Random(n)
@@ -44,6 +44,8 @@ def test_hits_equal_brute_force(spark, monkeypatch, n, limit):
     items = [(i, text(r.randrange(0, 14))) for i in range(12)] + [(3, text(12)), (None, text(12)), (99, None)]
     docs = [(i, text(r.randrange(0, 30)) + (r.choice(items)[1] or "") + text(r.randrange(8))) for i in range(120)]
     docs += [(500, None), (501, ""), (502, "!!!")]
+    # Repeated ids: equal rows, and rows of other texts.
+    docs += [docs[7], docs[7], (7, docs[8][1]), (None, docs[9][1]), (None, docs[9][1]), (None, "x y")]
     b = spark.createDataFrame(items, "item_id long, text string")
     d = spark.createDataFrame(docs, "doc_id long, text string")
     cols = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
