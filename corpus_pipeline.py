@@ -5,11 +5,13 @@ every result as Parquet in the shared folder and reads it back as the next
 stage's docs, so a lost executor costs at most the stage it was working on.
 
 1. ``language_id`` drops documents without a language: no letter at all, or
-   ambiguous between codewords with a score under ``MIN_SCORE``.
+   ambiguous between codewords (by the calibrated gap) with a score little above that of
+   a guess among the learned languages.
 2. ``exact_dedup`` keeps the smallest id of each group of equal texts.
 3. ``jaccard_join`` keeps the smallest id of each component of similar texts.
 4. ``decontaminate`` drops documents that hold a window of a benchmark item.
-5. ``sentencepiece`` adds the ids of every remaining document.
+5. ``sentencepiece`` adds the ids of every remaining document, decodes them and says
+   whether the text came back.
 
 Cases: null and empty texts have no letter and go in the first stage; empty tables
 and extra columns pass through every stage; repeated rows are copies of each
@@ -25,8 +27,8 @@ from pressgrid.llm import decontaminate, exact_dedup, jaccard_join, language_id,
 from pressgrid.llm.common import free_name, load, stored
 from pressgrid.llm.queries import vocabulary
 
-# Four languages share the score, so a guess has 0.25.
-MIN_SCORE = 0.3
+# Times the score of a guess that an ambiguous document needs.
+OVER_GUESS = 1.2
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +36,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     names = tuple(free_name(docs, f"_{n}") for n in ("lang_pred", "score", "ambiguous"))
     lang, score, unsure = (F.col(n) for n in names)
     told = language_id.predict(docs, model, names=names)
-    return told.where((lang != language_id.UNKNOWN) & ~(unsure & (score < MIN_SCORE))).drop(*names)
+    least = OVER_GUESS / max(len(model.languages), 2)
+    return told.where((lang != language_id.UNKNOWN) & ~(unsure & (score < least))).drop(*names)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +53,11 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = pieces.encode(docs, vocabulary("piece_bpe_32k.model"))
-    return out.withColumn("n_pieces", (F.octet_length("pieces") / 4).cast("long"))
+    path = vocabulary("piece_bpe_32k.model")
+    out = pieces.decode(pieces.encode(docs, path), path, out="_decoded")
+    return out.select(*[c for c in out.columns if c != "_decoded"],
+                      (F.octet_length("pieces") / 4).cast("long").alias("n_pieces"),
+                      (F.col("_decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
 STAGES = [
