@@ -40,8 +40,8 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(load(spark, sf_dir, "documents", "doc_id", "text"),
-                                       with_bytes=False).drop("spans")
+    out = suffix_dedup.remove_repeats(load(spark, sf_dir, "documents", "doc_id", "text"), with_bytes=False)
+    return out.drop("spans").withColumn("kept_bytes", F.col("n_bytes") - F.col("n_removed"))
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
