@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _col, bind
+from .text import _col, bind, built_once
 
 # The zone results are given in, and the output layouts.
 EASTERN = "America/New_York"
@@ -111,6 +111,7 @@ def to_eastern(c) -> Column:
     return bind(F.trim(_col(c)), lambda s: bind(_parts(s), lambda p: bind(_read(p), shown)))
 
 
+@built_once
 def to_date_style(c, style: str = "date") -> Column:
     """Date as the sink wants it: ``'date'`` -> ``yyyy-MM-dd``, ``'et_datetime'`` -> D3."""
     et = to_eastern(c)

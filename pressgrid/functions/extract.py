@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _col, bind, collapse_ws
+from .text import _col, bind, built_once, collapse_ws
 from .html import ATTRS, html_text, unescape_entities
 
 UNKNOWN = "unknown"
@@ -153,6 +153,7 @@ META = rf"(?i)<meta\s{ATTRS}>"
 ATTRIBUTE = r"[^\s\"'>/=]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
 
 
+@built_once
 def page_metas(html) -> Column:
     """array<struct<keys, content>>: the meta tags of a page that have content, with their
     name and property in lower case; attributes in any order, quoted or not, references
@@ -168,6 +169,7 @@ def page_metas(html) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(_col(html), F.lit(META), F.lit(0)), read), lambda m: m["content"] != "")
 
 
+@built_once
 def meta_content(metas, key: str) -> Column:
     """``content`` of the first meta tag (of ``page_metas``) named ``key``."""
     hits = F.filter(_col(metas), lambda m: F.array_contains(m["keys"], key))
@@ -183,11 +185,13 @@ PERSON = r"^\p{L}[\p{L}\p{M}.'’-]*(?: [\p{L}\p{M}.'’-]+){0,5}$"
 TIME_ATTR = r"(?is)<time\s[^>]*?datetime\s*=\s*(?:\"([^\"]+)\"|'([^']+)'|([^\s\"'>]+))"
 
 
+@built_once
 def first_inner_text(html, pattern: str) -> Column:
     t = html_text(F.regexp_extract(_col(html), pattern, 1))
     return F.nullif(t, F.lit(""))
 
 
+@built_once
 def byline_authors(html) -> Column:
     """Names in the visible by-lines, each once: 'By A, B and C' -> 'A, B, C'.
 
@@ -205,5 +209,6 @@ def byline_authors(html) -> Column:
     return bind(_col(html), body)
 
 
+@built_once
 def time_datetime(html) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(_col(html), TIME_ATTR, g), F.lit("")) for g in (1, 2, 3)])

@@ -23,7 +23,7 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import CP1252_BYTES, CP1252_SPECIALS, WS_CLASS, _col, bind, collapse_ws
+from .text import CP1252_BYTES, CP1252_SPECIALS, WS_CLASS, _col, bind, built_once, collapse_ws
 
 # Elements removed before the text is taken (script and style go
 # in the first pass with comments), in removal order.
@@ -171,6 +171,7 @@ def _step(a: Column, x: Column) -> Column:
     return bind(up, sized)
 
 
+@built_once
 def page_parts(c) -> Column:
     """array<struct<text, mark, dropped, before, after>>: the page in order, each text
     with the mark after it ('' at the end) and the places before and after that mark."""
@@ -227,11 +228,13 @@ def _markup(parts: Column, bit, replacement: str) -> Column:
     return F.array_join(F.transform(parts, piece), "")
 
 
+@built_once
 def stripped_markup(parts, replacement: str = " ") -> Column:
     """H1 of a page's parts."""
     return _markup(_col(parts), F.lit(KEPT), replacement)
 
 
+@built_once
 def main_text(parts) -> Column:
     """H1 -> H2 -> H3 of a page's parts: the main text as one line."""
     parts = _col(parts)
@@ -282,6 +285,7 @@ def node_text_glued(c) -> Column:
     return F.regexp_replace(unescape_entities(s), f"^{WS_CLASS}+|{WS_CLASS}+$", "")
 
 
+@built_once
 def paragraph_text(c, sep: str = "") -> Column:
     """H6 (before scrubbing): every paragraph's glued text, joined with one space.
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _col, collapse_ws, unescape
+from .text import _col, built_once, collapse_ws, unescape
 from .html import paragraph_text
 
 LD_SCRIPT = (r"(?is)<script(?:\s[^>]*?)?\stype\s*=\s*"
@@ -39,6 +39,7 @@ def strict_json(c) -> Column:
     return F.coalesce((n == 1) & keyed.isNotNull(), F.lit(False))
 
 
+@built_once
 def jsonld_blocks(c) -> Column:
     """H4: text of every ``application/ld+json`` script that parses, in page order."""
     blocks = F.regexp_extract_all(_col(c), F.lit(LD_SCRIPT), 1)

@@ -7,6 +7,9 @@ Structured Streaming.
 
 from __future__ import annotations
 
+import functools
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +40,25 @@ def bind(c: Column, body) -> Column:
     return F.get(F.transform(F.array(c), body), F.lit(0))
 
 
+_BUILT: dict = {}
+
+
+def built_once(fn):
+    """``fn`` for column functions: what is asked for by column names is built once a
+    process.  A column is an immutable description, and a large one takes thousands of
+    calls to the JVM to write down."""
+    @functools.wraps(fn)
+    def wrapper(*args, **named):
+        values = (*args, *named.values())
+        if not all(isinstance(v, (str, int, bool, type(None))) for v in values):
+            return fn(*args, **named)
+        key = (fn, args, tuple(sorted(named.items())), id(SparkContext._gateway))
+        if key not in _BUILT:
+            _BUILT[key] = fn(*args, **named)
+        return _BUILT[key]
+    return wrapper
+
+
 def collapse_ws(c) -> Column:
     """Every whitespace run (Python's definition) becomes one space, then strip."""
     return F.trim(F.regexp_replace(_col(c), WS_RUN, " "))

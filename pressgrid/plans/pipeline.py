@@ -64,23 +64,23 @@ def page_metadata(pages: DataFrame, date_style: str = "date", html_col: str = "h
     # A headline often stands in the header that the text leaves out.
     p = (p.withColumn("_page", html.drop_comments_scripts(html_col))
          .withColumn("_metas", extract.page_metas(html_col)))
-    h = F.col(html_col)
     title = F.coalesce(F.col("_ld.title"), extract.meta_content("_metas", "og:title"),
                        extract.first_inner_text("_page", extract.H1_INNER),
-                       extract.first_inner_text(h, extract.TITLE_INNER))
+                       extract.first_inner_text(html_col, extract.TITLE_INNER))
     authors = F.coalesce(F.col("_ld.authors"), extract.meta_content("_metas", "author"),
                          extract.byline_authors("_page"))
     source = F.coalesce(F.col("_ld.source"), extract.meta_content("_metas", "og:site_name"),
                         extract.source_from_host(extract.url_host(url_col)))
     published = F.coalesce(F.col("_ld.published"), extract.meta_content("_metas", "article:published_time"),
-                           extract.time_datetime(h))
+                           extract.time_datetime(html_col))
     modified = F.coalesce(F.col("_ld.modified"), extract.meta_content("_metas", "article:modified_time"))
-    p = (p.withColumn("title", title).withColumn("authors", authors).withColumn("source", source)
-         .withColumn("published_date", dates.to_date_style(published, date_style))
+    p = (p.withColumns({"title": title, "authors": authors, "source": source,
+                        "_published": published, "_modified": modified})
+         .withColumn("published_date", dates.to_date_style("_published", date_style))
          .withColumn("modified_date", dates.modified_or_published(
-             dates.to_date_style(modified, date_style), "published_date"))
+             dates.to_date_style("_modified", date_style), "published_date"))
          .withColumn("article_text", F.col("content")))
-    return p.drop("_ld", "_parts", "_cands", "_page", "_metas")
+    return p.drop("_ld", "_parts", "_cands", "_page", "_metas", "_published", "_modified")
 
 
 def build_payload(pages: DataFrame, html_col: str = "html", url_col: str = "url",
