@@ -301,6 +301,11 @@ def paragraph_text(c, sep: str = "") -> Column:
 TD_CELL = r"(?is)<td(?:\s[^>]*)?>(.*?)</td\s*>"
 
 
+def raw_cells(c) -> Column:
+    """The markup inside every ``td`` cell of a fragment, in document order."""
+    return F.regexp_extract_all(_col(c), F.lit(TD_CELL), 1)
+
+
 def table_cells(c) -> Column:
     """All ``td`` cells of a fragment, as stripped text, in document order."""
-    return F.transform(F.regexp_extract_all(_col(c), F.lit(TD_CELL), 1), lambda x: html_text(x))
+    return F.transform(raw_cells(c), lambda x: html_text(x))

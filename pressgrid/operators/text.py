@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from ..functions.html import table_cells
-from ..functions.text import ONE_LETTER, collapse_ws, unescape, utf8_as_latin1
+from ..functions.html import html_text, raw_cells
+from ..functions.text import ONE_LETTER, bind, collapse_ws, unescape, utf8_as_latin1
 
 # Fixed value: an address with a port.
 ENDPOINT = r"[0-9]+(?:\.[0-9]+){3}:[0-9]+"
@@ -26,13 +26,18 @@ def extract_endpoints(df: DataFrame, col: str, keys: list[str]) -> DataFrame:
 
 def table_endpoints(df: DataFrame, col: str, keys: list[str], stride: int = 8) -> DataFrame:
     """H8: table cells read ``stride`` at a time; cells 0 and 1 of each group
-    make ``ip:port``.  One row per pair, with its position."""
-    cells = table_cells(col)
-    ips = F.filter(cells, lambda x, i: i % stride == 0)
-    ports = F.filter(cells, lambda x, i: i % stride == 1)
-    pairs = F.zip_with(ips, ports, lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(":"), b)))
-    out = df.select(*keys, F.posexplode(pairs).alias("pos", "endpoint"))
-    return out.where(F.col("endpoint").isNotNull())
+    make ``ip:port``.  One row per pair, with its position.
+
+    The raw cells are found once and numbered, the row is spread over its groups, and
+    only then are the two cells of a group turned into text: ``posexplode`` of the
+    finished text would make Spark build it again to leave out rows without one."""
+    def group(cells):
+        n = F.floor((F.size(cells) + stride - 2) / stride).cast("int")    # groups with a second cell
+        return F.transform(F.filter(F.sequence(F.lit(0), n), lambda k: k < n),
+                           lambda k: F.struct(F.get(cells, k * stride).alias("a"), F.get(cells, k * stride + 1).alias("b")))
+
+    out = df.select(*keys, F.posexplode(bind(raw_cells(col), group)).alias("pos", "_cells"))
+    return out.select(*keys, "pos", F.concat(html_text("_cells.a"), F.lit(":"), html_text("_cells.b")).alias("endpoint"))
 
 
 ESCAPE = re.compile(r"""\\(?:(?P<oct>[0-7]{1,3})|x(?P<x>[0-9a-fA-F]{2})|u(?P<u>[0-9a-fA-F]{4})|U(?P<U>[0-9a-fA-F]{8})

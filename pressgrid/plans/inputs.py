@@ -15,10 +15,15 @@ from pyspark.sql import functions as F
 from ..operators.partitioning import spread
 
 
+# Tables whose rows hold whole texts.
+WIDE = {"pages", "documents"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; per-row work here is CPU-bound (regular expressions,
-    JSON), so a scan with fewer splits than cores is spread (no-op at scale)."""
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    JSON), so a scan with fewer splits than cores is spread (no-op at scale for texts,
+    narrow rows always are)."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), narrow=name not in WIDE)
 
 
 def _s(c) -> F.Column:

@@ -83,3 +83,14 @@ def test_table_endpoints_stride(spark):
     df = spark.createDataFrame([(1, f"<table>{cells}</table>")], "id int, h string")
     got = [r["endpoint"] for r in table_endpoints(df, "h", ["id"]).orderBy("pos").collect()]
     assert got == ["1.2.3.4:80", "5.6.7.8:3128"]
+
+
+def test_table_endpoints_of_awkward_cells(spark):
+    """Cells are text of markup; a group without a second cell gives no row, empty cells do."""
+    def table(*cells):
+        return "<table>" + "".join(f"<td class='a'> {c}\n</td>" for c in cells) + "</table>"
+    rows = [(1, table("<b>1.1.1.1</b>", "8&#48;", *"cdefgh", "", "", *"cdefgh", "2.2.2.2")), (2, table("3.3.3.3")),
+            (3, table("4.4.4.4", "&lt;1")), (4, ""), (5, None), (6, "<p>no cells</p>")]
+    df = spark.createDataFrame(rows, "id int, h string")
+    got = sorted(tuple(r) for r in table_endpoints(df, "h", ["id"]).collect())
+    assert got == [(1, 0, "1.1.1.1:80"), (1, 1, ":"), (3, 0, "4.4.4.4:<1")]

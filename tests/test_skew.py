@@ -50,3 +50,23 @@ def test_hot_run_in_running_totals(spark):
     out = running_totals(df, ["id"], {"n": F.lit(1)}, "run", num_partitions=8, totals=True)
     rows = out.where("run = 0").orderBy("id").collect()
     assert [r.n for r in rows] == list(range(1, len(rows) + 1)) and rows[0].n_total == len(rows)
+
+
+def test_one_row_group_of_narrow_rows_is_dealt_out(spark, tmp_path):
+    """Many splits of a scan may share one row group, which one of them reads whole."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from pressgrid.plans import inputs
+    n = 40_000
+    pq.write_table(pa.table({"event_id": list(range(n)), "user_id": [i * 7919 % n for i in range(n)]}),
+                   f"{tmp_path}/events.parquet", row_group_size=n)
+    conf = {"spark.sql.files.maxPartitionBytes": "16k", "spark.sql.files.openCostInBytes": "1k"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        sizes = inputs.table(spark, str(tmp_path), "events").rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert sum(sizes) == n and max(sizes) <= 2 * n / spark.sparkContext.defaultParallelism
