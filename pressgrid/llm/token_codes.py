@@ -29,6 +29,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -213,20 +214,21 @@ class WordEncoder:
         if len(self.lens) > CACHE_WORDS or len(self.flat) > 8 * CACHE_WORDS:
             self._shrink()
         # A text is its first piece and the words after a space; one with runs of
-        # white space, or white space at an end, is one piece.
-        firsts, words, counts = [], [], []
-        for t in texts:
-            if _plain(t):
-                parts = t.split(" ")
-                firsts.append(parts[0])
-                del parts[0]
-                words += parts
-                counts.append(len(parts))
-            else:
-                firsts.append(t)
-                counts.append(0)
-        distinct = set(words)
-        new = sorted(distinct.difference(self.after_space))
+        # white space, or white space at an end, is one piece.  Only distinct words
+        # become Python strings.
+        plain = np.array([_plain(t) for t in texts], bool)
+        firsts, count = list(texts), np.zeros(len(texts), np.int64)
+        parts = pc.split_pattern(pa.array([t for t, p in zip(texts, plain) if p], pa.large_string()), " ")
+        count[plain] = np.asarray(pc.list_value_length(parts)).astype(np.int64) - 1
+        flat = parts.flatten()
+        begin = np.cumsum(count[plain] + 1) - count[plain] - 1
+        for i, first in zip(np.flatnonzero(plain).tolist(), flat.take(pa.array(begin)).to_pylist()):
+            firsts[i] = first
+        after = np.ones(len(flat), bool)
+        after[begin] = False
+        words = flat.filter(pa.array(after)).dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        new = sorted(set(distinct).difference(self.after_space))
         if new:
             got = [self._joined(new[i:i + JOINED_WORDS]) for i in range(0, len(new), JOINED_WORDS)]
             self._add(self.after_space, new, [g[0] for g in got], [g[1] for g in got])
@@ -235,14 +237,11 @@ class WordEncoder:
             ids, lens = self._each(new)
             self._add(self.as_is, new, [ids], [lens])
         # Codes in text order: first piece, words, end id (entry 0).
-        count = np.array(counts, np.int64)
         begin = np.cumsum(count + 2) - count - 2
         code = np.zeros(len(words) + 2 * len(texts), np.int64)
         code[begin] = np.fromiter(map(self.as_is.__getitem__, firsts), np.int64, len(firsts))
-        # A small table of the batch's own words is faster than the large one.
-        local = dict(zip(distinct, map(self.after_space.__getitem__, distinct)))
-        code[np.arange(len(words)) + np.repeat(2 * np.arange(len(texts)) + 1, count)] = np.fromiter(
-            map(local.__getitem__, words), np.int64, len(words))
+        known = np.fromiter(map(self.after_space.__getitem__, distinct), np.int64, len(distinct))
+        code[np.arange(len(words)) + np.repeat(2 * np.arange(len(texts)) + 1, count)] = known[np.asarray(words.indices)]
         self.uses += np.bincount(code, minlength=len(self.uses))
         lens = self.lens[code]
         upto = np.cumsum(lens)
