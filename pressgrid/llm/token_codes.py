@@ -43,6 +43,7 @@ END_ID = 0
 # Encoded words kept per worker (about 200 MB), and words encoded at a time.
 CACHE_WORDS = 900_000
 JOINED_WORDS = 2_000
+TOGETHER = 16 << 20          # bytes of text whose distinct words are found together
 
 
 # ---------------------------------------------------------------- file format
@@ -131,24 +132,29 @@ class DacReader:
 # pre-token, so texts are cut there; the class is a superset of the library's.
 _OTHER_SPACES = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + \
     "\u2028\u2029\u202f\u205f\u3000"
+# Texts that are not cut: other white space, a space after white space, white
+# space at an end.
+_UNCUT = f"^ |[ \n]$|  |\n |[{_OTHER_SPACES}]"
+# So does punctuation after a letter or a digit, if no apostrophe is part of it; only
+# letters that every Unicode version has are taken.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_TAIL = f"([0-9{_LETTERS}])([!-&(-/:-@\\[-`{{-~]+)( |$)"
 
 
-def _plain(text: str) -> bool:
-    """Only spaces and newlines as white space, none in front of a space, none
-    at either end."""
-    if not text or text[0] == " " or text[-1] in " \n" or "  " in text or "\n " in text:
-        return False
-    for c in _OTHER_SPACES:
-        if c in text:
-            return False
-    return True
+def _written() -> dict[int, str]:
+    """The character by which byte-level vocabularies write every byte but the newline."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(other) if b != 10}}
 
 
 class WordEncoder:
     """The library's ids for whole texts, with the ids of words kept.
 
     A text is cut only where the pre-tokenizer must cut, so the ids equal those
-    of the whole text; each distinct word is encoded once by the library."""
+    of the whole text: at spaces, and a word also around single newlines and in front
+    of its last punctuation.  Each distinct part is encoded once by the library:
+    one of letters alone is one pre-token and goes to the library's model at once."""
 
     def __init__(self, path: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -156,6 +162,8 @@ class WordEncoder:
         self.tok = Tokenizer.from_file(path)
         if special_as_text:
             self.tok.encode_special_tokens = True
+        self.model, self.written = self.tok.model, _written()
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         # Byte-level vocabularies write every byte as one character.
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)
@@ -163,7 +171,7 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        # Words that follow a space (kept without it), and other pieces as they are.
+        # Parts that follow a space (kept without it), and other pieces as they are.
         self.after_space: dict[str, int] = {}
         self.as_is: dict[str, int] = {}
         # Entry 0 is the end id that closes every text.
@@ -171,7 +179,7 @@ class WordEncoder:
         self.starts, self.uses = np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def _shrink(self) -> None:
-        """Forget the words that were met only once; everything if that is not enough."""
+        """Forget the parts that were met only once; everything if that is not enough."""
         kept = self.uses > 1
         kept[0] = True
         if self.lens[kept].sum() > 4 * CACHE_WORDS or kept.sum() > CACHE_WORDS // 2:
@@ -202,51 +210,108 @@ class WordEncoder:
         """Words that follow a space, encoded as one text; the tokens' byte
         lengths show where each word ends."""
         ids = np.array(self.tok.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
-        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        ends = np.cumsum(np.asarray(pc.binary_length(pa.array(words, pa.large_string()))) + 1)
         upto = np.cumsum(self.bytes_of[ids])
         last = np.searchsorted(upto, ends)
         if last[-1] < len(upto) and (upto[last] == ends).all():
             return ids, np.diff(last + 1, prepend=0)
         return self._each([" " + w for w in words])
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _letters(self, words: list[str], space: str) -> tuple[np.ndarray, np.ndarray]:
+        """Words of letters alone, each one pre-token (``space`` in front of it)."""
+        space = space.translate(self.written)
+        words = "\n".join(words).encode().decode("latin-1").translate(self.written).split("\n")
+        got = [self.model.tokenize(space + w) for w in words]
+        return np.array([t.id for g in got for t in g], np.uint32), np.array([len(g) for g in got], np.int64)
+
+    def _codes(self, known: dict, pieces: pa.Array, space: str) -> np.ndarray:
+        """The entry of every piece, which has ``space`` in front of it."""
+        pieces = pieces.dictionary_encode()
+        distinct = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        code = list(map(known.get, distinct))
+        new = np.array([i for i, c in enumerate(code) if c is None], np.int64)
+        if len(new):
+            words = pieces.dictionary.take(pa.array(new))
+            alone = np.asarray(pc.and_not(pc.match_substring_regex(words, f"^[{_LETTERS}]+$"), self._special(words)))
+            others = self._joined if space else self._each
+            for mine, encode in ((alone, lambda w: self._letters(w, space)), (~alone, others)):
+                some = words.filter(pa.array(mine)).to_numpy(zero_copy_only=False).tolist()
+                got = [encode(some[i:i + JOINED_WORDS]) for i in range(0, len(some), JOINED_WORDS)]
+                if got:
+                    self._add(known, some, [g[0] for g in got], [g[1] for g in got])
+            code = list(map(known.__getitem__, distinct))
+        return np.array(code, np.int64)[np.asarray(pieces.indices)]
+
+    def _special(self, words: pa.Array) -> pa.Array:
+        """Which words hold one of the library's added tokens."""
+        special = pa.array(np.zeros(len(words), bool))
+        for content in self.added:
+            special = pc.or_(special, pc.match_substring(words, content))
+        return special
+
+    def _parts(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """(parts of all words, parts of each): a single newline inside a word and the
+        punctuation at its end are pre-tokens of their own."""
+        whole = self._special(words)
+        lines = pc.and_not(pc.match_substring(words, "\n"),
+                           pc.or_(whole, pc.match_substring_regex(words, "^\n|\n\n")))
+        cut = pc.if_else(lines, pc.replace_substring(words, "\n", " \n "), words)
+        cut = pc.if_else(whole, words, pc.replace_substring_regex(cut, _TAIL, r"\1 \2\3"))
+        parts = pc.split_pattern(cut, " ")
+        return parts.flatten(), np.asarray(pc.list_value_length(parts)).astype(np.int64)
+
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with the end id after each, ids per text)."""
         if len(self.lens) > CACHE_WORDS or len(self.flat) > 8 * CACHE_WORDS:
             self._shrink()
+        texts = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         # A text is its first piece and the words after a space; one with runs of
-        # white space, or white space at an end, is one piece.  Only distinct words
-        # become Python strings.
-        plain = np.array([_plain(t) for t in texts], bool)
-        firsts, count = list(texts), np.zeros(len(texts), np.int64)
-        parts = pc.split_pattern(pa.array([t for t, p in zip(texts, plain) if p], pa.large_string()), " ")
+        # white space, or white space at an end, is one piece.
+        uncut = pc.match_substring_regex(texts, _UNCUT)
+        plain = ~np.asarray(uncut)
+        count = np.zeros(len(texts), np.int64)
+        parts = pc.split_pattern(texts.filter(pc.invert(uncut)), " ")
         count[plain] = np.asarray(pc.list_value_length(parts)).astype(np.int64) - 1
         flat = parts.flatten()
         begin = np.cumsum(count[plain] + 1) - count[plain] - 1
-        for i, first in zip(np.flatnonzero(plain).tolist(), flat.take(pa.array(begin)).to_pylist()):
-            firsts[i] = first
         after = np.ones(len(flat), bool)
         after[begin] = False
+        firsts = np.zeros(len(texts), np.int64)
+        pieces = pa.concat_arrays([flat.take(pa.array(begin)), texts.filter(uncut)])
         words = flat.filter(pa.array(after)).dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        new = sorted(set(distinct).difference(self.after_space))
-        if new:
-            got = [self._joined(new[i:i + JOINED_WORDS]) for i in range(0, len(new), JOINED_WORDS)]
-            self._add(self.after_space, new, [g[0] for g in got], [g[1] for g in got])
-        new = sorted(set(firsts).difference(self.as_is))
-        if new:
-            ids, lens = self._each(new)
-            self._add(self.as_is, new, [ids], [lens])
-        # Codes in text order: first piece, words, end id (entry 0).
+        which = np.asarray(words.indices)
+        cut, n = self._parts(words.dictionary)
+        front = np.zeros(len(cut), bool)
+        front[np.cumsum(n) - n] = True
+        # Entries of the parts of the distinct words, and of the first pieces.
+        code = np.zeros(len(cut), np.int64)
+        code[front] = self._codes(self.after_space, cut.filter(pa.array(front)), " ")
+        as_is = self._codes(self.as_is, pa.concat_arrays([cut.filter(pa.array(~front)), pieces]), "")
+        code[~front], firsts[plain], firsts[~plain] = np.split(as_is, np.cumsum([len(cut) - len(n), len(begin)]))
+        met = np.bincount(which, minlength=len(n))
+        self.uses += np.bincount(code, np.repeat(met, n), len(self.uses)).astype(np.int64)
+        self.uses += np.bincount(firsts, minlength=len(self.uses))
+        # The ids of every distinct word, after those of the first pieces and the end id
+        # (a text's pieces are its first piece, its words and the end).
+        entries = np.concatenate([firsts, [0], code])
+        size = self.lens[entries]
+        table = self.flat[_places(self.starts[entries], size)]
+        lens = np.add.reduceat(size, np.concatenate([np.arange(len(texts) + 1), len(texts) + 1 + np.cumsum(n) - n]))
         begin = np.cumsum(count + 2) - count - 2
-        code = np.zeros(len(words) + 2 * len(texts), np.int64)
-        code[begin] = np.fromiter(map(self.as_is.__getitem__, firsts), np.int64, len(firsts))
-        known = np.fromiter(map(self.after_space.__getitem__, distinct), np.int64, len(distinct))
-        code[np.arange(len(words)) + np.repeat(2 * np.arange(len(texts)) + 1, count)] = known[np.asarray(words.indices)]
-        self.uses += np.bincount(code, minlength=len(self.uses))
-        lens = self.lens[code]
-        upto = np.cumsum(lens)
-        ids = self.flat[np.arange(upto[-1] if len(upto) else 0) + np.repeat(self.starts[code] - upto + lens, lens)]
-        return ids, np.diff(upto[begin + count + 1], prepend=0)
+        piece = np.full(len(which) + 2 * len(texts), len(texts))
+        piece[begin] = np.arange(len(texts))
+        piece[np.arange(len(which)) + np.repeat(2 * np.arange(len(texts)) + 1, count)] = which + len(texts) + 1
+        size = lens[piece]
+        ids = table[_places((np.cumsum(lens) - lens)[piece], size)]
+        return ids, np.add.reduceat(size, begin)
+
+
+def _places(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The places of stretches that begin at ``starts``, one stretch after the other."""
+    upto = np.cumsum(lens)
+    return np.arange(upto[-1] if len(upto) else 0) + np.repeat(starts - upto + lens, lens)
 
 
 _encoders: dict = {}  # one encoder per worker process, kept from task to task
@@ -259,6 +324,19 @@ def _encoder(path: str, special_as_text: bool) -> WordEncoder:
     return _encoders[key]
 
 
+def _larger(batches):
+    """Batches put together until their texts have ``TOGETHER`` bytes."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.column(1).nbytes
+        if size >= TOGETHER:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _blocks(path: str, special_as_text: bool):
     def run(batches):
         enc = _encoder(path, special_as_text)
@@ -272,9 +350,9 @@ def _blocks(path: str, special_as_text: bool):
                  pa.array([dac_encode(np.concatenate(held))], pa.binary())],
                 ["part", "block", "start", "doc_ids", "counts", "codes"])
 
-        for b in batches:
-            ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            got, n = enc.encode(texts)
+        for b in _larger(batches):
+            ids = b.column(0).to_pylist()
+            got, n = enc.encode(pc.fill_null(b.column(1), ""))
             at = 0
             for i, k in zip(ids, n.tolist()):
                 if size and size + k > BLOCK_IDS:

@@ -31,6 +31,27 @@ def test_ids_equal_the_library(tok, monkeypatch):
             assert at == len(ids)
 
 
+CUT = ["a word, a word. a word!? (word) word\nword.\nWord word\n\nword", "don't, it's. x' y'. '. l'été, été; ß. 12, 1.5. _a_, a_b. __",
+       "a <|endoftext|>. b<|endoftext|>, c<|endoftext|>\nd <|endof, |> x|>", "\nword word", "a.\n.b ,\n, .\nc a\n1", "漢字. 語, ñ. ж, ǅ. ʰ. ª. ²,",
+       "a \x00. b\x00c, \ufffd. \U0001f600, e\u0301. e\u0301\nx"]
+
+
+def test_parts_of_words_equal_the_library(tok):
+    enc = C.WordEncoder(PATH)
+    for texts in (CUT, ["x " + t for t in CUT], CUT[::-1]):
+        ids, n = enc.encode(texts)
+        for t, got in zip(texts, np.split(ids, np.cumsum(n)[:-1])):
+            assert got.tolist() == tok.encode(t, add_special_tokens=False).ids + [0], t
+
+
+def test_words_share_their_parts():
+    enc = C.WordEncoder(PATH)
+    enc.encode(["start alpha beta gamma"])
+    known = len(enc.lens)
+    enc.encode(["start alpha, beta. gamma; alpha. beta, gamma. beta; gamma,"])
+    assert len(enc.lens) == known + 3       # one entry for each punctuation, none for a word
+
+
 @pytest.mark.parametrize("high", [1, 200, 50_000, 1 << 32])
 def test_codes_round_trip_and_random_access(high):
     r = np.random.default_rng(high)
