@@ -210,3 +210,31 @@ def test_refinement_mixes_plain_steps_once_per_run(corpus, monkeypatch):
     assert sum(mixed) == len(np.unique(run)) + len(np.unique(run[part.has]))
     size, _, _ = start.model.code.steps(part.symbols)
     assert seen.tables[0].sum() == size.sum() and seen.tables[1].sum() == size[part.has].sum()
+
+
+def test_every_symbol_is_mixed_with_its_own_texts_weights(corpus):
+    """Weights of all inputs are corrected block by block of a text, as one symbol after
+    another would; texts beside it change nothing."""
+    model, _ = _model(corpus[:200])
+    odd = bytes(np.random.default_rng(6).integers(97, 123, 3 * X.BLOCK))     # unlike the training texts
+    text = corpus[203][:200] + odd + b" ".join(corpus[204:210])[:X.BLOCK + 100]
+    run, _ = X.runs(*X.joined([text])[:2])
+    own, want = np.zeros(X.N_IN), []
+    for first in range(0, len(run), X.BLOCK):
+        pull, n = np.zeros(X.N_IN), 0
+        for one in np.split(run, len(run))[first:first + X.BLOCK]:
+            _, node, bit, x, gate = X.inputs(model, one)
+            z = np.clip(((model.weights[gate].T + own[:, None]) * x).sum(0), -12, 12)
+            refined = 0.5 * (z + model.refine[X._cells(node, z)])
+            want.append(np.log1p(np.exp((1 - 2 * bit) * refined)).sum())
+            pull += ((bit - 1 / (1 + np.exp(-z))) * x).sum(1)
+            n += len(bit)
+        own = np.clip(own + X.RATE * pull / n, -X.OWN_LIMIT, X.OWN_LIMIT)
+    assert np.abs(own).max() > 0.01
+    for others in ([], corpus[210:215] + [b"", text[:300]]):
+        parts = [X.Prepared([*others, text])]
+        ((_, nats),), _ = X.plain(model, parts)
+        got = nats[-len(text) - 1:]
+        # A rounded class of the refinement may fall on the other side.
+        assert np.isclose(got, want, rtol=1e-4, atol=1e-5).mean() > 0.995
+        assert got.sum() == pytest.approx(sum(want), rel=1e-4)
